@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import bpe, chat_format, decontaminate, quality_rules
 
 QUERIES = {
+    "op2_byte_bpe": bpe.query,
+    "op8_chat_format": chat_format.query,
     "op9_quality_rules": quality_rules.query,
+    "op10_decontaminate": decontaminate.query,
 }
 ORACLES = {
+    "op8_chat_format": chat_format.oracle(),
     "op9_quality_rules": quality_rules.oracle(),
+    "op10_decontaminate": decontaminate.oracle(),
 }

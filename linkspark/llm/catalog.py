@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, quality_rules
+from . import bpe, chat_format, decontaminate, quality_rules, token_files, warc
 
 QUERIES = {
     "op2_byte_bpe": bpe.query,
+    "op5_token_files": token_files.query,
+    "op7_warc": warc.query,
     "op8_chat_format": chat_format.query,
     "op9_quality_rules": quality_rules.query,
     "op10_decontaminate": decontaminate.query,
 }
 ORACLES = {
+    "op7_warc": warc.oracle(),
     "op8_chat_format": chat_format.oracle(),
     "op9_quality_rules": quality_rules.oracle(),
     "op10_decontaminate": decontaminate.oracle(),

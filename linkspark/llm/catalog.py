@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, quality_rules, token_files, warc
+from . import bpe, chat_format, decontaminate, quality_classifier, quality_rules, token_files, toxicity, warc
 
 QUERIES = {
     "op2_byte_bpe": bpe.query,
+    "op4_toxicity": toxicity.query,
     "op5_token_files": token_files.query,
+    "op6_quality_classifier": quality_classifier.query,
     "op7_warc": warc.query,
     "op8_chat_format": chat_format.query,
     "op9_quality_rules": quality_rules.query,

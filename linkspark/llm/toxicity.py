@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 from .decontaminate import split_words
 
-SAMPLE = 20_000
+SAMPLE = 12_000
 EPOCHS = 5
 BITS = 40
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 8.0, 0.0

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, quality_classifier, quality_rules, token_files, toxicity, warc
+from . import bpe, chat_format, decontaminate, line_dedup, ngram_join, quality_classifier, quality_rules, token_files, toxicity, warc
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op2_byte_bpe": bpe.query,
+    "op3_ngram_join": ngram_join.query,
     "op4_toxicity": toxicity.query,
     "op5_token_files": token_files.query,
     "op6_quality_classifier": quality_classifier.query,

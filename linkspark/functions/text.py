@@ -234,13 +234,13 @@ def shelfmark(x: Column) -> Column:
 
 def metadata_parts(x: Column) -> Column:
     """Values of a field written with ``::`` or ``¶`` between them; the text itself if nothing is left."""
-    parts = F.filter(F.transform(F.split(x, "::|¶"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(x, "::|¶"), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(x))
 
 
 def alias_parts(x: Column) -> Column:
     """Values written with ``||`` between them, each once."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), r"\|\|"), F.trim), lambda p: p != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), r"\|\|"), lambda p: F.trim(p)), lambda p: p != ""))
 
 
 def iso_year(x: Column) -> Column:

@@ -1,8 +1,6 @@
 """Descriptions taken apart at boilerplate, and relations found in fields."""
 
-from __future__ import annotations
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,14 +64,14 @@ def segment(descriptions: Column, titles: Column, signals: dict[str, str | None]
         return F.transform(F.array_except(fit, F.coalesce(titles, F.array().cast("array<string>"))), lambda d: F.struct(d.alias("segment"), F.lit(None).cast("string").alias("label")))
     signals, boilerplate = dict(signals or {}), set(boilerplate or ())
 
-    @F.pandas_udf(SEGMENT)
-    def run(texts: pd.Series, spans: pd.Series, known: pd.Series) -> pd.Series:
-        made = []
-        for t, s, k in zip(texts, spans, known):
-            made.append([] if t is None else segments(list(t), [list(x) for x in s], signals, boilerplate, set(() if k is None else k), most_chars, least_tokens))
-        return pd.Series(made, dtype=object)
+    kind = pa.list_(pa.struct([("segment", pa.string()), ("label", pa.string())]))
+
+    @F.arrow_udf(SEGMENT)
+    def run(texts: pa.Array, spans: pa.Array, known: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), spans.to_pylist(), known.to_pylist(), strict=True)
+        return pa.array([segments(t or [], s or [], signals, boilerplate, set(k or ()), most_chars, least_tokens) for t, s, k in rows], kind)
 
-    return run(descriptions, F.transform(descriptions, tx.token_spans), titles)
+    return run(descriptions, F.transform(descriptions, lambda x: tx.token_spans(x)), titles)
 
 
 def relations(elements: DataFrame, terms: DataFrame, before: int = 40, after: int = 80) -> DataFrame:

@@ -392,7 +392,7 @@ def enrich_left_join(s, d):
     return merge.enrich(authors, got, "2000-01-01").select("c_custkey", "wd_label_en", "wd_error")
 
 
-@query("SELECT p_partkey, CASE WHEN lower(p_type) = 'small' OR NOT list_contains(string_split(p_name, ' '), 'small') THEN p_name ELSE p_name END AS t FROM part WHERE false UNION ALL SELECT p_partkey, CASE WHEN list_contains(string_split(p_name, ' '), lower(replace(p_type, 'C', 'ʿ'))) THEN array_to_string(list_filter(string_split(replace(p_name, 'c', 'ʿ'), ' '), lambda w: w <> lower(p_type)), ' ') ELSE p_name END FROM part")
+@query("SELECT p_partkey, CASE WHEN list_contains(string_split(p_name, ' '), lower(replace(p_type, 'C', 'ʿ'))) THEN array_to_string(list_filter(string_split(replace(p_name, 'c', 'ʿ'), ' '), lambda w: w <> lower(p_type)), ' ') ELSE p_name END AS t FROM part")
 def cull_tokens(s, d):
     part = table(s, d, "part")
     books = part.select(F.col("p_partkey").alias("uri"), F.col("p_type").alias("author_uri"), F.array("p_name").alias("title_ara"))
@@ -424,7 +424,7 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").select(F.concat(F.lpad(F.col("o_custkey").cast("string"), 4, "0"), F.lit("."), "o_orderstatus").alias("uri"), F.col("o_orderkey").alias("rec"))
 
 
-PAIRS = "WITH p AS (SELECT (CASE WHEN o_custkey < 10000 THEN lpad(o_custkey::VARCHAR, 4, '0') ELSE o_custkey::VARCHAR[:4] END) || '.' || o_orderstatus AS uri, o_orderkey AS rec FROM orders)"
+PAIRS = "WITH p AS (SELECT lpad(o_custkey::VARCHAR, 4, '0') || '.' || o_orderstatus AS uri, o_orderkey AS rec FROM orders)"
 
 
 @query("SELECT c_nationkey AS author_uri, array_to_string(list_sort(list(c_custkey)), ',') AS books FROM customer GROUP BY c_nationkey")

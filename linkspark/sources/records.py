@@ -67,7 +67,7 @@ def manuscripts(parsed: DataFrame, composite_min_creators: int = 2, segments: Co
         first.alias("date_from"),
         last.alias("date_to"),
     )
-    some = lambda *cs: F.greatest(*[F.size(c) for c in cs]).__gt__(0).cast("int")
+    some = lambda *cs: (F.size(F.concat(*cs)) > 0).cast("int")
     signals = some("creator_lat", "creator_ara") + some("title_lat", "title_ara") + some("description_lat", "description_ara") + some("contributor_lat", "contributor_ara") + some("subject") + some("coverage") + F.col("date_from").isNotNull().cast("int")
     return out.withColumns({"is_composite": F.size("creator_lat") >= composite_min_creators, "signal_count": signals})
 

@@ -109,8 +109,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
         bias, names, weights = fit(found, ys)
         yield pa.RecordBatch.from_pydict({"bias": [bias], "names": pa.array([names.astype("<u8").tobytes()], pa.binary()), "weights": pa.array([weights.astype("<f8").tobytes()], pa.binary())})
 
-    (row,) = one.mapInArrow(run, "bias double, names binary, weights binary").collect()
-    return row["bias"], np.frombuffer(row["names"], "<u8"), np.frombuffer(row["weights"], "<f8")
+    made = one.mapInArrow(run, "bias double, names binary, weights binary").collect()
+    if not made:  # no labelled rows
+        return fit([], [])
+    return made[0]["bias"], np.frombuffer(made[0]["names"], "<u8"), np.frombuffer(made[0]["weights"], "<f8")
 
 
 class Scorer:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules
-from linkspark.llm.common import written
+from linkspark.llm.common import fresh, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of templates that recur across documents go, but for one occurrence; n_chars follows the text."""
-    out = line_dedup.drop_lines(docs)
+    """Lines of templates that recur across documents go, but for one occurrence; n_chars follows the text. A document
+    of which nothing is left, since all its lines stand in others, goes too."""
+    gone = fresh(docs, "dropped")
+    out = line_dedup.drop_lines(docs, n_dropped=gone)
+    out = out.where((F.col(gone) == 0) | (F.trim(F.coalesce("text", F.lit(""))) != "")).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
 
 

@@ -36,7 +36,13 @@ WORDS_IN_SHINGLE = 3
 THRESHOLD = 90  # per cent
 CHUNK = 128
 SKETCH_BITS, SKETCH_SLICES = 18, 16
-MOST_MATCHES = 6
+#: Bounds of the matches asked for; a set with an overlap of 1 can but ask for 1.
+LEAST_MATCHES, MOST_MATCHES = 2, 6
+#: A bucket's name: how rare its classes are (the largest first) over so many bits of a shingle's hash. Buckets whose
+#: names meet become one, which costs comparisons and loses nothing.
+NAME_BITS, MOST_DF = 44, (1 << 19) - 1
+#: Bits of the map of wanted doc_ids, by which most texts are passed over when shingles are fetched.
+WANTED_BITS = 23
 #: Costs in the estimate: to read a posting, and to verify a pair.
 POSTING_COST, VERIFY_COST = 1.0, 50.0
 #: A token with more postings than this isn't merged with others of the same classes, which takes all of them at once.
@@ -90,7 +96,7 @@ def prefix(s: np.ndarray, sketch: np.ndarray, usual: float, docs: int, percent:
     # Other shingles share the bin; what lies above the usual count is this shingle's own.
     read = np.cumsum(np.maximum(count[order] - usual, 0) + 1)
     best, cost = 1, math.inf
-    for k in range(1, most + 1):
+    for k in range(min(LEAST_MATCHES, most), most + 1):
         total = float(read[n - o + k - 1])
         met = total / max(docs, 1)  # shared prefix shingles expected with another document
         term = math.exp(-min(met, 700.0))
@@ -183,48 +189,40 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (token, cls) sorted by token: (cls, token, df, sig) of tokens with two classes or more. sig is alike for
-    tokens with the same classes. Rows of a very common token go on as they come."""
-
-    def out(token: int, classes: np.ndarray, df: int, sig: int) -> pa.RecordBatch:
-        m = len(classes)
-        return pa.RecordBatch.from_pydict({"cls": pa.array(classes), "token": pa.array(np.full(m, token)), "df": pa.array(np.full(m, df)), "sig": pa.array(np.full(m, sig))})
-
-    token, held, n, over = None, [], 0, False
-    ready: list[pa.RecordBatch] = []
-    waiting = 0
-
-    def close() -> Iterator[pa.RecordBatch]:
-        if over or n >= 2:
-            classes = np.concatenate(held) if held else np.zeros(0, np.int64)
-            sig = token if over else int(np.bitwise_xor.reduce((classes.astype(np.uint64) * _A) ^ (classes.astype(np.uint64) >> np.uint64(31))).astype(np.int64))
-            if len(classes):
-                yield out(token, classes, MERGE_LIMIT + 1 if over else n, sig)
-
+    tokens with the same classes. Rows of a very common token go on as they come, with a df that tells so."""
+
+    def mixed(c: np.ndarray) -> np.ndarray:
+        c = c.astype(np.uint64)
+        return (c * _A) ^ (c >> np.uint64(31))
+
+    def out(t: np.ndarray, c: np.ndarray, common: np.ndarray) -> pa.RecordBatch | None:
+        """Whole groups; common: tokens met before that are very common."""
+        if not len(t):
+            return None
+        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        size = np.diff(np.concatenate((first, [len(t)])))
+        sig = np.bitwise_xor.reduceat(mixed(c), first).astype(np.int64)
+        over = (size > MERGE_LIMIT) | np.isin(t[first], common)
+        df, sig = np.where(over, MERGE_LIMIT + 1, size), np.where(over, t[first], sig)
+        keep = np.repeat((size > 1) | over, size)
+        return pa.RecordBatch.from_pydict({"cls": c[keep], "token": t[keep], "df": np.repeat(df, size)[keep].astype(np.int64), "sig": np.repeat(sig, size)[keep]})
+
+    held_t, held_c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    common = np.zeros(0, np.int64)
     for b in batches:
         if not b.num_rows:
             continue
-        t, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-        change = np.flatnonzero(t[1:] != t[:-1]) + 1
-        for s, e in zip([0, *change.tolist()], [*change.tolist(), len(t)], strict=True):
-            if t[s] != token:
-                for x in close():
-                    ready.append(x)
-                    waiting += x.num_rows
-                token, held, n, over = int(t[s]), [], 0, False
-            held.append(c[s:e])
-            n += e - s
-            if n > MERGE_LIMIT:
-                over = True
-                for x in close():
-                    ready.append(x)
-                    waiting += x.num_rows
-                held, n = [], 0
-        if waiting > 4096:
-            yield pa.Table.from_batches(ready).combine_chunks().to_batches()[0]
-            ready, waiting = [], 0
-    ready += list(close())
-    if ready:
-        yield pa.Table.from_batches(ready).combine_chunks().to_batches()[0]
+        t, c = np.concatenate((held_t, b.column(0).to_numpy())), np.concatenate((held_c, b.column(1).to_numpy()))
+        start = int(np.searchsorted(t, t[-1], "left"))  # the last token may go on in the next batch
+        if len(t) - start > MERGE_LIMIT:
+            common, start = np.array([t[-1]]), len(t)
+        made = out(t[:start], c[:start], common)
+        if made and made.num_rows:
+            yield made
+        held_t, held_c = t[start:], c[start:]
+    made = out(held_t, held_c, common)
+    if made and made.num_rows:
+        yield made
 
 
 def _sparse(lists: list[np.ndarray], weights: list[np.ndarray] | None = None) -> Iterator[np.ndarray]:
@@ -246,42 +244,54 @@ def _sparse(lists: list[np.ndarray], weights: list[np.ndarray] | None = None) ->
         yield m
 
 
-def _candidates(table: dict, token: int, df: int, diagonal: bool, percent: int) -> np.ndarray:
+def _candidates(b: dict, bucket: int, diagonal: bool, percent: int) -> np.ndarray:
     """Pairs (as a matrix) of a block whose first common bucket is this one, and that share enough to be verified."""
-    n, k, side = table["n"], table["k"], table["side"]
+    n, k, side = b["n"], b["k"], b["side"]
     m = len(n)
+    ok = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    ok &= np.triu(np.ones((m, m), bool), 1) if diagonal else side[:, None] < side[None, :]
+    if m <= 12:
+        keys = [dict(zip(x.tolist(), t.tolist(), strict=True)) for x, t in zip(b["keys"], b["times"], strict=True)]
+        for x, y in zip(*np.nonzero(ok), strict=True):
+            common = keys[x].keys() & keys[y].keys()
+            ok[x, y] = min(common) == bucket and sum(keys[x][c] for c in common) >= min(k[x], k[y])
+        return ok
     shared, earlier = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
-    for x in _sparse(table["keys"], table["times"]):
+    for x in _sparse(b["keys"], b["times"]):
         shared += x @ (x > 0).T.astype(np.float32)
-    before = [(d > df) | ((d == df) & (t < token)) for t, d in zip(table["keys"], table["dfs"], strict=True)]
-    for x in _sparse([t[b] for t, b in zip(table["keys"], before, strict=True)]):
+    for x in _sparse([c[c < bucket] for c in b["keys"]]):
         earlier += x @ x.T
-    ok = (earlier == 0) & (shared >= np.minimum(k[:, None], k[None, :])) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
-    return ok & (np.triu(np.ones((m, m), bool), 1) if diagonal else (side[:, None] < side[None, :]))
+    return ok & (earlier == 0) & (shared >= np.minimum(k[:, None], k[None, :]))
 
 
 def _block(table: pa.Table, i: int) -> dict:
-    cls = table.column("cls").to_numpy()
-    keys = table.column("keys").to_pylist()
-    out = {"cls": cls, "n": table.column("n").to_numpy(), "k": table.column("k").to_numpy(), "side": (table.column("chunk").to_numpy() != i).astype(np.int8)}
-    out["keys"] = [np.array([x["token"] for x in ks], np.int64) for ks in keys]
-    out["dfs"] = [np.array([x["df"] for x in ks], np.int64) for ks in keys]
-    out["times"] = [np.array([x["times"] for x in ks], np.float32) for ks in keys]
+    out = {name: table.column(name).to_numpy() for name in ("cls", "n", "k")}
+    out["side"] = (table.column("chunk").to_numpy() != i).astype(np.int8)
+    for name in ("keys", "times"):
+        lists = table.column(name).combine_chunks()
+        ends = lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py()
+        out[name] = np.split(lists.flatten().to_numpy(), ends)
     return out
 
 
 def _needed(percent: int):
-    """From the blocks, sorted by (token, i, j): those rows that have a candidate in their block."""
+    """From the blocks, sorted by (bucket, i, j): those rows that have a candidate in their block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (token, i, j), table in _groups(batches, 3):
+        held, rows = [], 0
+        for (bucket, i, j), table in _groups(batches, 3):
             if table.num_rows < 2:
                 continue
-            b = _block(table, i)
-            ok = _candidates(b, token, table.column("df")[0].as_py(), i == j, percent)
+            ok = _candidates(_block(table, i), bucket, i == j, percent)
             some = np.flatnonzero(ok.any(axis=0) | ok.any(axis=1))
             if len(some):
-                yield from table.take(pa.array(some)).combine_chunks().to_batches()
+                held.append(table.take(pa.array(some)))
+                rows += len(some)
+                if rows > 4096:
+                    yield from pa.concat_tables(held).combine_chunks().to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
 
     return run
 
@@ -309,9 +319,9 @@ def _verify(percent: int):
     """From the needed rows with their shingles: (cls, links, null) and (cls, null, other) rows, both few per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (token, i, j), table in _groups(batches, 3):
+        for (bucket, i, j), table in _groups(batches, 3):
             b = _block(table, i)
-            ok = _candidates(b, token, table.column("df")[0].as_py(), i == j, percent)
+            ok = _candidates(b, bucket, i == j, percent)
             if not ok.any():
                 continue
             sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
@@ -334,14 +344,32 @@ def _verify(percent: int):
     return run
 
 
-def _shingle_bytes(size: int):
-    """(cls, shingles) of those texts whose set is of the class: rows may share a doc_id and differ in text."""
+def _wanted_map(ids: DataFrame) -> np.ndarray:
+    """A bit map of fixed size in which every wanted doc_id's place is set."""
+
+    def fill(key, table):
+        bits = np.zeros(1 << WANTED_BITS >> 4, bool)
+        bits[table.column("place").to_numpy()] = True
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - WANTED_BITS)
+    rows = ids.select((place / (1 << WANTED_BITS >> 4)).cast("int").alias("slice"), (place % (1 << WANTED_BITS >> 4)).cast("int").alias("place")).distinct()
+    out = np.zeros((16, 1 << WANTED_BITS >> 7), np.uint8)
+    for r in rows.groupBy("slice").applyInArrow(fill, "slice int, bits binary").collect():
+        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return np.unpackbits(out.ravel()).astype(bool)
+
+
+def _shingle_bytes(size: int, wanted: np.ndarray, spark: SparkSession):
+    """(doc_id, cls, shingles) of the texts whose doc_id may be wanted."""
+    sent = spark.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [(c, shingles(t, size)) for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            own = [(c, x.tobytes()) for c, x in sets if class_of(x) == c]
-            yield pa.RecordBatch.from_pydict({"cls": pa.array([c for c, _ in own], pa.int64()), "shingles": pa.array([x for _, x in own], pa.binary())})
+            b = b.filter(pa.array(sent.value[b.column(2).to_numpy()]))
+            if b.num_rows:
+                sets = [shingles(t, size) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "cls": pa.array([class_of(x) for x in sets], pa.int64()), "shingles": pa.array([x.tobytes() for x in sets], pa.binary())})
 
     return run
 
@@ -376,25 +404,35 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     rows = texts.mapInArrow(_prefixes(sketch, total, percent, size, spark), "doc_id long, cls long, n long, k int, tokens array<long>")
     # Rows of one class have the same n, k and tokens.
     classes = written(rows.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"), F.min("k").alias("k"), F.first("tokens").alias("tokens")), "join-classes")
+    bounded_batches(spark, 16_384)  # numbers only
     posted = classes.select(F.explode("tokens").alias("token"), "cls").repartition("token").sortWithinPartitions("token").mapInArrow(_postings, "cls long, token long, df long, sig long")
-    merged = posted.groupBy("cls", "df", "sig").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("times"))
-    keys = written(merged.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("token", "df", "times"))).alias("keys")), "join-keys")
-    held = classes.select("cls", "n", "k", "copies", "rep").join(keys, "cls")
-    bucket = held.select("*", F.explode("keys").alias("x")).select("cls", "n", "k", "copies", "rep", "keys", F.col("x.token").alias("token"), F.col("x.df").alias("df"))
-    # A bucket's true size; df is but a lower bound for very common tokens.
-    sizes = bucket.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CHUNK).select("token", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    dealt = bucket.join(sizes, "token", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
-    blocks = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    blocks = blocks.select("token", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "cls", "chunk", "n", "k", "copies", "rep", "df", "keys")
-    kinds = "token long, i int, j int, cls long, chunk int, n long, k int, copies long, rep long, df long, keys array<struct<token:long,df:long,times:long>>"
-    needed = written(blocks.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_needed(percent), kinds), "join-needed")
+    merged = posted.groupBy("cls", "df", "sig").agg(F.min("token").alias("token"), F.least(F.count(F.lit(1)), F.lit(MOST_MATCHES)).cast("byte").alias("times"))
+    rarity = F.lit(MOST_DF).cast("long") - F.least("df", F.lit(MOST_DF).cast("long"))
+    name = F.shiftleft(rarity, NAME_BITS).bitwiseOR(F.col("token").bitwiseAND((1 << NAME_BITS) - 1))
+    named = merged.groupBy("cls", name.alias("bucket")).agg(F.max("times").alias("times"))
+    keys = named.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("bucket", "times"))).alias("x"), F.sum("times").alias("met"))
+    # Every partner of a class asks for as many matches as this at least, so classes that meet fewer have none.
+    least = F.least(F.lit(LEAST_MATCHES), F.ceil(F.ceil(F.col("n") * percent / 100) * percent / 100))
+    held = classes.select("cls", F.col("n").cast("int").alias("n"), F.col("k").cast("byte").alias("k")).join(keys, "cls").where(F.col("met") >= least)
+    held = written(held.select("cls", "n", "k", F.col("x.bucket").alias("keys"), F.col("x.times").alias("times")), "join-keys")
+    bucket = held.select(F.explode("keys").alias("bucket"), "cls", "n", "k", "keys", "times")
+    sizes = held.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.where(F.col("size") > CHUNK).select("bucket", "size", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    dealt = hot_join(bucket, sizes, ["bucket"], "size", ["chunks"], total, F.col("cls").cast("string")).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    blocks = dealt.select("bucket", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "cls", "chunk", "n", "k", "keys", "times")
+    kinds = "bucket long, i int, j int, cls long, chunk int, n int, k byte, keys array<long>, times array<byte>"
+    bounded_batches(spark, 4096)
+    needed = written(blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_needed(percent), kinds), "join-needed")
     # One text for each class that has a candidate.
-    wanted = needed.select("cls", F.col("rep").alias("doc_id")).distinct()
-    found = members.where("n > 0").join(wanted, ["doc_id", "cls"], "left_semi").select("doc_id", "cls").distinct()
-    text_of = texts.join(found, "doc_id").select("cls", "text").mapInArrow(_shingle_bytes(size), "cls long, shingles binary")
-    text_of = text_of.groupBy("cls").agg(F.first("shingles").alias("shingles"))
-    ready = needed.join(text_of, "cls").select("token", "i", "j", "cls", "chunk", "n", "k", "copies", "df", "keys", "shingles")
-    results = written(ready.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_verify(percent), "cls long, links long, other long"), "join-links")
+    bounded_batches(spark)
+    wanted = written(needed.select("cls").distinct().join(classes.select("cls", "copies", F.col("rep").alias("doc_id")), "cls"), "join-wanted")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - WANTED_BITS).cast("int")
+    fetched = texts.select("doc_id", "text", place.alias("place")).mapInArrow(_shingle_bytes(size, _wanted_map(wanted), spark), "doc_id long, cls long, shingles binary")
+    # Rows may share a doc_id and differ in text; those of the class are alike.
+    text_of = fetched.join(wanted, (fetched.doc_id.eqNullSafe(wanted.doc_id)) & (fetched.cls == wanted.cls)).groupBy(wanted.cls).agg(F.first("shingles").alias("shingles"), F.first("copies").alias("copies"))
+    ready = needed.join(text_of, "cls").select("bucket", "i", "j", "cls", "chunk", "n", "k", "copies", "keys", "times", "shingles")
+    results = written(ready.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_verify(percent), "cls long, links long, other long"), "join-links")
     degree = results.where("links IS NOT NULL").groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(results.where("other IS NOT NULL").select(F.col("cls").alias("a"), F.col("other").alias("b")))
     rooted = classes.select("cls", "n", "copies", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", F.col("cls")))

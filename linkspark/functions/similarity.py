@@ -26,7 +26,7 @@ def lcs(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence, by batches of pairs."""
 
     @F.pandas_udf("int")
-    def kernel(x, y):
+    def kernel(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or q is None else lcs_length(p, q) for p, q in zip(x, y)], dtype="Int32")
 
     return kernel(a, b)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,8 +69,6 @@ def characters(texts: DataFrame, column: str = "text") -> DataFrame:
 
 def character_names(inventory: DataFrame) -> DataFrame:
     """The inventory with Unicode names and categories. Its rows are as many as there are characters, at most 1.1 million."""
-    import pandas as pd
-
     @F.pandas_udf("name string, category string")
     def known(c: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"name": [unicodedata.name(x, "") for x in c], "category": [unicodedata.category(x) for x in c]})

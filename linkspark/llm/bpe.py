@@ -233,20 +233,16 @@ def ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
-@lru_cache(maxsize=4)
-def chunk_cache(path: str, pattern: str) -> ChunkCache:
+def by_pieces(pattern: str, encode_pieces: Callable[[list[str]], list[bytes]]) -> ChunkCache:
+    """Chunks by the pieces that the pattern finds in them; pieces are remembered too."""
     import regex
 
-    r = ranks(path)
-    find = regex.compile(pattern).findall
-    vocabulary, known = r.ranks, Remembered(CHUNKS // 4)
+    find, known = regex.compile(pattern).findall, Remembered(CHUNKS // 4)
 
     def encode(chunks: list[str]) -> list[bytes]:
         pieces = list(map(find, chunks))
         new = known.missing({p for ps in pieces for p in ps})
-        raw = [p.encode("utf-8") for p in new]
-        merged = merge_many([x for x in raw if x not in vocabulary], r)
-        known.update(zip(new, [vocabulary[x].to_bytes(4, "little") if x in vocabulary else merged[x] for x in raw], strict=True))
+        known.update(zip(new, encode_pieces(new), strict=True))
         get = known.__getitem__
         out = [b"".join(map(get, ps)) for ps in pieces]
         known.age()
@@ -255,6 +251,19 @@ def chunk_cache(path: str, pattern: str) -> ChunkCache:
     return ChunkCache(encode)
 
 
+@lru_cache(maxsize=4)
+def chunk_cache(path: str, pattern: str) -> ChunkCache:
+    r = ranks(path)
+    vocabulary = r.ranks
+
+    def encode(pieces: list[str]) -> list[bytes]:
+        raw = [p.encode("utf-8") for p in pieces]
+        merged = merge_many([x for x in raw if x not in vocabulary], r)
+        return [vocabulary[x].to_bytes(4, "little") if x in vocabulary else merged[x] for x in raw]
+
+    return by_pieces(pattern, encode)
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """Ids as binary: little-endian unsigned 32-bit integers, one after the other."""
 

@@ -23,6 +23,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,24 +35,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import huffman
-from .bpe import ChunkCache
+from .bpe import ChunkCache, by_pieces
 from .common import bounded_batches, delete_dir, drop_shuffles_early, work_dir
 
 MAGIC = b"LSTOK1\n"
 
 
+#: Ids in one slice of the counts that a task gives.
+SLICE = 4096
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if printable, else one from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 @lru_cache(maxsize=2)
 def chunk_cache(path: str) -> ChunkCache:
+    """Where the file's pre-tokenizer is byte-level with the usual pattern, pieces go straight to the library's model;
+    otherwise whole chunks go through its pipeline."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    layout = json.loads(tokenizer.to_str())
+    before = layout["pre_tokenizer"] or {}
+    if layout["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
+        model, table = tokenizer.model, {b: c for b, c in _byte_characters().items()}
+
+        def pieces(new: list[str]) -> list[bytes]:
+            written = [p.encode("utf-8").decode("latin-1").translate(table) for p in new]
+            return [array("I", [t.id for t in model.tokenize(w)]).tobytes() for w in written]
+
+        return by_pieces(public_tokenizers.PATTERN, pieces)
 
     def encode(chunks: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for i in range(0, len(chunks), 5000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks[i : i + 5000], add_special_tokens=False)]
+            out += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks[i : i + 5000], add_special_tokens=False)]
         return out
 
     return ChunkCache(encode)

@@ -95,7 +95,8 @@ def _read(uri: str) -> bytes:
 
 
 def _encode_task(folder: str, tokenizer: str, end_id: int):
-    """Writes the packed ids of a partition's documents; one row: path, part, n_docs, n_ids, and counts by id."""
+    """Writes the packed ids of a partition's documents; a row for each slice of its counts by id, the first of which
+    also has path, part, n_docs and n_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -123,8 +124,11 @@ def _encode_task(folder: str, tokenizer: str, end_id: int):
             n_docs, n_ids = n_docs + len(names), n_ids + len(ids)
         if out:
             out.close()
-            used = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_pydict({"path": [path], "part": pa.array([part], pa.int32()), "n_docs": [n_docs], "n_ids": [n_ids], "ids": pa.array([used.tolist()], pa.list_(pa.int64())), "counts": pa.array([counts[used].tolist()], pa.list_(pa.int64()))})
+            counts = np.pad(counts, (0, -len(counts) % SLICE)).reshape(-1, SLICE)
+            used = np.flatnonzero(counts.any(axis=1))
+            m = len(used)
+            first = lambda x, kind: pa.array([x, *[None] * (m - 1)], kind)
+            yield pa.RecordBatch.from_pydict({"path": first(path, pa.string()), "part": first(part, pa.int32()), "n_docs": first(n_docs, pa.int64()), "n_ids": first(n_ids, pa.int64()), "slice": pa.array(used, pa.int64()), "counts": pa.array([c.tobytes() for c in counts[used]], pa.binary())})
 
     return run
 
@@ -174,18 +178,20 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    made = ordered.mapInArrow(_encode_task(f"{folder}/ids", tokenizer, end_id), "path string, part int, n_docs long, n_ids long, ids array<long>, counts array<long>")
+    made = ordered.mapInArrow(_encode_task(f"{folder}/ids", tokenizer, end_id), "path string, part int, n_docs long, n_ids long, slice long, counts binary")
     made.write.parquet(f"{folder}/ids-manifest")
     made = spark.read.parquet(f"{folder}/ids-manifest")
-    # As many rows as the vocabulary has ids.
-    counts = made.select(F.explode(F.arrays_zip("ids", "counts")).alias("x")).groupBy("x.ids").agg(F.sum("x.counts").alias("n")).collect()
-    top = max((r["ids"] for r in counts), default=0)
-    by_id = np.zeros(top + 1, np.int64)
-    for r in counts:
-        by_id[r["ids"]] = r["n"]
+
+    def add(key, table):
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"slice": [key[0].as_py()], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    # Counts by id: as large as the vocabulary.
+    slices = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in made.select("slice", "counts").groupBy("slice").applyInArrow(add, "slice long, counts binary").collect()}
+    by_id = np.concatenate([slices.get(i, np.zeros(SLICE, np.int64)) for i in range(max(slices, default=0) + 1)])
     # A row for each file.
     start, starts = 0, []
-    for r in sorted(made.select("path", "part", "n_docs", "n_ids").collect(), key=lambda r: r["part"]):
+    for r in sorted(made.where("path IS NOT NULL").select("path", "part", "n_docs", "n_ids").collect(), key=lambda r: r["part"]):
         starts.append((r["path"], r["part"], start, r["n_docs"], r["n_ids"]))
         start += r["n_ids"]
     listed = spark.createDataFrame(starts, "path string, part int, start long, n_docs long, n_ids long").repartition(max(1, len(starts)))

@@ -415,10 +415,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     least = F.least(F.lit(LEAST_MATCHES), F.ceil(F.ceil(F.col("n") * percent / 100) * percent / 100))
     held = classes.select("cls", F.col("n").cast("int").alias("n"), F.col("k").cast("byte").alias("k")).join(keys, "cls").where(F.col("met") >= least)
     held = written(held.select("cls", "n", "k", F.col("x.bucket").alias("keys"), F.col("x.times").alias("times")), "join-keys")
-    bucket = held.select(F.explode("keys").alias("bucket"), "cls", "n", "k", "keys", "times")
-    sizes = held.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    sizes = sizes.where(F.col("size") > CHUNK).select("bucket", "size", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    dealt = hot_join(bucket, sizes, ["bucket"], "size", ["chunks"], total, F.col("cls").cast("string")).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    # A bucket of two classes has all their common shingles but those in larger buckets, which come first: if it is
+    # their first, what they share there is all they share, and must be enough by itself.
+    each = held.select(F.explode(F.arrays_zip("keys", "times")).alias("x"), "cls", "n", "k", "keys", "times")
+    df = F.lit(MOST_DF) - F.shiftrightunsigned(F.col("x.keys"), NAME_BITS)
+    enough = F.least(F.lit(LEAST_MATCHES), F.ceil(F.ceil(F.col("n") * percent / 100) * percent / 100))
+    bucket = each.select(F.col("x.keys").alias("bucket"), df.alias("df"), "cls", "n", "k", "keys", "times", ((df > 2) | (F.col("x.times") >= enough)).alias("live")).where("live").drop("live")
+    known = bucket.where(F.col("df") <= MERGE_LIMIT).withColumn("chunks", F.ceil(F.col("df") / CHUNK).cast("int"))
+    # Of very common shingles the df is but a lower bound, so their classes are counted.
+    common = bucket.where(F.col("df") > MERGE_LIMIT)
+    sizes = common.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).select("bucket", "size", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    dealt = known.unionByName(hot_join(common, sizes, ["bucket"], "size", ["chunks"], total, F.col("cls").cast("string")))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     blocks = dealt.select("bucket", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "cls", "chunk", "n", "k", "keys", "times")
     kinds = "bucket long, i int, j int, cls long, chunk int, n int, k byte, keys array<long>, times array<byte>"
@@ -429,8 +436,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     wanted = written(needed.select("cls").distinct().join(classes.select("cls", "copies", F.col("rep").alias("doc_id")), "cls"), "join-wanted")
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - WANTED_BITS).cast("int")
     fetched = texts.select("doc_id", "text", place.alias("place")).mapInArrow(_shingle_bytes(size, _wanted_map(wanted), spark), "doc_id long, cls long, shingles binary")
-    # Rows may share a doc_id and differ in text; those of the class are alike.
-    text_of = fetched.join(wanted, (fetched.doc_id.eqNullSafe(wanted.doc_id)) & (fetched.cls == wanted.cls)).groupBy(wanted.cls).agg(F.first("shingles").alias("shingles"), F.first("copies").alias("copies"))
+    # Rows may share a doc_id and differ in text; those of the class are alike. One exchange by class serves all three.
+    text_of = fetched.withColumnRenamed("doc_id", "from").join(wanted, "cls").where(F.col("from").eqNullSafe(F.col("doc_id"))).groupBy("cls").agg(F.first("shingles").alias("shingles"), F.first("copies").alias("copies"))
     ready = needed.join(text_of, "cls").select("bucket", "i", "j", "cls", "chunk", "n", "k", "copies", "keys", "times", "shingles")
     results = written(ready.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_verify(percent), "cls long, links long, other long"), "join-links")
     degree = results.where("links IS NOT NULL").groupBy("cls").agg(F.sum("links").alias("links"))

@@ -44,3 +44,12 @@ def test_large_leaf_against_plain_version():
         docs = [rng.randint(1, 5) for _ in lines]
         got = {frozenset(own): name for name, own in line_dedup.templates(lines, docs)}
         assert got == plain(lines, docs)
+
+
+def test_two_documents_suffice_for_long_lines(spark):
+    word = lambda at: " ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(at, at + 60))
+    long, edited = word(0), word(0).replace("bz", "other")
+    twenty, nineteen = " ".join(word(200).split(" ")[:20]), " ".join(word(300).split(" ")[:19])
+    rows = [(1, f"{long}\nown line of one"), (2, f"own line of two\n{edited}"), (3, twenty), (4, twenty), (5, nineteen), (6, nineteen), (7, f"{word(100)}\n{word(100)}")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {2: "own line of two", 4: ""}

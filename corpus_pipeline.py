@@ -6,24 +6,34 @@ read again as the next one's documents. All but the last return the columns of d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules
 from linkspark.llm.common import fresh, written
 
+#: What line dedup leaves of a document is no scrap from so many characters on: the 50 words of the base rule, at five.
+SCRAP_CHARS = 250
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or the threshold table go."""
     return quality_rules.keep(docs)
 
 
+def _scrap(text: Column) -> Column:
+    """No line of LEAST_TOKENS tokens or more, and fewer than SCRAP_CHARS characters but white space of any kind. So
+    long lists of short lines, and paragraphs of scripts without spaces, which count as a token, are no scraps."""
+    full = F.exists(F.split(text, "\n", -1), lambda x: x.rlike(r"(?U)\S") & (line_dedup.n_tokens(line_dedup.masked(x)) >= line_dedup.LEAST_TOKENS))
+    return ~full & (F.length(F.regexp_replace(text, r"(?U)\s+", "")) < SCRAP_CHARS)
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of templates that recur across documents go, but for one occurrence; n_chars follows the text. A document
-    of which nothing is left, since all its lines stand in others, goes too."""
+    whose lines of enough tokens to be judged all stand in others goes too, if what it has beside them is a scrap."""
     gone = fresh(docs, "dropped")
     out = line_dedup.drop_lines(docs, n_dropped=gone)
-    out = out.where((F.col(gone) == 0) | (F.trim(F.coalesce("text", F.lit(""))) != "")).select(*docs.columns)
+    out = out.where((F.col(gone) == 0) | ~_scrap(F.coalesce("text", F.lit("")))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
 
 

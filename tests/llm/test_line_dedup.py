@@ -53,3 +53,15 @@ def test_two_documents_suffice_for_long_lines(spark):
     rows = [(1, f"{long}\nown line of one"), (2, f"own line of two\n{edited}"), (3, twenty), (4, twenty), (5, nineteen), (6, nineteen), (7, f"{word(100)}\n{word(100)}")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(rows) | {2: "own line of two", 4: ""}
+
+
+def test_scraps_of_copies_go(spark):
+    import corpus_pipeline
+
+    copy = "\n".join(f"this paragraph of kind {k} stands in every copy" for k in ("one", "two", "six"))
+    listed, unspaced = "\n".join(f"entry{chr(97 + i % 26)} {i}" for i in range(60)), "字" * 300
+    rest = {1: "Haanth.", 2: "Haanth.", 3: "\n\n", 4: "　\n   \n\t", 5: "     ", 6: listed, 7: unspaced, 8: "but this line is its own"}
+    rows = [(d, f"{copy}\n{t}") for d, t in rest.items()] + [(20, "Haanth."), (21, ""), (22, " "), (23, None)]
+    kept = corpus_pipeline.lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    got = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert got == {1: rows[0][1], 6: listed, 7: unspaced, 8: rest[8], 20: "Haanth.", 21: "", 22: " ", 23: None}

@@ -91,7 +91,7 @@ def digit_filter(s, d):
 @query()
 def token_spans(s, d):
     spans = tx.token_spans(F.col("text"))
-    return table(s, d, "benchmark").select("item_id", F.size(spans).alias("n"), F.element_at(spans, -1)["end"].alias("last_end"))
+    return table(s, d, "documents").select("doc_id", F.size(spans).alias("n"), F.try_element_at(spans, F.lit(-1))["end"].alias("last_end"))
 
 
 @query(f"SELECT lang, count(*) FILTER (regexp_matches(text, '[{tx.ARABIC}]')) AS arabic, count(*) FILTER (regexp_matches(text, '[A-Za-z]')) AS latin, count(*) AS docs FROM documents GROUP BY lang")

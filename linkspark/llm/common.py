@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,18 +10,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of text in one Arrow batch. Texts may be long, so batches are kept far below Spark's default of 10,000 rows.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch, whichever is reached first. Texts may be long, so the bytes are what bounds a
+#: Python worker's memory. All operators ask for the same, so it doesn't matter which asked last.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 #: A key is hot when it holds more than 1/HOT_SHARE of all rows; hence there are fewer than HOT_SHARE hot keys,
 #: which is the proven bound of what ``hot_join`` broadcasts.
 HOT_SHARE = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one if that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master (tests) gets
+    a temporary folder, and a cluster an error, since no folder of the driver's own would do there."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark.sparkContext, "_linkspark_dir", None)
+        if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="linkspark-")
             spark.sparkContext._linkspark_dir = base
@@ -48,9 +53,10 @@ def delete_dir(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of texts small, so that a Python worker's memory doesn't depend on Spark's default."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, so that a Python worker's memory doesn't depend on Spark's defaults."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def drop_shuffles_early(spark: SparkSession) -> None:
@@ -67,6 +73,15 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, or where df has a column of that name already, name with the least number that makes it new."""
+    taken, out, i = {c.lower() for c in df.columns}, name, 0
+    while out.lower() in taken:
+        i += 1
+        out = f"{name}_{i}"
+    return out
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row: a lambda variable is bound to it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -82,14 +97,17 @@ def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str, values:
 
     table has one row for each key, with the number ``n`` of rows it holds. Keys above total / HOT_SHARE are fewer
     than HOT_SHARE, so they are broadcast; no other key holds more than total / HOT_SHARE rows, so an ordinary
-    shuffled join serves the rest. ``spread``: a string column, different from row to row, by which rows already
-    served are dealt evenly in the second join. Keys are null-safe only if the caller makes them so.
+    shuffled join serves the rest. ``spread``: a string column, different from row to row, which is part of the second
+    join's key for rows already served, so that they are dealt evenly. A null key finds nothing.
     """
     least = total // HOT_SHARE
     hot = table.where(F.col(n) > least).select(*keys, F.lit(True).alias("__hot"), *[F.col(v).alias(f"__hot_{v}") for v in values])
     rest = table.where(F.col(n) <= least)
-    mark = "__spread"
-    first = rows.join(F.broadcast(hot), keys, "left").withColumn(mark, F.when(F.col("__hot"), F.concat(F.lit("hot:"), spread)).otherwise(F.lit("")))
-    second = rest.select(*keys, F.lit("").alias(mark), *[F.col(v).alias(f"__rest_{v}") for v in values])
-    joined = first.join(second, [*keys, mark], "left")
+    first = rows.join(F.broadcast(hot), keys, "left")
+    # Both sides' marks are made of columns: the optimizer would turn an equation with a constant into a filter, and
+    # then deal rows out by the keys alone.
+    mark = F.when(F.col("__hot"), F.concat(F.lit("hot:"), spread)).otherwise(F.lit(""))
+    none = F.substring(F.col(n).cast("string"), 1, 0)
+    second = rest.select(*keys, none.alias("__spread"), *[F.col(v).alias(f"__rest_{v}") for v in values])
+    joined = first.withColumn("__spread", mark).join(second, [*keys, "__spread"], "left")
     return joined.select(*rows.columns, *[F.coalesce(F.col(f"__hot_{v}"), F.col(f"__rest_{v}")).alias(v) for v in values])

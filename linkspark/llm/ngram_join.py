@@ -404,7 +404,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     rows = texts.mapInArrow(_prefixes(sketch, total, percent, size, spark), "doc_id long, cls long, n long, k int, tokens array<long>")
     # Rows of one class have the same n, k and tokens.
     classes = written(rows.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"), F.min("k").alias("k"), F.first("tokens").alias("tokens")), "join-classes")
-    bounded_batches(spark, 16_384)  # numbers only
     posted = classes.select(F.explode("tokens").alias("token"), "cls").repartition("token").sortWithinPartitions("token").mapInArrow(_postings, "cls long, token long, df long, sig long")
     merged = posted.groupBy("cls", "df", "sig").agg(F.min("token").alias("token"), F.least(F.count(F.lit(1)), F.lit(MOST_MATCHES)).cast("byte").alias("times"))
     rarity = F.lit(MOST_DF).cast("long") - F.least("df", F.lit(MOST_DF).cast("long"))
@@ -429,7 +428,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     blocks = dealt.select("bucket", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "cls", "chunk", "n", "k", "keys", "times")
     kinds = "bucket long, i int, j int, cls long, chunk int, n int, k byte, keys array<long>, times array<byte>"
-    bounded_batches(spark, 4096)
     needed = written(blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_needed(percent), kinds), "join-needed")
     # One text for each class that has a candidate.
     bounded_batches(spark)

@@ -6,34 +6,30 @@ least rank. A merge changes three leaves (the pair's own, its successor's and it
 point updates, so a piece of n bytes takes O(n log n). Pieces of up to ``TOGETHER`` bytes are merged many at a time,
 as rows of one array of trees; longer ones one by one.
 
-Texts are cut at single spaces between characters that aren't white space, where the pattern always begins a new
-match; what lies between two cuts is a chunk, and a worker remembers the ids of up to ``CHUNKS`` chunks, since most
-recur. This changes no result.
+``pieces`` cuts texts by the pattern, gives each distinct piece of a batch once, and remembers pieces from batch to
+batch. This changes no result.
 
-Defined cases: a null text is encoded as empty; an empty text has no ids; null ids decode to empty bytes. Repeated
-rows are encoded one by one. An empty table gives an empty table. Both operators are columns, so extra columns and
-their names don't matter. Texts are used whole; a very long piece costs O(n log n).
+Defined cases: a null or empty text has no ids; no ids decode to empty bytes. Repeated rows are encoded alike. An empty
+table gives an empty table. Extra columns pass through; where one has the name of a new column, the new one gets a
+number behind its name. Texts are used whole; a very long piece costs O(n log n).
 """
 
 from __future__ import annotations
 
 import base64
-import re
-from collections.abc import Callable
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, free, fresh
+from .pieces import Encoder, packed
 
 TOGETHER = 64
-CHUNKS = 600_000
 NONE = np.int64(2**31 - 1)
-#: As white space is in the pattern's own dialect (Unicode White_Space). Python's \s holds all of it, and a few more.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Ranks:
@@ -46,6 +42,7 @@ class Ranks:
         self.bytes = [b""] * self.size
         for token, rank in self.ranks.items():
             self.bytes[rank] = token
+        self.tokens = pa.array(self.bytes, pa.binary())
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
         for token, rank in self.ranks.items():
@@ -106,8 +103,8 @@ def merge_one(piece: bytes, r: Ranks) -> list[int]:
     return out
 
 
-def _merge_rows(pieces: list[bytes], size: int, r: Ranks) -> list[bytes]:
-    """The packed ids of pieces of up to ``size`` bytes, a power of two: one row of every array for each piece."""
+def _merge_rows(pieces: list[bytes], size: int, r: Ranks) -> tuple[np.ndarray, np.ndarray]:
+    """As ``merge_many``, of pieces of up to ``size`` bytes, a power of two: one row of every array for each piece."""
     m = len(pieces)
     lengths = np.fromiter(map(len, pieces), np.int64, m)
     raw = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8).reshape(m, size)
@@ -150,81 +147,33 @@ def _merge_rows(pieces: list[bytes], size: int, r: Ranks) -> list[bytes]:
                 k >>= 1
         live = live[tree[live, 1] < top]
     kept = ids >= 0
-    flat, ends = ids[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
-    return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-
-
-def merge_many(pieces: list[bytes], r: Ranks) -> dict[bytes, bytes]:
-    """The packed ids of distinct pieces, none of them a token itself."""
-    out: dict[bytes, bytes] = {}
-    by_size: dict[int, list[bytes]] = {}
-    for p in pieces:
-        if len(p) > TOGETHER:
-            out[p] = np.array(merge_one(p, r), "<u4").tobytes()
-        else:
-            by_size.setdefault(1 << (len(p) - 1).bit_length(), []).append(p)
-    for size, group in by_size.items():
-        for i in range(0, len(group), 20_000):
-            part = group[i : i + 20_000]
-            out.update(zip(part, _merge_rows(part, max(2, size), r), strict=True))
-    return out
-
-
-#: White space other than spaces and line feeds.
-_OTHER = re.compile(r"[^\S \n]")
-
-
-def cut(text: str) -> list[str]:
-    """The text's chunks, each but the first without the space before it. Each can be encoded by itself."""
-    if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _OTHER.search(text):
-        return _CUT.split(text)
-    return text.split(" ")
-
-
-class Remembered(dict):
-    """A dictionary of two generations: when the younger is full it becomes the older, whose entries are then let go
-    unless they are used again. Holds at most 2 * limit entries."""
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.older = limit, {}
-
-    def missing(self, keys: set) -> list:
-        """Those keys that must be made; all others are in the younger generation afterwards."""
-        lacking = keys - self.keys()
-        again = {k: self.older[k] for k in lacking if k in self.older}
-        self.update(again)
-        return [k for k in lacking if k not in again]
-
-    def age(self) -> None:
-        if len(self) > self.limit:
-            self.older = dict(self)
-            self.clear()
+    return ids[kept].astype("<u4"), kept.sum(axis=1)
 
 
-class ChunkCache:
-    """Packed ids of chunks. encode: from a list of distinct chunk texts to a list of packed ids (bytes)."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CHUNKS):
-        self.encode = encode
-        self.first = Remembered(limit // 8)  # chunks at a text's start
-        self.later = Remembered(limit // 2)  # chunks after a space
-
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        """The packed ids of each text."""
-        parts = [cut(t) if t else [] for t in texts]
-        tails: set[str] = set()
-        for p in parts:
-            tails.update(p)
-        a, b = self.first.missing({p[0] for p in parts if p}), self.later.missing(tails)
-        packed = self.encode([*a, *[" " + x for x in b]])
-        self.first.update(zip(a, packed, strict=False))
-        self.later.update(zip(b, packed[len(a) :], strict=True))
-        get = self.later.__getitem__
-        out = [b"".join((self.first[p[0]], *map(get, p[1:]))) if p else b"" for p in parts]
-        self.first.age()
-        self.later.age()
-        return out
+def merge_many(pieces: list[bytes], r: Ranks) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of pieces, one after the other, and how many each has."""
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    whole = np.fromiter(map(r.ranks.get, pieces, repeat(-1)), np.int64, len(pieces))
+    places, made = [np.flatnonzero(whole >= 0)], [(whole[whole >= 0].astype("<u4"), np.ones(int((whole >= 0).sum()), np.int64))]
+    size = 2
+    while size <= TOGETHER:
+        group = np.flatnonzero((whole < 0) & (lengths <= size) & ((lengths > size // 2) | (size == 2)))
+        for i in range(0, len(group), 20_000):
+            places.append(group[i : i + 20_000])
+            made.append(_merge_rows([pieces[k] for k in places[-1].tolist()], size, r))
+        size *= 2
+    for k in np.flatnonzero((whole < 0) & (lengths > TOGETHER)).tolist():
+        places.append(np.array([k]))
+        one = np.array(merge_one(pieces[k], r), "<u4")
+        made.append((one, np.array([len(one)])))
+    ids, sizes, place = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made]), np.concatenate(places)
+    # Back into the order of the pieces.
+    order = np.empty(len(place), np.int64)
+    order[place] = np.arange(len(place))
+    first = np.cumsum(sizes) - sizes
+    n = sizes[order]
+    at = np.repeat(first[order] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return ids[at], n
 
 
 @lru_cache(maxsize=4)
@@ -233,43 +182,29 @@ def ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
-def by_pieces(pattern: str, encode_pieces: Callable[[list[str]], list[bytes]]) -> ChunkCache:
-    """Chunks by the pieces that the pattern finds in them; pieces are remembered too."""
-    import regex
-
-    find, known = regex.compile(pattern).findall, Remembered(CHUNKS // 4)
-
-    def encode(chunks: list[str]) -> list[bytes]:
-        pieces = list(map(find, chunks))
-        new = known.missing({p for ps in pieces for p in ps})
-        known.update(zip(new, encode_pieces(new), strict=True))
-        get = known.__getitem__
-        out = [b"".join(map(get, ps)) for ps in pieces]
-        known.age()
-        return out
-
-    return ChunkCache(encode)
-
-
 @lru_cache(maxsize=4)
-def chunk_cache(path: str, pattern: str) -> ChunkCache:
+def encoder(path: str) -> Encoder:
+    """One per worker and file."""
     r = ranks(path)
-    vocabulary = r.ranks
+    return Encoder(lambda new: merge_many(new, r))
 
-    def encode(pieces: list[str]) -> list[bytes]:
-        raw = [p.encode("utf-8") for p in pieces]
-        merged = merge_many([x for x in raw if x not in vocabulary], r)
-        return [vocabulary[x].to_bytes(4, "little") if x in vocabulary else merged[x] for x in raw]
 
-    return by_pieces(pattern, encode)
+def decoded(ids: pa.Array, r: Ranks) -> pa.Array:
+    """The bytes that packed ids stand for."""
+    offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // 4
+    held = ids.buffers()[2]
+    flat = np.frombuffer(held, "<u4")[offsets[0] : offsets[-1]] if held and held.size else np.zeros(0, "<u4")
+    out = r.tokens.take(pa.array(flat.astype(np.int64)))
+    ends = np.frombuffer(out.buffers()[1], np.int32)[: len(out) + 1].astype(np.int64) if len(out) else np.zeros(1, np.int64)
+    return packed(ends[offsets - offsets[0]], out.buffers()[2] or pa.py_buffer(b""))
 
 
-def encode(text: Column, path: str, pattern: str) -> Column:
+def encode(text: Column, path: str) -> Column:
     """Ids as binary: little-endian unsigned 32-bit integers, one after the other."""
 
-    @F.pandas_udf("binary")
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series(chunk_cache(path, pattern).texts(texts.tolist()), dtype=object)
+    @F.arrow_udf("binary")
+    def ids(texts: pa.Array) -> pa.Array:
+        return encoder(path).texts(texts)
 
     return ids(text)
 
@@ -277,23 +212,32 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 def decode(ids: Column, path: str) -> Column:
     """The bytes that ids (as from ``encode``) stand for."""
 
-    @F.pandas_udf("binary")
-    def text(packed: pd.Series) -> pd.Series:
-        token = ranks(path).bytes.__getitem__
-        return pd.Series([b"".join(map(token, np.frombuffer(p, "<u4").tolist())) if p else b"" for p in packed], dtype=object)
+    @F.arrow_udf("binary")
+    def text(held: pa.Array) -> pa.Array:
+        return decoded(held.fill_null(b""), ranks(path))
 
     return text(ids)
 
 
-def encode_decode(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """df's rows as two columns more: token_ids (binary) and decoded (binary)."""
+def encode_decode(df: DataFrame, text_col: str = "text", path: str | None = None, ids_col: str = "token_ids", decoded_col: str = "decoded") -> DataFrame:
+    """df's rows with two columns more, the ids and what they decode to (both binary), under the given names or, where df
+    has those already, ``free`` ones. Both are made in one pass; ``encode`` followed by ``decode`` would encode twice."""
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    pattern = pattern or public_tokenizers.PATTERN
     bounded_batches(df.sparkSession)
-    ids = df.withColumn("token_ids", encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), path, pattern))
-    return ids.withColumn("decoded", decode(F.col("token_ids"), path))
+    both = "struct<ids:binary,decoded:binary>"
+
+    @F.arrow_udf(both)
+    def run(texts: pa.Array) -> pa.Array:
+        ids = encoder(path).texts(texts)
+        return pa.StructArray.from_arrays([ids, decoded(ids, ranks(path))], ["ids", "decoded"])
+
+    held = fresh(df, "both")
+    out = df.withColumn(held, run(F.col(f"`{text_col}`")))
+    for name, part in ((ids_col, "ids"), (decoded_col, "decoded")):
+        out = out.withColumn(free(df, name), F.col(held)[part])
+    return out.drop(held)
 
 
 def digest(df: DataFrame) -> DataFrame:
@@ -301,7 +245,7 @@ def digest(df: DataFrame) -> DataFrame:
     both = encode_decode(df.select("doc_id", "text"))
     return both.select(
         "doc_id",
-        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.shiftright(F.octet_length("token_ids"), 2).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Bits of a code at most, or two more than it takes to number the symbols that occur, if that is more.
 LIMIT = 16
+#: A decoder looks at 32 bits, of which up to 7 lie before the code.
+MOST = 25
 BLOCK = 4096
+#: Ids that are worked on at once.
+SLICE = 1 << 19
 
 
-def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
     """Optimal code lengths of at most ``limit`` bits by package-merge; 0 for symbols that don't occur."""
     out = np.zeros(len(counts), np.uint8)
     used = np.flatnonzero(counts)
@@ -18,8 +23,9 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     if n == 1:
         out[used] = 1
         return out
-    if n > 1 << limit:
-        raise ValueError(f"{n} symbols don't fit in codes of {limit} bits")
+    limit = limit or min(MOST, max(LIMIT, (n - 1).bit_length() + 2))
+    if n > 1 << limit or limit > MOST:
+        raise ValueError(f"{n} symbols don't fit in codes of {limit} bits, or these in a decoder of {MOST}")
     order = used[np.argsort(counts[used], kind="stable")]
     weights = counts[order].astype(np.int64)
     row, leaves = weights, [np.ones(n, bool)]
@@ -55,19 +61,22 @@ def encode(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block: int =
     """The bit stream of ids, and the bit offset at which each block of ``block`` ids begins."""
     if not len(ids):
         return b"", np.zeros(0, np.uint64)
-    n_bits = lengths[ids].astype(np.int64)
-    ends = np.cumsum(n_bits)
-    starts = ends - n_bits
-    words = np.zeros(int(ends[-1] + 63) // 32 + 1, np.uint32)
-    for a in range(0, len(ids), 1 << 20):
-        part = slice(a, a + (1 << 20))
-        at, shift = starts[part] >> 5, (starts[part] & 31).astype(np.uint64)
-        value = codes[ids[part]].astype(np.uint64) << (np.uint64(64) - n_bits[part].astype(np.uint64) - shift)
+    total = sum(int(lengths[ids[a : a + SLICE]].sum(dtype=np.int64)) for a in range(0, len(ids), SLICE))
+    words, points, at_bit = np.zeros((total + 63) // 32 + 1, np.uint32), [], 0
+    for a in range(0, len(ids), SLICE):
+        part = ids[a : a + SLICE]
+        n_bits = lengths[part].astype(np.int64)
+        ends = np.cumsum(n_bits) + at_bit
+        begin = ends - n_bits
+        at_bit = int(ends[-1])
+        points.append(begin[(-a) % block :: block].astype(np.uint64))
+        at, shift = begin >> 5, (begin & 31).astype(np.uint64)
+        value = codes[part].astype(np.uint64) << (np.uint64(64) - n_bits.astype(np.uint64) - shift)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         both = np.add.reduceat(value, first)  # bits don't overlap, so a sum is an OR
         words[at[first]] |= (both >> np.uint64(32)).astype(np.uint32)
         words[at[first] + 1] |= (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return words.astype(">u4").tobytes()[: int(ends[-1] + 7) // 8], starts[::block].astype(np.uint64)
+    return words.astype(">u4").tobytes()[: (total + 7) // 8], np.concatenate(points)
 
 
 def table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
@@ -89,14 +98,17 @@ def decode(stream: bytes, checkpoints: np.ndarray, n: int, lengths: np.ndarray,
     if not n:
         return out.ravel()[:0]
     entries, width = table(lengths)
-    raw = np.frombuffer(stream + b"\0" * 4, np.uint8).astype(np.uint32)
-    window = (raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]).astype(np.int64)  # 32 bits from each byte on
-    at, mask = checkpoints.astype(np.int64), (1 << width) - 1
+    raw = np.frombuffer(stream + b"\0" * 4, np.uint8)
+    window = raw[:-3].astype(np.uint32)  # 32 bits from each byte on
+    for part in (raw[1:-2], raw[2:-1], raw[3:]):
+        window <<= np.uint32(8)
+        window |= part
+    at, mask, most = checkpoints.astype(np.int64), np.uint32((1 << width) - 1), 32 - width
     last = n - (len(checkpoints) - 1) * block  # ids in the last block
     for k in range(min(block, n)):
         if k == last:
             at = at[:-1]
-        entry = entries[(window[at >> 3] >> (32 - width - (at & 7))) & mask]
+        entry = entries[(window[at >> 3] >> (most - (at & 7)).astype(np.uint32)) & mask]
         out[: len(at), k] = entry >> 5
         at = at + (entry & 31)
     return out.ravel()[:n]

@@ -1,7 +1,7 @@
 """Token-id files: ids of all documents in ascending doc_id order, canonical Huffman coded from global counts.
 
-``write`` encodes documents with the tokenizers library, ends each with an id, and writes files, one for each range
-of doc_id; ``read`` reads them back. The ids are encoded once, kept packed in the shared folder while all of them are
+``write`` encodes documents with the tokenizers library, ends each with an id, and writes files of about ``FILE_IDS`` ids;
+``read`` reads them back. The ids are encoded once, kept packed in the shared folder while all of them are
 counted, and then coded with the one code that the global counts give.
 
 A file: magic, header length, header (JSON), code lengths by id (zlib), doc_ids and their token counts (int64), a
@@ -12,8 +12,9 @@ Files are written under names of their own for every attempt of a task, and only
 so a lost executor or a repeated task leaves no wrong file in the result.
 
 Defined cases: a null or empty text has the end id alone; documents with a null doc_id come first; rows with equal
-doc_ids are all kept, ordered by a hash of their text. An empty table gives no files and no rows. Only the two named
-columns are used. Texts are used whole.
+doc_ids are all kept, ordered by a hash of their text, and equal rows as they come. The strings of added tokens in a
+text become those tokens, as in the library. An empty table gives no files and no rows. Only the two named columns are
+used. Texts are used whole.
 """
 
 from __future__ import annotations
@@ -29,20 +30,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import huffman
-from .bpe import ChunkCache, by_pieces
 from .common import bounded_batches, delete_dir, drop_shuffles_early, work_dir
+from .files import open_out, read_whole
+from .pieces import Encoder
 
 MAGIC = b"LSTOK1\n"
 
 
-#: Ids in one slice of the counts that a task gives.
-SLICE = 4096
+#: Ids in one slice of the counts that a task gives, and about how many are in one file. A file is held whole by the
+#: task that codes or reads it; a longer document has one of its own.
+SLICE, FILE_IDS = 4096, 1 << 23
+_MADE = ["path", "part", "seq", "n_docs", "n_ids", "slice", "counts"]
 
 
 def _byte_characters() -> dict[int, str]:
@@ -53,82 +57,91 @@ def _byte_characters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def chunk_cache(path: str) -> ChunkCache:
-    """Where the file's pre-tokenizer is byte-level with the usual pattern, pieces go straight to the library's model;
-    otherwise whole chunks go through its pipeline."""
+def encoder(path: str):
+    """From an array of texts to the packed ids of each, as the library encodes them without special tokens around.
+
+    Where the file's pre-tokenizer is byte-level with the usual pattern, distinct pieces go straight to the library's
+    model; texts with the string of an added token, which the library takes out first, and all texts of other files go
+    through the library whole."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     layout = json.loads(tokenizer.to_str())
     before = layout["pre_tokenizer"] or {}
-    if layout["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
-        model, table = tokenizer.model, {b: c for b, c in _byte_characters().items()}
-
-        def pieces(new: list[str]) -> list[bytes]:
-            written = [p.encode("utf-8").decode("latin-1").translate(table) for p in new]
-            return [array("I", [t.id for t in model.tokenize(w)]).tobytes() for w in written]
 
-        return by_pieces(public_tokenizers.PATTERN, pieces)
+    def whole(texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(chunks: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(chunks), 5000):
-            out += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks[i : i + 5000], add_special_tokens=False)]
-        return out
+    if layout["normalizer"] is not None or before.get("type") != "ByteLevel" or not before.get("use_regex") or before.get("add_prefix_space"):
+        return lambda texts: pa.array([whole([t])[0] if t else b"" for t in texts.to_pylist()], pa.binary())
+    model, characters = tokenizer.model, _byte_characters()
 
-    return ChunkCache(encode)
+    def encode(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        made = [model.tokenize(p.decode("latin-1").translate(characters)) for p in new]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter((t.id for one in made for t in one), "<u4", int(sizes.sum())), sizes
 
+    by_pieces = Encoder(encode)
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
-def _open_out(uri: str):
-    system, path = pafs.FileSystem.from_uri(uri)
-    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(path)
+    def run(texts: pa.Array) -> pa.Array:
+        has = np.zeros(len(texts), bool)
+        for a in added:
+            has |= pc.match_substring(texts.fill_null(""), a).to_numpy(zero_copy_only=False)
+        if not has.any():
+            return by_pieces.texts(texts)
+        out = by_pieces.texts(pc.if_else(pa.array(has), "", texts)).to_pylist()
+        for i in np.flatnonzero(has).tolist():
+            out[i] = whole([texts[i].as_py()])[0]
+        return pa.array(out, pa.binary())
 
-
-def _read(uri: str) -> bytes:
-    system, path = pafs.FileSystem.from_uri(uri)
-    with system.open_input_stream(path) as f:
-        return f.read()
+    return run
 
 
-def _encode_task(folder: str, tokenizer: str, end_id: int):
-    """Writes the packed ids of a partition's documents; a row for each slice of its counts by id, the first of which
-    also has path, part, n_docs and n_ids."""
+def _encode_task(folder: str, tokenizer: str, end_id: int, file_ids: int):
+    """Writes the packed ids of a partition's documents, about ``file_ids`` to a file; a row for each file (path, part, seq,
+    n_docs, n_ids) and for each slice of the partition's counts by id (slice, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        path, end = f"{folder}/ids-{part:06d}-{uuid.uuid4().hex}", struct.pack("<I", end_id)
-        counts, n_docs, n_ids = np.zeros(1 << 16, np.int64), 0, 0
-        out, press = None, zstandard.ZstdCompressor(level=1)
+        part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4")
+        counts, press, out, files = np.zeros(1 << 16, np.int64), zstandard.ZstdCompressor(level=1), None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = out or _open_out(path)
-            packed = [p + end for p in chunk_cache(tokenizer).texts(batch.column(1).to_pylist())]
-            ids = np.frombuffer(b"".join(packed), "<u4")
+            if out is None:
+                files.append([f"{folder}/ids-{part:06d}-{len(files):06d}-{uuid.uuid4().hex}", len(files), 0, 0])
+                out = open_out(files[-1][0])
+            packed = encoder(tokenizer)(batch.column(1))
+            ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64) // 4
+            held = packed.buffers()[2]
+            ids = np.frombuffer(held, "<u4")[ends[0] : ends[-1]] if held and held.size else np.zeros(0, "<u4")
+            ids = np.insert(ids, ends[1:] - ends[0], end)
             seen = np.bincount(ids)
             if len(seen) > len(counts):
                 counts = np.pad(counts, (0, len(seen) - len(counts)))
             counts[: len(seen)] += seen
-            names = batch.column(0).to_pylist()
-            lengths = np.fromiter((len(p) // 4 for p in packed), np.int64, len(packed))
             small = ids.astype("<u2") if len(seen) <= 1 << 16 else ids
             frame = press.compress(small.tobytes())
-            head = json.dumps({"docs": names, "lengths": lengths.tolist(), "bytes": small.itemsize, "size": len(frame)}).encode()
+            head = json.dumps({"docs": batch.column(0).to_pylist(), "lengths": (np.diff(ends) + 1).tolist(), "bytes": small.itemsize, "size": len(frame)}).encode()
             out.write(struct.pack("<I", len(head)) + head + frame)
-            n_docs, n_ids = n_docs + len(names), n_ids + len(ids)
+            files[-1][2] += batch.num_rows
+            files[-1][3] += len(ids)
+            if files[-1][3] >= file_ids:
+                out.close()
+                out = None
         if out:
             out.close()
+        if files:
             counts = np.pad(counts, (0, -len(counts) % SLICE)).reshape(-1, SLICE)
             used = np.flatnonzero(counts.any(axis=1))
+            path, seq, docs, ids = zip(*files, strict=True)
+            gone = lambda n, kind: pa.nulls(n, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(path), pa.array([part] * len(files), pa.int32()), pa.array(seq, pa.int32()), pa.array(docs, pa.int64()), pa.array(ids, pa.int64()), gone(len(files), pa.int64()), gone(len(files), pa.binary())], names=_MADE)
             m = len(used)
-            first = lambda x, kind: pa.array([x, *[None] * (m - 1)], kind)
-            yield pa.RecordBatch.from_pydict({"path": first(path, pa.string()), "part": first(part, pa.int32()), "n_docs": first(n_docs, pa.int64()), "n_ids": first(n_ids, pa.int64()), "slice": pa.array(used, pa.int64()), "counts": pa.array([c.tobytes() for c in counts[used]], pa.binary())})
+            yield pa.RecordBatch.from_arrays([gone(m, pa.string()), gone(m, pa.int32()), gone(m, pa.int32()), gone(m, pa.int64()), gone(m, pa.int64()), pa.array(used, pa.int64()), pa.array([c.tobytes() for c in counts[used]], pa.binary())], names=_MADE)
 
     return run
 
@@ -154,7 +167,7 @@ def _code_task(folder: str, lengths: np.ndarray):
         for batch in batches:
             for row in batch.to_pylist():
                 docs, counts, ids = [], [], []
-                for d, c, i in _packed(_read(row["path"])):
+                for d, c, i in _packed(read_whole(row["path"])):
                     docs += d
                     counts.append(c)
                     ids.append(i.astype(np.uint16 if i.itemsize == 2 else np.uint32))
@@ -162,7 +175,7 @@ def _code_task(folder: str, lengths: np.ndarray):
                 arrays = [np.array([d or 0 for d in docs], "<i8"), np.concatenate(counts).astype("<i8"), np.array([d is None for d in docs], np.uint8), points.astype("<u8")]
                 head = json.dumps({"start": row["start"], "n_docs": row["n_docs"], "n_ids": row["n_ids"], "block": huffman.BLOCK, "table": len(table), "stream": len(stream)}).encode()
                 path = f"{folder}/tokens-{row['part']:06d}-{uuid.uuid4().hex}.lstok"
-                with _open_out(path) as out:
+                with open_out(path) as out:
                     for piece in (MAGIC, struct.pack("<I", len(head)), head, table, *[a.tobytes() for a in arrays], stream):
                         out.write(piece)
                 yield pa.RecordBatch.from_pydict({"path": [path], "part": pa.array([row["part"]], pa.int32()), "start": [row["start"]], "n_docs": [row["n_docs"]], "n_ids": [row["n_ids"]], "n_bytes": [len(stream)]})
@@ -170,15 +183,18 @@ def _code_task(folder: str, lengths: np.ndarray):
     return run
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the files and returns their manifest, itself a table in the folder."""
     spark = docs.sparkSession
     bounded_batches(spark)
     drop_shuffles_early(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    made = ordered.mapInArrow(_encode_task(f"{folder}/ids", tokenizer, end_id), "path string, part int, n_docs long, n_ids long, slice long, counts binary")
+    # A null or repeated doc_id may hold many rows: its rows are dealt out by the hash of their text, equal ones by number.
+    rows = rows.withColumns({"h": F.xxhash64("text"), "no": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc(), F.col("no").asc()]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    made = ordered.mapInArrow(_encode_task(f"{folder}/ids", tokenizer, end_id, file_ids), "path string, part int, seq int, n_docs long, n_ids long, slice long, counts binary")
     made.write.parquet(f"{folder}/ids-manifest")
     made = spark.read.parquet(f"{folder}/ids-manifest")
 
@@ -187,12 +203,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
         return pa.table({"slice": [key[0].as_py()], "counts": pa.array([total.tobytes()], pa.binary())})
 
     # Counts by id: as large as the vocabulary.
-    slices = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in made.select("slice", "counts").groupBy("slice").applyInArrow(add, "slice long, counts binary").collect()}
+    slices = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in made.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice long, counts binary").collect()}
     by_id = np.concatenate([slices.get(i, np.zeros(SLICE, np.int64)) for i in range(max(slices, default=0) + 1)])
-    # A row for each file.
+    # A row for each file, of FILE_IDS ids or so.
     start, starts = 0, []
-    for r in sorted(made.where("path IS NOT NULL").select("path", "part", "n_docs", "n_ids").collect(), key=lambda r: r["part"]):
-        starts.append((r["path"], r["part"], start, r["n_docs"], r["n_ids"]))
+    for r in made.where("path IS NOT NULL").select("path", "part", "seq", "n_docs", "n_ids").orderBy("part", "seq").collect():
+        starts.append((r["path"], len(starts), start, r["n_docs"], r["n_ids"]))
         start += r["n_ids"]
     listed = spark.createDataFrame(starts, "path string, part int, start long, n_docs long, n_ids long").repartition(max(1, len(starts)))
     coded = listed.mapInArrow(_code_task(f"{folder}/tokens", huffman.code_lengths(by_id)), "path string, part int, start long, n_docs long, n_ids long, n_bytes long")
@@ -229,7 +245,7 @@ def read(manifest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                docs, counts, ids, start = read_file(_read(path))
+                docs, counts, ids, start = read_file(read_whole(path))
                 ends = np.cumsum(counts)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 for a in range(0, len(docs), 512):

@@ -9,7 +9,7 @@ that of the full payload. Files are named anew by each attempt of a task, and on
 count, so lost executors and repeated tasks leave no wrong file in the result.
 
 Defined cases: a null html is an empty payload; a null url has no target URI; line ends in urls are percent-encoded.
-Rows with equal page_id and payload as the response are responses too. Null page_ids come after all others: such a row
+Rows with equal page_id and payload as the response are responses too (with one record ID; it is made of the page_id). Null page_ids come after all others: such a row
 revisits any row that has an id, and is a response where none has. An empty table gives no archives and no rows. Only
 the three named columns are used.
 """
@@ -28,8 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_shuffles_early, hot_join, work_dir
-from .token_files import _open_out, _read
+from .common import bounded_batches, drop_shuffles_early, hot_join, work_dir, written
+from .files import open_out, read_whole
 
 ARCHIVE_BYTES = 24_000_000
 DICTIONARY_BYTES = 65_536
@@ -41,14 +41,20 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def plan(pages: DataFrame, least: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, html, digest, n_bytes, response (the page_id that a revisit refers to, else null)."""
+    """page_id, url, html, digest, n_bytes, response (the page_id that a revisit refers to, else null).
+
+    What revisits what is decided on ids and digests alone; payloads are joined by page_id, of which none holds many
+    rows, and don't meet in one task for being equal."""
     c = lambda name: F.col(f"`{name}`")
     rows = pages.select(c(id_col).cast("long").alias("page_id"), c(url_col).alias("url"), F.coalesce(c(html_col), F.lit("")).alias("html"))
     rows = rows.select("*", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("n_bytes"))
-    small = rows.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    spread = F.coalesce(F.col("page_id").cast("string"), F.hash("url").cast("string"))
-    joined = hot_join(rows, small, ["digest"], "n", ["first"], pages.count(), spread)
-    return joined.select("page_id", "url", "html", "digest", "n_bytes", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("response"))
+    slim = written(rows.where(F.col("n_bytes") >= least).select("page_id", "digest"), "warc-digests")
+    firsts = slim.groupBy("digest").agg(F.min("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1 AND response IS NOT NULL")
+    told = hot_join(slim, firsts, ["digest"], "n", ["response"], slim.count(), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    revisits = told.where(~F.col("page_id").eqNullSafe(F.col("response")) & F.col("response").isNotNull()).distinct()
+    revisits = revisits.select(F.col("page_id").alias("id"), F.col("digest").alias("of"), "response")
+    joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left")
+    return joined.select("page_id", "url", "html", "digest", "n_bytes", "response")
 
 
 def record(row: dict) -> bytes:
@@ -113,7 +119,7 @@ def write(planned: DataFrame, folder: str) -> DataFrame:
         def flush() -> pa.RecordBatch:
             path = f"{folder}/pages-{uuid.uuid4().hex}.warc.zst"
             data = archive(held)
-            with _open_out(path) as out:
+            with open_out(path) as out:
                 out.write(data)
             return pa.RecordBatch.from_pydict({"path": [path], "n_records": [len(held)], "n_bytes": [len(data)]})
 
@@ -143,7 +149,7 @@ def read(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows = []
-                for head, block in records(_read(path)):
+                for head, block in records(read_whole(path)):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     revisit = head["WARC-Type"] == "revisit"
                     length = int(re.search(rb"Content-Length: (\d+)", http)[1])
@@ -157,7 +163,9 @@ def read(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    paths = manifest.select("path").repartition(max(1, manifest.count()))
+    size = manifest.agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("b")).first()
+    tasks = min(size["n"], max(manifest.sparkSession.sparkContext.defaultParallelism, (size["b"] or 0) // ARCHIVE_BYTES))
+    paths = manifest.select("path").repartition(max(1, tasks))
     return paths.mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 

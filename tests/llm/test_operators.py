@@ -1,6 +1,7 @@
 """The ten operators against plain versions, on small fixtures with nulls, empty and long texts, ties and odd columns."""
 
 import hashlib
+import re
 import zlib
 
 import brute
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkspark.llm import bpe, chat_format, decontaminate, fm_index, huffman, line_dedup, ngram_join, quality_classifier, quality_rules, token_files, toxicity, warc
+from linkspark.llm import bpe, chat_format, common, decontaminate, fm_index, huffman, line_dedup, ngram_join, pieces, quality_classifier, quality_rules, token_files, toxicity, warc
 from linkspark.llm.common import hot_join, work_dir
 
 DOCS = "doc_id long, text string"
@@ -31,6 +32,21 @@ def test_hot_join(spark):
     assert len(got) == 3000 and all(got[i] == (1 if i < 1000 else i + 1 if i % 2 == 0 else None) for i in range(3000))
 
 
+def test_hot_join_deals_served_rows_out(spark):
+    """The salt is a part of the second join's key: rows of a hot key don't meet in one task."""
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("r"))
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("k") + 1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = hot_join(rows, table, ["k"], "n", ["v"], 3000, F.col("r").cast("string"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    (join,) = re.findall(r"SortMergeJoin \[(.*?)\], \[(.*?)\]", plan)
+    assert all("__spread" in side for side in join) and "(__spread" not in plan
+    assert len(re.findall(r"Exchange hashpartitioning\(k#\d+L?, __spread", plan)) == 2
+
+
 def test_line_dedup(docs, none, texts):
     made = line_dedup.drop_lines(docs.withColumn("extra", F.lit(1)).withColumn("__gone1", F.lit(2)))
     assert made.columns == ["doc_id", "text", "extra", "__gone1"]
@@ -57,6 +73,13 @@ def test_bpe(spark, docs, none, texts):
         ids = np.array(library.encode_ordinary(t or ""), "<u4").tobytes()
         assert (got[d]["n_tokens"], got[d]["ids_sha256"], got[d]["decoded_sha256"]) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
     assert bpe.digest(none).count() == 0
+    clash = bpe.encode_decode(docs.where("doc_id < 3").select("doc_id", "text", F.lit(1).alias("decoded"), F.lit(2).alias("Token_IDs"), F.lit(3).alias("__both")))
+    assert clash.columns == ["doc_id", "text", "decoded", "Token_IDs", "__both", "token_ids_1", "decoded_1"]
+    assert all((x["decoded"], x["Token_IDs"], x["__both"], bytes(x["decoded_1"]).decode()) == (1, 2, 3, x["text"]) for x in clash.collect())
+    twice = [x["ids_sha256"] for x in bpe.digest(docs.unionByName(docs).where("doc_id = 206")).collect()]
+    assert twice == [got[206]["ids_sha256"]] * 2
+    both = docs.select("text", bpe.encode(F.col("text"), pt.path("byte_bpe_multi_50k.tiktoken")).alias("i")).select("text", bpe.decode(F.col("i"), pt.path("byte_bpe_multi_50k.tiktoken")).alias("d"))
+    assert all(bytes(x["d"]).decode() == (x["text"] or "") for x in both.collect())
     long = "abcde" * 3000
     assert bpe.merge_one(long.encode(), r) == library.encode_ordinary(long)
 
@@ -96,7 +119,7 @@ def test_huffman():
         ids = (rng.zipf(1.3, n) % k).astype(np.uint16)
         lengths = huffman.code_lengths(np.bincount(ids))
         stream, points = huffman.encode(ids, lengths, huffman.canonical(lengths))
-        assert lengths.max() <= huffman.LIMIT and (huffman.decode(stream, points, n, lengths) == ids).all()
+        assert lengths.max() <= max(huffman.LIMIT, 18) and (huffman.decode(stream, points, n, lengths) == ids).all()
     assert huffman.encode(np.zeros(0, np.uint16), np.zeros(1, np.uint8), np.zeros(1, np.uint32))[0] == b""
 
 
@@ -116,6 +139,67 @@ def test_token_files(spark, docs, none, texts):
     assert token_files.read(token_files.write(none, work_dir(spark, "t"), path)).count() == 0
 
 
+def test_token_files_special_strings_and_bounds(spark, monkeypatch):
+    """Strings of added tokens as the library has them; repeated and null ids; files of few ids; other kinds of vocabulary."""
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers as pt
+
+    rows = [(5, "a<|endoftext|>b"), (1, "<|endoftext|>"), (2, "x <|endoftext|> y <|im_end|>"), (3, "'s it's 'll '")] + [(4, f"same id {i % 7}") for i in range(40)] + [(None, None)] * 20
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    monkeypatch.setattr(common, "BATCH_ROWS", 4)  # files end with a batch
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = pt.path(name)
+        library = tokenizers.Tokenizer.from_file(path)
+        manifest = token_files.write(docs, work_dir(spark, "t"), path, file_ids=20)
+        assert manifest.count() > 5
+        got = sorted(token_files.read(manifest).collect(), key=lambda r: r["start"])
+        assert [r["doc_id"] or 0 for r in got] == sorted(d or 0 for d, _ in rows)
+        ids = lambda t: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
+        assert sorted((r["doc_id"] or 0, bytes(r["token_ids"])) for r in got) == sorted((d or 0, ids(t)) for d, t in rows)
+        assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+
+
+def test_huffman_of_a_large_vocabulary():
+    ids = np.random.default_rng(4).permutation(np.arange(140_000, dtype=np.uint32) % 100_000)
+    lengths = huffman.code_lengths(np.bincount(ids))
+    stream, points = huffman.encode(ids, lengths, huffman.canonical(lengths))
+    assert huffman.LIMIT < lengths.max() <= huffman.MOST and (huffman.decode(stream, points, len(ids), lengths) == ids).all()
+
+
+def test_pieces():
+    """Cuts as the pattern's own, over texts that are made of what it tells apart; kinds of characters as the library's."""
+    import public_tokenizers as pt
+    import pyarrow as pa
+    import regex
+    from tokenizers import pre_tokenizers
+
+    find, rng = regex.compile(pt.PATTERN).findall, np.random.default_rng(3)
+    of = ["'", "s", "t", "re", "ve", "ll", "d", "m", " ", "  ", "\n", "\t", "a", "é", "字", "1", "٣", "!", "\u2003", "\u3000", "'s", "\U0001f600", "\U00010400", "\x1c", "\x85", "Z"]
+    for _ in range(500):
+        texts = ["".join(rng.choice(of, rng.integers(0, 30))) for _ in range(rng.integers(1, 6))]
+        data, offsets = pieces.bytes_of(pa.array([*texts, None]))
+        begins = offsets[:-1]
+        at = pieces.starts(data, begins[begins < offsets[1:]])
+        assert [bytes(data[a:b]).decode() for a, b in zip(at, [*at[1:], len(data)], strict=False)] == [p for t in texts for p in find(t)]
+    cut = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    kinds = pieces.kinds()
+    for c in [*range(0x80, 0x3200, 3), *range(0x3200, 0x30000, 97)]:
+        if not 0xD800 <= c < 0xE000:
+            n = [b - a for _, (a, b) in cut("a" + chr(c) + "1!")]
+            assert {2: pieces.LETTER, 1: kinds[c]}[n[0]] == kinds[c], hex(c)
+
+
+def test_long_texts_are_taken_apart(monkeypatch):
+    import public_tokenizers as pt
+    import pyarrow as pa
+
+    path = pt.path("byte_bpe_multi_50k.tiktoken")
+    texts = ["some words 12 and it's so" * 9, "x" * 300, None, "", "字" * 100, "a b " * 50]
+    whole = bpe.encoder(path).texts(pa.array(texts)).to_pylist()
+    monkeypatch.setattr(pieces, "BLOCK_BYTES", 40)
+    assert pieces.Encoder(lambda new: bpe.merge_many(new, bpe.ranks(path)), 5).texts(pa.array(texts)).to_pylist() == whole
+
+
 def test_quality_classifier(spark):
     good, bad = "the cat and the dog of the house are in a garden with it " * 6, "%%% ### " * 40
     rows = [(i, (good if i % 3 else bad) + str(i), f"h{i % 4}", None if i == 5 else "p") for i in range(300)] + [(900, None, None, "p")]

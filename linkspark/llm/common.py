@@ -16,6 +16,8 @@ BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 #: A key is hot when it holds more than 1/HOT_SHARE of all rows; hence there are fewer than HOT_SHARE hot keys,
 #: which is the proven bound of what ``hot_join`` broadcasts.
 HOT_SHARE = 256
+#: Bits of the maps by which rows are told that surely have no partner: 8 MB to broadcast.
+MAP_BITS = 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,8 +44,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again, which cuts its lineage."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._linkspark_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing refers to any more."""
+    for t in tables:
+        delete_dir(t.sparkSession, t._linkspark_path)
 
 
 def delete_dir(spark: SparkSession, path: str) -> None:
@@ -92,6 +102,27 @@ def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructTyp
     return T.StructType([*schema.fields, T.StructField(name, kind, True)])
 
 
+def _place(key: Column) -> Column:
+    return F.pmod(key, F.lit(MAP_BITS))
+
+
+def bit_map(keys: DataFrame, key: str) -> DataFrame:
+    """A map of fixed size (``MAP_BITS``) of a column of 64-bit hashes, in rows (part, bits) of 4 KB."""
+    at = _place(F.col(key))
+    parts = keys.select(F.shiftright(at, 15).alias("part"), at.bitwiseAND(32767).alias("at"))
+    return parts.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def in_map(rows: DataFrame, made: DataFrame, key: Column) -> tuple[DataFrame, Column]:
+    """rows joined with a broadcast ``bit_map``, and whether a row's key may be in it: null or false if it isn't for sure.
+    Maps that are nearly full let everything pass, which costs work and loses nothing."""
+    part, bits = fresh(rows, "map_part"), fresh(rows, "map_bits")
+    joined = rows.join(F.broadcast(made.select(F.col("part").alias(part), F.col("bits").alias(bits))), F.shiftright(_place(key), 15) == F.col(part), "left")
+    at = _place(key).bitwiseAND(32767).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return joined, F.col(bits).isNotNull() & (F.pmod(F.call_function("shiftright", byte, at.bitwiseAND(7)), F.lit(2)) == 1)
+
+
 def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str, values: list[str], total: int, spread: Column) -> DataFrame:
     """rows left-joined with table on keys, where a key may hold a third of all rows.
 

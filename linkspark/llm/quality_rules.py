@@ -42,7 +42,7 @@ RULES = (
     Rule("symbols_per_word", None, 0.10),
     Rule("marks_per_word", None, 0.50),
     Rule("stop_word_share", 0.02, None),
-    Rule("dup_line_share", None, 0.30),
+    Rule("dup_char_share", None, 0.30),  # of lines by their characters, so that repeated short lines weigh little
     Rule("repeat_word_share", None, 0.50),
 )
 
@@ -59,6 +59,7 @@ RATIOS = {
     "marks_per_word": lambda c: _per(c["n_marks"], c["n_words"]),
     "stop_word_share": lambda c: _per(c["n_stop_words"], c["n_words"]),
     "dup_line_share": lambda c: _per(c["n_dup_lines"], c["n_lines"]),
+    "dup_char_share": lambda c: _per(c["n_dup_chars"], c["n_line_chars"]),
     "repeat_word_share": lambda c: _per(c["n_repeat_words"], c["n_words"]),
 }
 
@@ -106,6 +107,8 @@ def counts(text: Column) -> Column:
             F.size(F.filter(v["w"], lambda x: F.lower(x).isin(*sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
             F.size(v["l"]).cast("long").alias("n_lines"),
             (F.size(v["l"]) - F.size(F.array_distinct(v["l"]))).cast("long").alias("n_dup_lines"),
+            F.length(F.array_join(v["l"], "")).cast("long").alias("n_line_chars"),
+            (F.length(F.array_join(v["l"], "")) - F.length(F.array_join(F.array_distinct(v["l"]), ""))).cast("long").alias("n_dup_chars"),
             let(v["w"], _repeats).alias("n_repeat_words"),
         ),
     )
@@ -143,7 +146,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("__c")
     rows = measure(docs, "text", "__c")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    more = ["n_lines", "n_marks", "n_stop_words"]
+    more = ["n_lines", "n_marks", "n_stop_words", "n_dup_chars"]
     return rows.select("doc_id", *[c[n].alias(n) for n in names], base_failed(c).alias("base_failed"), (~base_failed(c) & compile_rules(c)).alias("kept"), *[c[n].alias(n) for n in more])
 
 
@@ -162,10 +165,11 @@ m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))
   length(regexp_replace(t, '[^!?]+', '', 'g'))::BIGINT AS n_marks,
   len(list_filter(w, lambda x: lower(x) IN ({stop})))::BIGINT AS n_stop_words,
   len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+  length(array_to_string(l, ''))::BIGINT AS n_line_chars, (length(array_to_string(l, '')) - length(array_to_string(list_distinct(l), '')))::BIGINT AS n_dup_chars,
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN p USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars / n_words BETWEEN 2.0 AND 25.0 AND n_symbols / n_words <= 0.10 AND n_marks / n_words <= 0.50
-  AND n_stop_words / n_words >= 0.02 AND (n_lines = 0 OR n_dup_lines / n_lines <= 0.30) AND n_repeat_words / n_words <= 0.50 AS kept,
-  n_lines, n_marks, n_stop_words
+  AND n_stop_words / n_words >= 0.02 AND (n_line_chars = 0 OR n_dup_chars / n_line_chars <= 0.30) AND n_repeat_words / n_words <= 0.50 AS kept,
+  n_lines, n_marks, n_stop_words, n_dup_chars
 FROM b"""

@@ -2,9 +2,10 @@
 
 A logistic regression over the measures of ``quality_rules`` gives each document's evidence. Its probabilities are
 summed by host and by path within host through grouped aggregation. A host's posterior mean shrinks toward the global
-mean, a path's toward its host's, each by a prior weight fitted from the spread of the groups (method of moments), so
-sparse sites hardly move. A document's score is its evidence shifted by how far its path's posterior lies from the
-global mean, in log-odds, by ``MOST_SHIFT`` at most.
+mean, a path's toward its host's. The prior's weight is fitted by the method of moments: the documents' variance within
+paths, over what the variance of the group means has beyond the share that this alone explains. So sparse sites hardly
+move, and where groups differ by no more than chance, none does. A document's score is its evidence shifted by how far
+its path's posterior lies from the global mean, in log-odds, by ``MOST_SHIFT`` at most (a parameter).
 
 The regression is fitted on at most ``SAMPLE`` labelled rows (the bound is this parameter; the rows are chosen by a
 hash of doc_id); all sums and posteriors cover all documents.
@@ -29,9 +30,8 @@ from .common import hot_join, written
 from .toxicity import held_out
 
 SAMPLE = 20_000
+#: How far a site may move a document, in log-odds; a parameter of ``classify``, None for no bound.
 MOST_SHIFT = 2.0
-#: Bounds of the fitted prior weights, in documents.
-LEAST_PRIOR, MOST_PRIOR = 1.0, 10_000.0
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -43,7 +43,7 @@ def vector(c: Column) -> list[Column]:
     """What the regression sees of a document: bounded ratios, and which rules of the table hold."""
     ratio = {k: f(c) for k, f in rules.RATIOS.items()}
     out = [F.log1p(ratio["n_words"]) / 10, F.least(ratio["mean_word_chars"], F.lit(30.0)) / 10]
-    out += [F.least(ratio[k], F.lit(2.0)) for k in ("symbols_per_word", "marks_per_word", "stop_word_share", "dup_line_share", "repeat_word_share")]
+    out += [F.least(ratio[k], F.lit(2.0)) for k in ("symbols_per_word", "marks_per_word", "stop_word_share", "dup_line_share", "dup_char_share", "repeat_word_share")]
     return out + [rules.compile_rules(c, [r]).cast("double") for r in rules.RULES]
 
 
@@ -65,11 +65,16 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> n
     return w
 
 
-def _prior(mean: float, spread: float | None) -> float:
-    """The prior's weight in documents, from the variance of group means around ``mean``."""
-    if not spread or spread <= 0:
-        return MOST_PRIOR
-    return min(MOST_PRIOR, max(LEAST_PRIOR, mean * (1 - mean) / spread - 1))
+def _prior(noise: float, spread: float, groups: int, total: int) -> float | None:
+    """The prior's weight in documents, by the method of moments; None: all weight. noise: the variance of a document
+    around its group's mean; spread: the weighted variance of the group means, of which noise alone makes up
+    groups * noise / total."""
+    own = spread - groups * noise / total if total else 0.0
+    return noise / own if own > 0 else None
+
+
+def _shrunk(prior: Column, sums: Column, n: Column, k: float | None) -> Column:
+    return prior if k is None else (prior * k + sums) / (n + k)
 
 
 def _logit(p: Column) -> Column:
@@ -77,7 +82,7 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most_shift: float | None = MOST_SHIFT) -> DataFrame:
     """doc_id, held_out, evidence, host_posterior, path_posterior, score, predicted."""
     c = F.col("__c")
     measured = rules.measure(docs.select(F.col(f"`{id_col}`").alias("doc_id"), host.alias("host"), path.alias("path"), F.col(f"`{text_col}`").alias("__t")), "__t", "__c")
@@ -90,21 +95,24 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, lab
     w = fit(np.array([r["x"] for r in seen], float).reshape(len(seen), n), np.array([r["y"] for r in seen], float))
     evidence = sum((F.get("x", F.lit(i)) * float(w[i]) for i in range(n)), F.lit(float(w[-1])))
     scored = rows.select("doc_id", "host", "path", evidence.alias("evidence")).withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
-    by_path = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"))
+    by_path = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") ** 2).alias("q"))
     by_path = written(by_path, "quality-paths")
-    by_host = by_path.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    g = by_host.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).first()
+    by_host = by_path.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.count(F.lit(1)).alias("paths"))
+    # One row each: sums over sites, whose means vary more than their documents' noise lets expect.
+    g = by_path.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") ** 2 / F.col("n")).alias("m"), F.count(F.lit(1)).alias("paths")).first()
+    h = by_host.agg(F.sum(F.col("hs") ** 2 / F.col("hn")).alias("m"), F.count(F.lit(1)).alias("hosts")).first()
     total = g["n"] or 0
-    mean = min(1 - 1e-6, max(1e-6, (g["s"] or 0.0) / total if total else 0.5))
-    spread = by_host.agg((F.sum(F.col("hn") * (F.col("hs") / F.col("hn") - mean) ** 2) / F.sum("hn")).alias("v")).first()["v"]
-    k = _prior(mean, spread)
-    hosts = by_host.select("host", ((k * mean + F.col("hs")) / (k + F.col("hn"))).alias("host_posterior"))
+    mean = min(1 - 1e-6, max(1e-6, g["s"] / total)) if total else 0.5
+    noise = max(0.0, g["q"] - g["m"]) / (total - g["paths"]) if total > g["paths"] else 0.0
+    k = _prior(noise, max(0.0, h["m"] / total - (g["s"] / total) ** 2), h["hosts"] - 1, total) if total else None
+    hosts = by_host.select("host", _shrunk(F.lit(mean), F.col("hs"), F.col("hn"), k).alias("host_posterior"))
+    k = _prior(noise, max(0.0, g["m"] - h["m"]) / total, g["paths"] - h["hosts"], total) if total else None
     paths = by_path.join(hosts, "host")
-    inner = paths.agg((F.sum(F.col("n") * (F.col("s") / F.col("n") - F.col("host_posterior")) ** 2) / F.sum("n")).alias("v")).first()["v"]
-    k = _prior(mean, inner)
-    paths = paths.select("host", "path", "n", "host_posterior", ((k * F.col("host_posterior") + F.col("s")) / (k + F.col("n"))).alias("path_posterior"))
+    paths = paths.select("host", "path", "n", "host_posterior", _shrunk(F.col("host_posterior"), F.col("s"), F.col("n"), k).alias("path_posterior"))
     joined = hot_join(scored.select("doc_id", "host", "path", "evidence"), paths, ["host", "path"], "n", ["host_posterior", "path_posterior"], total, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    shift = F.least(F.greatest(_logit(F.col("path_posterior")) - math.log(mean / (1 - mean)), F.lit(-MOST_SHIFT)), F.lit(MOST_SHIFT))
+    shift = _logit(F.col("path_posterior")) - math.log(mean / (1 - mean))
+    if most_shift is not None:
+        shift = F.least(F.greatest(shift, F.lit(-most_shift)), F.lit(most_shift))
     out = joined.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "evidence", "host_posterior", "path_posterior", (1 / (1 + F.exp(-(F.col("evidence") + shift)))).alias("score"))
     return out.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small fixtures."""
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -90,3 +91,53 @@ def lines(rows, templates, depth, least_tokens, field, least_docs=3):
         if len(of) >= least_docs and d != min((x for x in of if x is not None), default=None):
             gone[d, t].add(i)
     return {(d, t): None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d, t]) for d, t in rows}
+
+
+def ftrl(docs, labels, epochs, alpha, beta, l1, least_docs):
+    """Follow the regularised leader, one coordinate at a time: (bias, {feature: weight other than 0})."""
+    share = (sum(labels) + 1) / (len(labels) + 2)
+    start = math.log(share / (1 - share))
+    count = Counter(f for d in docs for f in d)
+    z, n = defaultdict(float), defaultdict(float)
+    z["bias"] = -start * beta / alpha
+
+    def weight(f):
+        bound = 0 if f == "bias" else l1
+        return 0.0 if abs(z[f]) <= bound else -(z[f] - math.copysign(bound, z[f])) / ((beta + math.sqrt(n[f])) / alpha)
+
+    for _ in range(epochs):
+        for d, y in zip(docs, labels):
+            used = ["bias", *(f for f in d if count[f] >= least_docs)]
+            w = {f: weight(f) for f in used}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for f in used:
+                sigma = (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha
+                z[f] += g - sigma * w[f]
+                n[f] += g * g
+    return weight("bias"), {f: weight(f) for f in list(z) if f != "bias" and weight(f)}
+
+
+def empirical_bayes(rows, most_shift):
+    """rows: (host, path, evidence). Host and path posteriors and the score of each."""
+    p = [1 / (1 + math.exp(-e)) for _, _, e in rows]
+    mean = sum(p) / len(p)
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for (h, a, _), x in zip(rows, p):
+        hosts[h].append(x)
+        paths[h, a].append(x)
+    of = lambda xs: sum(xs) / len(xs)
+    noise = sum((x - of(xs)) ** 2 for xs in paths.values() for x in xs) / (len(p) - len(paths))
+
+    def shrunk(groups, prior, centre, freedom):
+        spread = sum(len(xs) * (of(xs) - centre(k)) ** 2 for k, xs in groups.items()) / len(p) - freedom * noise / len(p)
+        return {k: (noise / spread * prior(k) + sum(xs)) / (noise / spread + len(xs)) if spread > 0 else prior(k) for k, xs in groups.items()}
+
+    by_host = shrunk(hosts, lambda k: mean, lambda k: mean, len(hosts) - 1)
+    by_path = shrunk(paths, lambda k: by_host[k[0]], lambda k: of(hosts[k[0]]), len(paths) - len(hosts))
+    odds = lambda x: math.log(x / (1 - x))
+    out = []
+    for h, a, e in rows:
+        shift = odds(by_path[h, a]) - odds(mean)
+        shift = shift if most_shift is None else max(-most_shift, min(most_shift, shift))
+        out.append((by_host[h], by_path[h, a], 1 / (1 + math.exp(-e - shift))))
+    return out

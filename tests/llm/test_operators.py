@@ -56,6 +56,28 @@ def test_line_dedup(docs, none, texts):
     assert line_dedup.drop_lines(none).count() == 0
 
 
+def test_line_dedup_names_and_ids(spark):
+    """Columns named as the operator's own; null and repeated doc_ids; repeated rows; null texts."""
+    line = "the very same line stands in all of these"
+    rows = [(2, f"{line}\nown two"), (2, f"{line}\nown two"), (2, f"other\n{line}"), (None, f"{line}\nnone"), (None, None), (5, line), (7, line), (8, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for c in ("__gone", "__row", "__doc", "__line_gone", "__line_row", "__line_of", "__map_part", "at", "line", "n", "leaf", "row", "h"):
+        docs = docs.withColumn(c, F.lit(c))
+    made = line_dedup.drop_lines(docs, n_dropped="dropped").collect()
+    assert sorted((str(r["doc_id"]), str(r["text"]), r["dropped"]) for r in made) == sorted([("2", f"{line}\nown two", 0)] * 2 + [("2", f"other\n{line}", 0), ("None", "none", 1), ("None", "None", 0), ("5", "", 1), ("7", "", 1), ("8", "None", 0)])
+    assert all(r["__gone"] == "__gone" and r["leaf"] == "leaf" for r in made)
+
+
+def test_line_blocks(spark):
+    """A leaf that is dealt out in blocks gives the templates that it would give as a whole."""
+    lines = [f"one and two {a}{b} went home again by {c}" for a in "abcdefgh" for b in "abcdefgh" for c in ("car", "bus", "air")] + ["one and two are not like any other line here"]
+    rows = [(i, x) for i, x in enumerate(lines)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for block in (20, 20_000):
+        gone = {r["doc_id"] for r in line_dedup.dropped(docs, block_lines=block).collect()}
+        assert gone == set(range(1, 192)), block
+
+
 def test_line_templates():
     lines = [f"user {n} has left the room again" for n in ("ann", "bob", "cy")] + ["an entirely different line with seven tokens"]
     names = {name: own for name, own in line_dedup.templates(lines, [1, 1, 1, 1])}
@@ -99,6 +121,53 @@ def test_ngram_join_ties(spark):
     assert got.count() == 5 and {r["component_id"] for r in got.collect()} == {1, 2}
 
 
+def test_keep_one(spark):
+    """One row of each component: repeated rows, null ids, ids with several texts, and columns named as the operator's own."""
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(4, a), (4, a), (3, a), (None, a), (None, b), (None, b), (9, None), (9, ""), (None, " "), (5, "z y x w"), (5, "one two three four")]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(c) for c in ("__kept", "__row", "__rows", "row", "rows", "cls", "n", "root")})
+    made = ngram_join.keep_one(docs)
+    assert made.columns == docs.columns
+    assert sorted((str(r["doc_id"]), str(r["text"]), r["__kept"]) for r in made.collect()) == sorted((str(d), str(t), "__kept") for d, t in [rows[2], rows[4], *rows[6:]])
+    assert ngram_join.keep_one(docs.where("false")).count() == 0
+
+
+def test_components(spark):
+    """Paths, hubs of many links and double links."""
+    rng = np.random.default_rng(8)
+    links = [(i, i + 1) for i in range(40)] + [(1000, i) for i in range(1001, 1400)] + [(5000, 5000), (6001, 6000), (6000, 6001)] + [(2000 + int(a), 2000 + int(b)) for a, b in rng.integers(0, 60, (40, 2))]
+    got = {r["cls"]: r["root"] for r in ngram_join.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    parent = {x: x for e in links for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        p, q = find(a), find(b)
+        parent[max(p, q)] = min(p, q)
+    assert got == {x: find(x) for x in parent if find(x) != x}
+
+
+def test_blocks_of_the_join(spark, monkeypatch):
+    """Groups of near copies larger than a block, and a token of more classes than are merged."""
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        w[rng.integers(0, 60)] = f"x{i % 50}"
+        rows.append((i, " ".join(w[: 60 - i % 2])))
+    rows += [(200 + i, " ".join(rng.choice(base, 30))) for i in range(30)]
+    want = brute.jaccard(rows)
+    for limit in (100_000, 20):
+        monkeypatch.setattr(ngram_join, "CHUNK", 8)
+        monkeypatch.setattr(ngram_join, "MERGE_LIMIT", limit)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.join(spark.createDataFrame(rows, DOCS)).collect()}
+        assert got == want
+
+
 def test_toxicity(spark):
     rows = [(i, ("some plain words stand here number%d " % (i % 50)) + ("idiot scum" if i % 4 == 0 else "friend")) for i in range(400)] + [(900, None), (901, ""), (None, "x")]
     docs = spark.createDataFrame(rows, DOCS)
@@ -113,6 +182,31 @@ def test_toxicity(spark):
     assert not len(names) and bias == 0
 
 
+def test_toxicity_against_plain_version():
+    rng = np.random.default_rng(9)
+    docs = [np.unique(rng.zipf(1.3, 40) % 300).astype(np.uint64) for _ in range(300)]
+    labels = [int((7 in d) ^ (rng.random() < 0.1)) for d in docs]
+    bias, names, weights = toxicity.fit(docs, labels)
+    want_bias, want = brute.ftrl([d.tolist() for d in docs], labels, toxicity.EPOCHS, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.LEAST_DOCS)
+    assert want and bias == pytest.approx(want_bias) and dict(zip(names.tolist(), weights.tolist(), strict=True)) == pytest.approx(want)
+    scorer = toxicity.Scorer(bias, names, weights)
+    assert toxicity.features("a B c").tolist() == toxicity.features("A b C").tolist() and len(toxicity.features("a b c")) == 6
+    assert scorer.score(None) == scorer.score("") == pytest.approx(1 / (1 + np.exp(-bias)))
+
+
+def test_toxicity_defined_cases(spark, none):
+    """Empty tables, repeated rows and labels, ties."""
+    rows = [(i, "calm plain words" if i % 2 else "vile scum words") for i in range(200)]
+    docs = spark.createDataFrame(rows * 2, DOCS)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)] * 2, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    once = toxicity.train(spark.createDataFrame(rows, DOCS), labels)
+    assert model[0] == once[0] and (model[1] == once[1]).all() and (model[2] == once[2]).all()
+    assert toxicity.train(none, labels)[0] == 0 and none.select(toxicity.score(F.col("text"), model, spark)).count() == 0
+    scores = {r["t"]: r["s"] for r in docs.select(F.col("text").alias("t"), toxicity.score(F.col("text"), model, spark).alias("s")).collect()}
+    assert len(scores) == 2 and scores["vile scum words"] > 0.5 > scores["calm plain words"]
+
+
 def test_huffman():
     rng = np.random.default_rng(2)
     for n, k in ((1, 1), (5, 2), (4096, 9), (4097, 300), (60_000, 40_000)):
@@ -212,6 +306,49 @@ def test_quality_classifier(spark):
     assert quality_classifier.classify(docs.where("false"), labels, F.col("host"), F.col("path")).count() == 0
 
 
+@pytest.mark.parametrize("most_shift", [None, 0.3])
+def test_quality_classifier_against_plain_version(spark, most_shift):
+    """Hosts and paths that differ, sparse ones, repeated rows and ties: posteriors and scores as worked out plainly."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(400):
+        host, path = f"h{min(int(rng.zipf(1.5)), 30)}", f"p{rng.integers(0, 3)}"
+        good = rng.random() < (0.8 if host == "h1" else 0.3 if path == "p1" else 0.5)
+        rows.append((i, ("the cat and the dog of the house are in a garden " if good else "%% word ### ") * int(rng.integers(2, 30)), host, path))
+    rows += rows[:20]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame([(i, int("cat" in rows[i][1])) for i in range(0, 300, 3)] * 2, "doc_id long, quality int")
+    got = quality_classifier.classify(docs, labels, F.col("host"), F.col("path"), most_shift=most_shift).join(docs.select("doc_id", "host", "path").distinct(), "doc_id").collect()
+    want = brute.empirical_bayes([(r["host"], r["path"], r["evidence"]) for r in got], most_shift)
+    assert len(got) == 420 and all((r["host_posterior"], r["path_posterior"], r["score"]) == pytest.approx(w) for r, w in zip(got, want, strict=True))
+    assert len({round(w[1], 6) for w in want}) > 20
+
+
+def test_quality_prior():
+    """Sites that differ by chance alone get all of the prior; the weights of the regression meet their condition."""
+    assert quality_classifier._prior(0.2, 0.01, 5, 100) is None and quality_classifier._prior(0.2, 0.03, 5, 100) == pytest.approx(10)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 3))
+    y = (x[:, 0] + rng.normal(size=200) > 0).astype(float)
+    w = quality_classifier.fit(x, y)
+    p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    assert np.abs(x.T @ (y - p) - w[:-1]).max() < 1e-6
+
+
+def test_host_and_path(spark):
+    urls = spark.createDataFrame([("http://A.org/x/y?z",), ("https://a.org",), (None,), ("no url",)], "url string")
+    host, path = quality_classifier.host_and_path(F.col("url"))
+    assert [tuple(r) for r in urls.select(host, path).collect()] == [("a.org", "x"), ("a.org", ""), ("", ""), ("", "")]
+
+
+def test_warc_repeated_pages(spark):
+    """Repeated rows are all kept, and only those of other ids revisit."""
+    long = "y" * 300
+    pages = spark.createDataFrame([(1, "u", long), (1, "u", long), (2, "u", long), (2, "u", long), (2, "u", "z" * 300), (None, None, None)], "page_id long, url string, html string")
+    got = [(r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read(warc.write(warc.plan(pages.withColumn("digest", F.lit(1))), work_dir(spark, "w"))).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(0, 0, "response", None)] + [(1, 300, "response", None)] * 2 + [(2, 300, "response", None)] + [(2, 300, "revisit", 1)] * 2))
+
+
 def test_warc(spark):
     long = "<p>" + "x" * 200 + "</p>"
     rows = [(3, "http://a/\r\nb", long), (1, "http://c", long), (2, None, "short"), (4, "u", "short"), (5, "u", None), (6, "ü", "é" * 60), (None, "u", long), (7, "v", long)]
@@ -242,6 +379,12 @@ def test_quality_rules(docs, none, texts):
     got = {r["doc_id"]: tuple(r)[1:] for r in quality_rules.measure(docs, "text", "c").select("doc_id", c["n_words"], c["word_chars"], c["n_symbols"], c["n_dup_lines"], c["n_repeat_words"], quality_rules.base_failed(c)).collect()}
     assert all(got[d] == brute.quality(t) for d, t in texts)
     assert quality_rules.keep(none).count() == 0 and quality_rules.keep(docs.withColumn("__counts", F.lit(1))).columns == ["doc_id", "text", "__counts"]
+    full = [" ".join(f"the {c}{i} of" for c in "pqrs") for i in range(8)]
+    lines = none.sparkSession.createDataFrame([(1, "\n".join(full + ["Haanth."] * 6)), (2, "\n".join([full[0]] * 3 + full[1:4]))], DOCS)
+    c1 = {r["doc_id"]: r["b"] for r in quality_rules.measure(lines, "text", "c").select("doc_id", quality_rules.base_failed(c).alias("b")).collect()}
+    assert not any(c1.values())
+    lines = quality_rules.keep(lines)
+    assert [r["doc_id"] for r in lines.collect()] == [1]
     assert quality_rules.RATIOS.keys() >= {r.measure for r in quality_rules.RULES}
 
 

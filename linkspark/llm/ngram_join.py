@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_shuffles_early, fresh, hot_join, written
+from .common import bit_map, bounded_batches, discard, drop_shuffles_early, fresh, hot_join, in_map, written
 
 WORDS_IN_SHINGLE = 3
 THRESHOLD = 90  # per cent
@@ -552,6 +552,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int)
     rooted = classes.select("cls", "n", "copies", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", F.col("cls")))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     table = written(rooted.join(least, "root").join(degree, "cls", "left").select("cls", "copies", "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "join-components")
+    discard(prefixes, classes, held, needed, wanted, results)
     full = members.where("n > 0")
     joined = hot_join(full, table, ["cls"], "copies", ["root", "component_id", "n_links"], total, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     alone = members.where("n = 0").select("doc_id", "row", "n", "cls", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
@@ -561,17 +562,17 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int)
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with docs' own columns: that of the smallest doc_id (null only if there is none), of
     rows with that id the one whose text has the smallest hash, and one of equal rows. Texts without words all stay."""
-    found = _rows(docs, id_col, text_col, THRESHOLD, WORDS_IN_SHINGLE).where("root IS NOT NULL")
-    counted = found.groupBy("root", "doc_id", "row").agg(F.count(F.lit(1)).alias("rows"))
-    first = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "rows")).alias("x"))
-    name, rows = fresh(docs, "row"), fresh(docs, "rows")
-    kept = written(first.select(F.col("x.row").alias(name), F.col("x.rows").alias(rows)), "join-kept")
-    joined = docs.withColumn(name, _row(id_col, text_col)).join(kept, name, "left")
-    wordless = ~F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    # Equal rows are few but for made-up tables; only their keys are shuffled with their texts to leave one of each.
-    one = joined.where(wordless | (F.col(rows) == 1))
-    repeated = joined.where(~wordless & (F.col(rows) > 1)).dropDuplicates([name])
-    return one.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = written(_rows(docs, id_col, text_col, THRESHOLD, WORDS_IN_SHINGLE).where("n_links > 0").select("root", "doc_id", "row"), "join-linked")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x")).select(F.col("x.row").alias("row"))
+    name, mine, lost = fresh(docs, "row"), fresh(docs, "linked"), fresh(docs, "lost")
+    gone = written(found.select("row").distinct().join(first.hint("merge"), "row", "left_anti").select(F.col("row").alias(lost)), "join-lost")
+    # Rows without a link stay as they are. Of the others, equal ones meet after a first choice in each task.
+    told, may = in_map(docs.withColumn(name, _row(id_col, text_col)), written(bit_map(found, "row"), "join-map"), F.col(name))
+    words = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    told = told.select(*docs.columns, name, (may & words).alias(mine))
+    discard(found)
+    linked = told.where(F.col(mine)).dropDuplicates([name]).join(gone.hint("merge"), F.col(name) == F.col(lost), "left_anti")
+    return linked.unionByName(told.where(~F.col(mine))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

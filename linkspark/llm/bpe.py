@@ -158,8 +158,8 @@ def merge_many(pieces: list[bytes], r: Ranks) -> tuple[np.ndarray, np.ndarray]:
     size = 2
     while size <= TOGETHER:
         group = np.flatnonzero((whole < 0) & (lengths <= size) & ((lengths > size // 2) | (size == 2)))
-        for i in range(0, len(group), 20_000):
-            places.append(group[i : i + 20_000])
+        for i in range(0, len(group), 8_000):
+            places.append(group[i : i + 8_000])
             made.append(_merge_rows([pieces[k] for k in places[-1].tolist()], size, r))
         size *= 2
     for k in np.flatnonzero((whole < 0) & (lengths > TOGETHER)).tolist():

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch, whichever is reached first. Texts may be long, so the bytes are what bounds a
 #: Python worker's memory. All operators ask for the same, so it doesn't matter which asked last.
-BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 2 << 20
 #: A key is hot when it holds more than 1/HOT_SHARE of all rows; hence there are fewer than HOT_SHARE hot keys,
 #: which is the proven bound of what ``hot_join`` broadcasts.
 HOT_SHARE = 256

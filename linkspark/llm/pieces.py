@@ -25,9 +25,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text in a block; a longer one is taken only where a text can't be taken apart.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: After so many pieces (or that many of the given length in bytes) a worker forgets what it remembers.
-PIECES, USUAL = 400_000, 16
+PIECES, USUAL = 250_000, 16
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _JOINT = re.compile(rb"(?<=[A-Za-z]) (?=[A-Za-z])")
 

@@ -7,10 +7,10 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import LinkConfig
+from .config import LinkConfig, load_yaml
 from .operators import candidates as cd
 from .operators import linkage as lk
-from .operators import merge, sampling, stats, survey
+from .operators import merge, sampling, segment, stats, survey
 from .sources import records, sinks
 
 FIELDS = ("title", "creator", "contributor", "description", "subject", "coverage", "format", "source")
@@ -26,12 +26,31 @@ def _numbered(field: str):
     return lambda x, i: F.struct(F.lit(field).alias("field"), i.alias("ord"), x.alias("text"))
 
 
+#: Reviewed phrases are a curated list, which the driver reads; a longer one is refused.
+MOST_PHRASES = 100_000
+
+
+def phrases(spark: SparkSession, review: str) -> tuple[dict[str, str | None], set[str]]:
+    """Signals with their kinds, and boilerplate, as ``apply-review`` wrote them."""
+    signals = spark.read.schema("ngram string, field string, signal_type string").json(f"{review}/signals")
+    plain = spark.read.schema("ngram string, field string").json(f"{review}/boilerplate")
+    rows, others = signals.limit(MOST_PHRASES + 1).collect(), plain.limit(MOST_PHRASES + 1).collect()
+    if max(len(rows), len(others)) > MOST_PHRASES:
+        raise ValueError(f"more than {MOST_PHRASES} reviewed phrases")
+    return {r["ngram"]: r["signal_type"] for r in rows}, {r["ngram"] for r in others}
+
+
 def parse_xml(spark: SparkSession, a: argparse.Namespace) -> None:
     parsed = records.dublin_core(records.xml_files(spark, a.data))
-    rows = records.manuscripts(parsed)
+    segments = None
+    if a.review:
+        signals, boilerplate = phrases(spark, a.review)
+        segments = segment.segment(F.col("description"), F.col("title"), signals, boilerplate)
+    rows = records.manuscripts(parsed, segments=segments)
     if a.update:
         old = spark.read.parquet(f"{a.out}/records")
-        merge.unseen(rows, old, "bnf_id").write.mode("append").parquet(f"{a.out}/records")
+        merge.unseen(rows, old, "record_id").write.mode("append").parquet(f"{a.out}/records")
+        sinks.describe_store(spark, a.out, records.parse_errors(parsed), data=a.data)
     else:
         sinks.write_store(rows, a.out, records.parse_errors(parsed), data=a.data)
 
@@ -70,21 +89,21 @@ def apply_review(spark: SparkSession, a: argparse.Namespace) -> None:
 def sample(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = spark.read.parquet(f"{a.records}/records")
     strata = ["completeness", "subject_class", "period", "kind", "richness"]
-    chosen = sampling.stratified(sampling.manuscript_strata(rows.where(~sampling.is_quran(rows))), strata, a.size, "bnf_id", a.seed)
+    chosen = sampling.stratified(sampling.manuscript_strata(rows.where(~sampling.is_quran(rows))), strata, a.size, "record_id", a.seed)
     chosen.drop(*strata).write.mode("overwrite").parquet(f"{a.out}/records")
 
 
 def link(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = spark.read.parquet(f"{a.records}/records")
     books, authors = spark.read.parquet(f"{a.corpus}/books/records"), spark.read.parquet(f"{a.corpus}/authors/records")
-    config = LinkConfig()
+    config = load_yaml(LinkConfig, a.config, a.section) if a.config else LinkConfig()
     variants = cd.author_variants(authors)
     if config.cull_author_tokens:
         books = cd.cull_author_tokens(books, variants)
-    raw = cd.record_candidates(rows).select(F.col("bnf_id").alias("rec"), "ord", "raw")
-    creators = rows.select(F.col("bnf_id").alias("rec"), F.explode(F.concat("creator_lat", "creator_ara")).alias("raw"))
-    run = lk.link(lk.Linkage(raw, variants, cd.book_variants(books), books.select("uri", "author_uri"), creators, config))
-    everyone = rows.select(F.col("bnf_id").alias("rec"))
+    raw = cd.record_candidates(rows).select(F.col("record_id").alias("rec"), "ord", "raw")
+    creators = rows.select(F.col("record_id").alias("rec"), F.explode(F.concat("creator_lat", "creator_ara")).alias("raw"))
+    run = lk.link(lk.Linkage(raw, variants, cd.book_variants(books), books.select("uri", "author_uri"), creators, config, folder=f"{a.out}/stages"))
+    everyone = rows.select(F.col("record_id").alias("rec"))
     tiers = lk.cli_tiers(everyone, run.authors, run.titles, run.combined) if a.strict else lk.classify(everyone, run.authors, run.titles, run.combined)
     sinks.write_tiers(tiers, run.combined, a.out)
 
@@ -107,12 +126,12 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(flag, **settings)
 
     need, out = {"required": True}, ("--out", {"required": True})
-    add("parse-xml", parse_xml, ("--data", need), out, ("--update", {"action": "store_true"}))
+    add("parse-xml", parse_xml, ("--data", need), out, ("--update", {"action": "store_true"}), ("--review", {"help": "folder of apply-review"}))
     add("parse-corpus", parse_corpus, ("--data", need), out, ("--listing", {}))
     add("survey", run_survey, ("--data", need), out, ("--max-n", {"type": int, "default": 4}))
     add("apply-review", apply_review, out)
     add("sample", sample, ("--records", need), out, ("--size", {"type": int, "default": 500}), ("--seed", {"type": int, "default": 42}))
-    add("link", link, ("--records", need), ("--corpus", need), out, ("--strict", {"action": "store_true"}))
+    add("link", link, ("--records", need), ("--corpus", need), out, ("--strict", {"action": "store_true"}), ("--config", {"help": "YAML file of settings"}), ("--section", {"help": "its section"}))
     add("report", report, out, ("--limit", {"type": int, "default": 40}), ("--outliers", {"action": "store_true"}))
     return p
 

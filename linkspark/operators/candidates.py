@@ -17,14 +17,14 @@ def _list(c: Column) -> Column:
 
 
 def record_candidates(records: DataFrame, purpose: str = "all") -> DataFrame:
-    """bnf_id, script, ord, raw: creators, contributors, title parts and description candidates, each value once per
+    """record_id, script, ord, raw: creators, contributors, title parts and description candidates, each value once per
     script. purpose ``title``: titles and description candidates only."""
     def of(s: str) -> Column:
         titles = F.flatten(F.transform(_list(F.col(f"title_{s}")), tx.title_parts))
         names = [_list(F.col(f"creator_{s}")), _list(F.col(f"contributor_{s}"))] if purpose != "title" else []
         return F.array_distinct(F.filter(F.concat(*names, titles, _list(F.col(f"description_candidates_{s}"))), lambda x: x != ""))
 
-    rows = [records.select("bnf_id", F.lit(s).alias("script"), F.posexplode(of(s)).alias("ord", "raw")) for s in ("lat", "ara")]
+    rows = [records.select("record_id", F.lit(s).alias("script"), F.posexplode(of(s)).alias("ord", "raw")) for s in ("lat", "ara")]
     return rows[0].unionByName(rows[1])
 
 
@@ -43,7 +43,19 @@ def book_variants(books: DataFrame) -> DataFrame:
     return rows[0].unionByName(rows[1]).where("variant != ''")
 
 
-def candidate_index(candidates: DataFrame, rec: str = "bnf_id", raw: str = "raw", table: bool = True) -> DataFrame:
+def candidate_uses(candidates: DataFrame, rec: str = "record_id", raw: str = "raw", table: bool = True) -> DataFrame:
+    """cand_norm, rec: one row for each use of a normalised candidate, so no candidate's records meet in one row."""
+    normal = candidates.select(F.col(rec).alias("rec"), tx.normalize_for_matching(F.col(raw), table=table).alias("cand_norm"))
+    return normal.where("cand_norm != ''").select("cand_norm", "rec").distinct()
+
+
+def fanout(uses: DataFrame) -> DataFrame:
+    """How many candidates there are, and how many uses of them; counted before the shuffle."""
+    by_candidate = uses.groupBy("cand_norm").agg(F.count(F.lit(1)).alias("n"))
+    return by_candidate.agg(F.count(F.lit(1)).alias("candidates"), F.sum("n").alias("uses"))
+
+
+def candidate_index(candidates: DataFrame, rec: str = "record_id", raw: str = "raw", table: bool = True) -> DataFrame:
     """cand_norm, rec_ids: which records have a normalised candidate."""
     normal = candidates.select(F.col(rec).alias("rec"), tx.normalize_for_matching(F.col(raw), table=table).alias("cand_norm"))
     return normal.where("cand_norm != ''").groupBy("cand_norm").agg(F.sort_array(F.collect_set("rec")).alias("rec_ids"))

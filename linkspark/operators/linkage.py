@@ -163,6 +163,11 @@ class Linkage:
     titles: DataFrame | None = None
     combined: DataFrame | None = None
     tiers: DataFrame | None = None
+    #: A folder that driver and executors share, in which each stage's result is written, for the next ones to read.
+    folder: str | None = None
+
+
+RESULTS = ("authors", "titles", "combined", "tiers")
 
 
 class Stage(Protocol):
@@ -186,6 +191,13 @@ def tier(run: Linkage) -> None:
 
 
 def link(run: Linkage, stages: tuple[Stage, ...] = (match_authors, match_titles, combine, tier)) -> Linkage:
+    """Runs the stages. With a folder, each result is worked out once, however often later stages use it."""
     for stage in stages:
+        before = {name: getattr(run, name) for name in RESULTS}
         stage(run)
+        for name in RESULTS if run.folder else ():
+            made = getattr(run, name)
+            if made is not None and made is not before[name]:
+                made.write.mode("overwrite").parquet(f"{run.folder}/{name}")
+                setattr(run, name, made.sparkSession.read.schema(made.schema).parquet(f"{run.folder}/{name}"))
     return run

@@ -32,7 +32,8 @@ def stratified(df: DataFrame, strata: list[str], n: int, id_col: str, seed: int
     total = df.agg(F.count(F.lit(1)).alias("__total"))
     quota = sizes.crossJoin(F.broadcast(total)).withColumn("__quota", F.least("__size", F.greatest(F.lit(1), F.round(F.col("__size") / F.col("__total") * n))))  # total is one row
     within = Window.partitionBy(*strata).orderBy("__key", id_col)
-    ranked = df.withColumn("__key", k).withColumn("__rank", F.row_number().over(within))
+    # No stratum gives more than n rows, so Spark keeps the first n of each before it shuffles.
+    ranked = df.withColumn("__key", k).withColumn("__rank", F.row_number().over(within)).where(F.col("__rank") <= n)
     joined = ranked.join(quota, strata)
     # Those within their quota come first, then the rest, each by the hash.
     return joined.orderBy(F.when(F.col("__rank") <= F.col("__quota"), 0).otherwise(1), "__key", id_col).limit(n).select(*df.columns)

@@ -15,10 +15,11 @@ from ..operators import evaluate as ev
 from ..operators import linkage as lk
 from ..operators import merge, sampling, segment, stats, survey
 from ..streaming import incremental
+from . import source_catalog
 from .proxies import CONFIG, lcs_sql, linkage, linkage_sql, ratio_sql, set_ratio_sql, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(source_catalog.QUERIES)
+ORACLES: dict[str, str] = dict(source_catalog.ORACLES)
 FLAGSHIP = "combined_match"
 
 
@@ -162,7 +163,7 @@ def candidate_index(s, d):
 
 @query(f"SELECT count(DISTINCT cand_norm) AS candidates, count(*) AS uses FROM (SELECT DISTINCT doc_id, {NORM.format('raw')} AS cand_norm FROM {SENTENCES}) WHERE cand_norm <> ''")
 def candidate_fanout(s, d):
-    return cd.candidate_index(_lines(s, d), "doc_id").agg(F.count(F.lit(1)).alias("candidates"), F.sum(F.size("rec_ids")).alias("uses"))
+    return cd.fanout(cd.candidate_uses(_lines(s, d), "doc_id"))
 
 
 IDF = f"""t AS (SELECT item_id, {NORM.format("replace(replace(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g'), 'C', 'ʿ'), 'c', 'ʿ')")} AS norm FROM benchmark),
@@ -214,7 +215,9 @@ def token_set_ratio(s, d):
 
 
 def _linked(s: SparkSession, d: str) -> lk.Linkage:
-    return lk.link(linkage(s, d))
+    run = linkage(s, d)
+    run.folder = source_catalog.folder(s, "linkage")
+    return lk.link(run)
 
 
 def _rounded(df: DataFrame) -> DataFrame:

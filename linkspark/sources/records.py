@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,28 +13,47 @@ from ..operators import merge
 DC = ("title", "creator", "contributor", "description", "format", "subject", "coverage", "language", "identifier", "relation", "source", "date", "type")
 
 
-def xml_files(spark: SparkSession, folder: str, pattern: str = "OAI_*.xml") -> DataFrame:
+def xml_files(spark: SparkSession, folder: str, pattern: str = "*.xml") -> DataFrame:
     """path, stem, value: one row for each file, found at any depth."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
     path = F.col("_metadata.file_path")
     return files.select(path.alias("path"), F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1).alias("stem"), "value")
 
 
-def _elements(name: str) -> Column:
-    found = F.xpath("value", F.lit(f"//*[local-name()='dc']/*[local-name()='{name}']/text()"))
-    return F.filter(F.transform(found, lambda x: F.trim(tx.repair_c1(x))), lambda x: x != "")
+_PARSED = "struct<error:string,has_dc:boolean," + ",".join(f"{n}:array<string>" for n in DC) + ">"
+
+
+def _parse(files: pa.Array) -> pa.Array:
+    """One pass over each file: the texts of its Dublin Core elements by local name, or why it can't be parsed."""
+    from xml.etree import ElementTree
+
+    local = lambda tag: tag.rpartition("}")[2] if isinstance(tag, str) else ""
+    out = []
+    for value in files.to_pylist():
+        row: dict = {"error": None, "has_dc": False} | {n: [] for n in DC}
+        try:
+            root = ElementTree.fromstring((value or "").lstrip("\ufeff"))
+        except (ElementTree.ParseError, ValueError) as e:
+            out.append(row | {"error": f"not well-formed: {e}"})
+            continue
+        for dc in (x for x in root.iter() if local(x.tag) == "dc"):
+            for x in dc:
+                row["has_dc"] = True
+                if (name := local(x.tag)) in row and name in DC and x.text and x.text.strip():
+                    row[name].append(x.text.strip())
+        out.append(row if row["has_dc"] else row | {"error": "no Dublin Core element"})
+    return pa.array(out, pa.struct([("error", pa.string()), ("has_dc", pa.bool_()), *[(n, pa.list_(pa.string())) for n in DC]]))
 
 
 def dublin_core(files: DataFrame) -> DataFrame:
-    """path, stem, has_dc and an array of trimmed, non-empty texts for each element."""
-    # Namespace prefixes are of no use to the element names asked for.
-    clean = files.withColumn("value", F.regexp_replace("value", r"^﻿", ""))
-    has = F.size(F.xpath("value", F.lit("//*[local-name()='dc']/*"))) > 0
-    return clean.select("path", "stem", has.alias("has_dc"), *[_elements(n).alias(n) for n in DC])
+    """path, stem, error, has_dc and an array of trimmed, non-empty texts for each element. A file that can't be parsed,
+    or has no Dublin Core, is a row with its error and empty arrays."""
+    parsed = files.select("path", "stem", F.arrow_udf(_parse, _PARSED)(F.col("value")).alias("p"))
+    return parsed.select("path", "stem", F.col("p.error").alias("error"), F.col("p.has_dc").alias("has_dc"), *[F.transform(F.col(f"p.{n}"), tx.repair_c1).alias(n) for n in DC])
 
 
 def parse_errors(parsed: DataFrame) -> DataFrame:
-    return parsed.where(~F.col("has_dc")).select("path", F.lit("no Dublin Core element").alias("error"))
+    return parsed.where(F.col("error").isNotNull()).select("path", "error")
 
 
 def manuscripts(parsed: DataFrame, composite_min_creators: int = 2, segments: Column | None = None) -> DataFrame:
@@ -54,7 +74,7 @@ def manuscripts(parsed: DataFrame, composite_min_creators: int = 2, segments: Co
     first, last = tx.date_range(raw_date)
     catalogue = F.get(F.filter("relation", lambda r: F.contains(r, F.lit("archivesetmanuscrits"))), F.lit(0))
     out = rows.select(
-        F.col("stem").alias("bnf_id"),
+        F.col("stem").alias("record_id"),
         F.get("identifier", F.lit(0)).alias("gallica_url"),
         catalogue.alias("catalogue_url"),
         *[v.alias(k) for k, v in lat_ara.items()],
@@ -75,8 +95,11 @@ def manuscripts(parsed: DataFrame, composite_min_creators: int = 2, segments: Co
 def key_values(spark: SparkSession, folder: str, pattern: str = "*.yml") -> DataFrame:
     """path, stem, kind (author, book or version, by the dots in the name) and entries: array<struct<key, value>> in
     file order. Lines that begin with four spaces continue the value before them."""
-    files = xml_files(spark, folder, pattern)
-    files = files.withColumn("stem", F.regexp_extract("path", r"([^/]+)\.yml$", 1))
+    return entries_of(xml_files(spark, folder, pattern).withColumn("stem", F.regexp_extract("path", r"([^/]+)\.yml$", 1)))
+
+
+def entries_of(files: DataFrame) -> DataFrame:
+    """As ``key_values``, from (path, stem, value)."""
     dots = F.size(F.split("stem", r"\.")) - 1
     lines = F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), r"\n {4,}\s*", " "), "\n")
     entry = r"^(\d+#[A-Z]+#[A-Z]+(?:#[A-Z]*)*?)#*:\s*(.*)$"

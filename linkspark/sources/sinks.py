@@ -14,6 +14,11 @@ def write_store(rows: DataFrame, path: str, errors: DataFrame | None = None, **a
     """Rows as Parquet in ``path/records``, parse errors beside them, and one row about the store."""
     spark = rows.sparkSession
     rows.write.mode("overwrite").parquet(f"{path}/records")
+    describe_store(spark, path, errors, **about)
+
+
+def describe_store(spark: SparkSession, path: str, errors: DataFrame | None = None, **about: str) -> None:
+    """Parse errors of the latest run beside a store's records, and one row about the store."""
     if errors is not None:
         errors.write.mode("overwrite").parquet(f"{path}/errors")
     count = spark.read.parquet(f"{path}/records").count()

@@ -18,7 +18,7 @@ def update(stored: DataFrame, arrived: DataFrame, key: str) -> DataFrame:
     return new.groupBy(key).agg(F.min(F.struct(*others)).alias("s")).select(key, "s.*")
 
 
-def follow_files(spark: SparkSession, folder: str, store: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame], key: str, pattern: str = "OAI_*.xml") -> StreamingQuery:
+def follow_files(spark: SparkSession, folder: str, store: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame], key: str, pattern: str = "*.xml") -> StreamingQuery:
     """A streaming query that parses each new file and appends rows with new keys to a Parquet store. Which files were
     seen is kept in the checkpoint; a batch that is repeated after a failure adds nothing twice, since its keys are
     stored then."""

@@ -24,7 +24,10 @@ def rows(columns, found):
     return sorted((tuple(value(v) for v in r) for r in found), key=lambda r: tuple(str(x) for x in r))
 
 
-@pytest.mark.parametrize("name", ["norm_match", "tok_lat", "ngram_tfidf", "field_coverage", "candidate_fanout", "token_idf", "token_set_ratio", "combined_match", "eval_pairs", "pareto", "first_wins", "outliers", "chrono_bins", "strat_sample", "detect_relations"])
+SOURCES = sorted(__import__("linkspark.plans.source_catalog", fromlist=["x"]).QUERIES)
+
+
+@pytest.mark.parametrize("name", [*SOURCES, "norm_match", "tok_lat", "ngram_tfidf", "field_coverage", "candidate_fanout", "token_idf", "token_set_ratio", "combined_match", "eval_pairs", "pareto", "first_wins", "outliers", "chrono_bins", "strat_sample", "detect_relations"])
 def test_agrees_with_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

@@ -17,10 +17,12 @@ def test_xml(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep" / "OAI_1.xml").write_text(XML, encoding="utf-8")
     (tmp_path / "OAI_2.xml").write_text("<record/>", encoding="utf-8")
+    (tmp_path / "OAI_3.xml").write_text(XML[:-30], encoding="utf-8")
     parsed = records.dublin_core(records.xml_files(spark, str(tmp_path)))
-    assert records.parse_errors(parsed).count() == 1
+    errors = {r["path"].rpartition("/")[2]: r["error"] for r in records.parse_errors(parsed).collect()}
+    assert errors["OAI_2.xml"] == "no Dublin Core element" and errors["OAI_3.xml"].startswith("not well-formed") and len(errors) == 2
     row = records.manuscripts(parsed).first()
-    assert row["bnf_id"] == "OAI_1" and row["creator_lat"] == ["ʿAbd Allāh"] and row["creator_ara"] == ["عبد الله"]
+    assert row["record_id"] == "OAI_1" and row["creator_lat"] == ["ʿAbd Allāh"] and row["creator_ara"] == ["عبد الله"]
     assert (row["date_from"], row["date_to"], row["shelfmark"], row["is_composite"]) == (1501, 1600, "Arabe 631", False)
 
 
@@ -49,10 +51,10 @@ def test_follow_files(spark, tmp_path):
     (tmp_path / "in" / "OAI_1.xml").write_text(XML, encoding="utf-8")
 
     def go():
-        q = incremental.follow_files(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "seen"), lambda f: records.manuscripts(records.dublin_core(f)).select("bnf_id", "date_from"), "bnf_id")
+        q = incremental.follow_files(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "seen"), lambda f: records.manuscripts(records.dublin_core(f)).select("record_id", "date_from"), "record_id")
         q.awaitTermination()
 
     go()
     (tmp_path / "in" / "OAI_2.xml").write_text(XML, encoding="utf-8")
     go()
-    assert sorted(r["bnf_id"] for r in spark.read.parquet(str(tmp_path / "store")).collect()) == ["OAI_1", "OAI_2"]
+    assert sorted(r["record_id"] for r in spark.read.parquet(str(tmp_path / "store")).collect()) == ["OAI_1", "OAI_2"]

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, fresh, with_field
+from .common import bounded_batches, free, fresh, with_field, written
 from .fm_index import FMIndex
 
 WINDOW = 13
@@ -172,11 +172,15 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
 
 
 def annotate(df: DataFrame, benchmark: DataFrame, out: str, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """df with a struct column ``out``: n_words, n_hit, items, spans (of words, end exclusive)."""
+    """df with a struct column ``out``: n_words, n_hit, items, spans (of words, end exclusive). Where df has a column of
+    that name, the new one gets a number behind its name."""
     bounded_batches(df.sparkSession)
+    out = free(df, out)
     schema = with_field(df.schema, out, KIND)
     result, previous = df, False
     for block in _blocks(benchmark, item_col, item_text_col):
+        if previous:  # written, so that the driver holds one block at a time
+            result = written(result, "decontaminate-blocks")
         result = result.mapInArrow(_task(Windows(block, size), text_col, out, previous), schema)
         previous = True
     return result if previous else df.mapInArrow(_task(Windows([], size), text_col, out, False), schema)

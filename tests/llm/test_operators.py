@@ -410,5 +410,7 @@ def test_decontaminate(spark, docs, none, texts):
         decontaminate.BLOCK_CHARS = before
         for d, t in texts:
             assert (got[d]["n_words"], got[d]["n_hit"], got[d]["items"]) == brute.contamination(t, items), d
+    clash = decontaminate.annotate(docs.unionByName(docs).withColumns({"x": F.lit(1), "X_1": F.lit(2), "__hits": F.lit(3)}), benchmark, "x")
+    assert clash.columns == ["doc_id", "text", "x", "X_1", "__hits", "x_2"] and clash.where("x = 1 AND x_2.n_hit > 0").count() == 2 * sum(brute.contamination(t, items)[1] > 0 for _, t in texts)
     assert decontaminate.clean(docs, benchmark.where("false")).count() == len(texts)
     assert decontaminate.clean(none, benchmark).count() == 0

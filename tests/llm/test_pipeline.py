@@ -29,3 +29,27 @@ def test_pipeline(spark, tmp_path):
     assert kept.where(F.col("n_chars") != F.length("text")).count() == 0
     got = corpus_pipeline.run(spark, str(tmp_path)).orderBy("doc_id").collect()
     assert got == bpe.digest(kept).orderBy("doc_id").collect()
+
+
+def test_stages_defined_cases(spark, tmp_path):
+    """Every stage on an empty table, and on null and repeated ids, null texts, and columns named as the operators' own."""
+    import corpus_pipeline
+
+    text = " ".join(f"the w{i} of x{i}" for i in range(30))
+    rows = [(None, text), (None, text), (1, text + " and more"), (1, None), (2, ""), (3, " ".join(f"the y{i} of z{i}" for i in range(30)))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("__kept", "__row", "__gone", "__line_gone", "__linked", "__lost", "__map_bits", "__hits", "__counts", "token_ids", "decoded", "cls", "leaf", "dropped"):
+        docs = docs.withColumn(c, F.lit(c))
+    spark.createDataFrame([("b", "quite another text")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        made, empty = stage(spark, docs, str(tmp_path)), stage(spark, docs.where("false"), str(tmp_path))
+        assert empty.count() == 0 and (name == "byte-level BPE" or made.columns == empty.columns == docs.columns), name
+        got = made.collect()
+        if name == "quality rules":
+            assert sorted(str(r["doc_id"]) for r in got) == ["1", "3", "None", "None"]
+        elif name == "n-gram join":
+            assert sorted(str((r["doc_id"], r["text"] in (None, ""))) for r in got) == ["(1, False)", "(1, True)", "(2, True)", "(3, False)"]
+        elif name in ("decontamination", "byte-level BPE"):
+            assert len(got) == len(rows)
+        if "__kept" in made.columns:
+            assert all(r["__kept"] == "__kept" and r["leaf"] == "leaf" for r in got)

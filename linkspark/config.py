@@ -10,6 +10,8 @@ from typing import Any
 class LinkConfig:
     """Thresholds of the staged linkage. The defaults suit catalogues of thousands of authors and books."""
 
+    # Thresholds, scales and weights that results depend on.
+
     author_threshold: float = 0.80
     author_idf: bool = True
     author_idf_scale: float = 15.0

@@ -8,6 +8,7 @@ the boost is limited, so a raw score far below the threshold can't be saved by i
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -190,14 +191,21 @@ def tier(run: Linkage) -> None:
     run.tiers = classify(run.raw, run.authors, run.titles, run.combined)
 
 
-def link(run: Linkage, stages: tuple[Stage, ...] = (match_authors, match_titles, combine, tier)) -> Linkage:
-    """Runs the stages. With a folder, each result is worked out once, however often later stages use it."""
-    for stage in stages:
+def link(run: Linkage, steps: tuple[Stage | tuple[Stage, ...], ...] = ((match_authors, match_titles), combine, tier)) -> Linkage:
+    """Runs the stages, those of one step side by side. With a folder, each result is worked out once, however often
+    later stages use it."""
+
+    def write(name: str) -> None:
+        made = getattr(run, name)
+        made.write.mode("overwrite").parquet(f"{run.folder}/{name}")
+        setattr(run, name, made.sparkSession.read.schema(made.schema).parquet(f"{run.folder}/{name}"))
+
+    for step in steps:
         before = {name: getattr(run, name) for name in RESULTS}
-        stage(run)
-        for name in RESULTS if run.folder else ():
-            made = getattr(run, name)
-            if made is not None and made is not before[name]:
-                made.write.mode("overwrite").parquet(f"{run.folder}/{name}")
-                setattr(run, name, made.sparkSession.read.schema(made.schema).parquet(f"{run.folder}/{name}"))
+        for stage in step if isinstance(step, tuple) else (step,):
+            stage(run)
+        new = [name for name in RESULTS if getattr(run, name) is not None and getattr(run, name) is not before[name]]
+        if run.folder and new:
+            with ThreadPoolExecutor(len(new)) as pool:
+                list(pool.map(write, new))
     return run

@@ -217,7 +217,9 @@ def token_set_ratio(s, d):
 def _linked(s: SparkSession, d: str) -> lk.Linkage:
     run = linkage(s, d)
     run.folder = source_catalog.folder(s, "linkage")
-    return lk.link(run)
+    lk.link(run, ((lk.match_authors, lk.match_titles), lk.combine))
+    lk.tier(run)  # read at most once by a query, so not written
+    return run
 
 
 def _rounded(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, line_dedup, ngram_join, quality_classifier, quality_rules, token_files, toxicity, warc
+from . import bpe, chat_format, decontaminate, golden_record, line_dedup, ngram_join, quality_classifier, quality_rules, token_files, toxicity, vector_codes, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_chat_format": chat_format.query,
     "op9_quality_rules": quality_rules.query,
     "op10_decontaminate": decontaminate.query,
+    "op11_golden_record": golden_record.query,
+    "op12_vector_codes": vector_codes.query,
 }
 ORACLES = {
     "op7_warc": warc.oracle(),
     "op8_chat_format": chat_format.oracle(),
     "op9_quality_rules": quality_rules.oracle(),
     "op10_decontaminate": decontaminate.oracle(),
+    "op11_golden_record": golden_record.oracle(),
+    "op12_vector_codes": vector_codes.oracle(),
 }

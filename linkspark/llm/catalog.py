@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, golden_record, line_dedup, ngram_join, quality_classifier, quality_rules, token_files, toxicity, vector_codes, warc
+from . import bpe, chat_format, decontaminate, golden_record, html_extract, line_dedup, ngram_join, quality_classifier, quality_rules, token_files, toxicity, vector_codes, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.query,
     "op11_golden_record": golden_record.query,
     "op12_vector_codes": vector_codes.query,
+    "op13_html_extract": html_extract.query,
 }
 ORACLES = {
     "op7_warc": warc.oracle(),

@@ -64,8 +64,9 @@ def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray, in
         # smaller, and have 2^-48 of the magnitudes.
         error = 2.0 * g * length[:, None] * np.sqrt(norm64)[None, :]
         error = error * (1 + 2.0**-40) + 2.0**-48 * (norm64[None, :] + 2.0 * length[:, None] * np.sqrt(norm64)[None, :])
-        best = (score + error).min(axis=1)
-        open_ = ~(score - error > best[:, None])  # not finite: nothing is known, so the entry stays
+        known = np.isfinite(product)  # beyond float32's range nothing is known of an entry, so it stays
+        best = np.where(known, score + error, np.inf).min(axis=1)
+        open_ = ~known | ~(score - error > best[:, None])
     row, entry = np.nonzero(open_)
     exact = ((x[row] - book[entry]) ** 2).sum(axis=1)
     # Entries rise within a row, so the first of a row's least distances is that of the lowest index.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,16 +23,87 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def _codes(texts: list[str]) -> np.ndarray:
+    """Code points of texts, a row each, filled up with zeros. A zero that is a text's own is told apart by its length."""
+    width = max(map(len, texts), default=0)
+    return np.frombuffer("".join(t.ljust(width, "\0") for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(texts), width)
+
+
+def lcs_lengths(a: list[str], b: list[str], chunk: int = 2048) -> np.ndarray:
+    """lcs_length of each pair. Pairs whose shorter text has up to 64 characters go side by side: the row of each is
+    one 64-bit number, and a step takes the next character of all. Longer ones take Python's integers, one by one."""
+    out = np.zeros(len(a), dtype=np.int64)
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)]
+    small = [i for i, (x, _) in enumerate(pairs) if 0 < len(x) <= 64]
+    small.sort(key=lambda i: len(pairs[i][1]))  # steps of a chunk are those of its longest text
+    for k in range(0, len(small), chunk):
+        at = np.array(small[k : k + chunk])
+        short, long = _codes([pairs[i][0] for i in at]), _codes([pairs[i][1] for i in at])
+        size, steps = np.array([len(pairs[i][0]) for i in at]), np.array([len(pairs[i][1]) for i in at])
+        bits = np.where(np.arange(short.shape[1]) < size[:, None], np.uint64(1) << np.arange(short.shape[1], dtype=np.uint64), np.uint64(0))
+        full = np.bitwise_or.reduce(bits, axis=1)
+        row = full.copy()
+        for j in range(long.shape[1]):
+            live = slice(int(np.searchsorted(steps, j, side="right")), None)
+            hit = row[live] & ((short[live] == long[live, j : j + 1]) * bits[live]).sum(axis=1, dtype=np.uint64)
+            row[live] = (row[live] + hit | row[live] - hit) & full[live]
+        out[at] = size - np.bitwise_count(row)
+    for i, (x, y) in enumerate(pairs):
+        if len(x) > 64:
+            out[i] = lcs_length(x, y)
+    return out
+
+
 def lcs(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence, by batches of pairs."""
 
     @F.pandas_udf("int")
     def kernel(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else lcs_length(p, q) for p, q in zip(x, y)], dtype="Int32")
+        there = (x.notna() & y.notna()).to_numpy()
+        out = pd.Series(pd.NA, index=x.index, dtype="Int32")
+        out[there] = lcs_lengths(x[there].tolist(), y[there].tolist())
+        return out
 
     return kernel(a, b)
 
 
+def window_lcs(short: str, long: str, batch: int = 256) -> int:
+    """The greatest lcs_length of short and any window of long as long as short is. A window shares no more characters
+    with short than their counts allow; windows go by that bound, until none that is left can beat the best."""
+    m, places = len(short), len(long) - len(short) + 1
+    if m == 0:
+        return 0
+    if short in long:
+        return m
+    codes, own = np.array([ord(c) for c in long]), {}
+    for c in short:
+        own[c] = own.get(c, 0) + 1
+    bound = np.zeros(places, dtype=np.int64)
+    for c, n in own.items():
+        sums = np.r_[0, np.cumsum(codes == ord(c))]
+        bound += np.minimum(sums[m:] - sums[:places], n)
+    best, order = 0, np.argsort(-bound, kind="stable")
+    for k in range(0, places, batch):
+        at = [int(i) for i in order[k : k + batch] if bound[i] > best]
+        if not at:
+            break
+        best = max(best, int(lcs_lengths([short] * len(at), [long[i : i + m] for i in at]).max()))
+    return best
+
+
+def partial_ratio(a: Column, b: Column) -> Column:
+    """The best ratio of the shorter text and a window of the longer that is as long: round(100 LCS / length), half to
+    even; 0 if either is empty. Of texts of one length it is their ratio."""
+
+    @F.pandas_udf("int")
+    def kernel(x: pd.Series, y: pd.Series) -> pd.Series:
+        made = [pd.NA if not isinstance(p, str) or not isinstance(q, str) else window_lcs(*sorted((p, q), key=len)) for p, q in zip(x, y)]
+        return pd.Series(made, index=x.index, dtype="Int32")
+
+    m = F.least(F.length(a), F.length(b))
+    return F.when(m == 0, 0).when(F.contains(a, b) | F.contains(b, a), 100).otherwise(F.rint(100 * kernel(a, b) / m).cast("int"))
+
+
 def lcs_native(a: Column, b: Column) -> Column:
     """The same in built-in functions: a fold over a's characters, each of which folds a row over b's."""
     zero = F.transform(F.split(b, ""), lambda _: F.lit(0))
@@ -88,3 +160,42 @@ def token_set_ratio_of(a: Column, b: Column, kernel=lcs) -> Column:
 
 def token_set_ratio(a: Column, b: Column, kernel=lcs) -> Column:
     return token_set_ratio_of(processed_tokens(a), processed_tokens(b), kernel)
+
+
+def set_scores(a: list[str], b: list[str], need: list[float]) -> np.ndarray:
+    """token_set_ratio_of for texts of sorted distinct tokens, where it may reach need (a number for each pair); 0 where a
+    bound shows that it can't. The common subsequence is taken only of pairs whose lengths leave it a chance."""
+    out = np.zeros(len(a), dtype=np.int64)
+    xs, ys, at, cache = [], [], [], {}
+    for i, (p, q, least) in enumerate(zip(a, b, need)):
+        if not p or not q:
+            continue
+        if p not in cache:
+            cache[p] = p.split(" ")
+        if q not in cache:
+            cache[q] = q.split(" ")
+        mine, other = set(cache[p]), set(cache[q])
+        both = mine & other
+        n = sum(map(len, both)) + max(len(both) - 1, 0)
+        if n:
+            out[i] = round(200 * n / (n + min(len(p), len(q))))
+        short, total = min(len(p), len(q)), len(p) + len(q)
+        if out[i] < 100 and 200 * short >= (max(least, float(out[i])) - 1) * total:
+            order = lambda own: " ".join([*[t for t in own if t in both], *[t for t in own if t not in both]])
+            xs.append(order(cache[p]) if both else p)
+            ys.append(order(cache[q]) if both else q)
+            at.append(i)
+    if at:
+        total = np.array([len(x) + len(y) for x, y in zip(xs, ys)])
+        out[at] = np.maximum(out[at], np.rint(200 * lcs_lengths(xs, ys) / total).astype(np.int64))
+    return out
+
+
+def set_score(a: Column, b: Column, need: Column) -> Column:
+    """``set_scores`` of columns."""
+
+    @F.pandas_udf("int")
+    def kernel(x: pd.Series, y: pd.Series, least: pd.Series) -> pd.Series:
+        return pd.Series(set_scores(x.tolist(), y.tolist(), least.tolist()))
+
+    return kernel(a, b, need)

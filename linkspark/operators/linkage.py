@@ -1,13 +1,13 @@
 """Staged linkage of records with authors and books: token-blocked similarity, IDF boosts, combination and tiers.
 
-A pair without a common token scores 0 while IDF weights are in use, so joining on tokens loses nothing: only pairs
-with a common token are formed, and the same join gives the sums of their weights. Targets and candidates are
-normalised once, and each distinct candidate is scored once. Before a similarity is computed, a pair must pass a bound:
-the boost is limited, so a raw score far below the threshold can't be saved by it.
+A pair without a common token scores 0 while IDF weights are in use, so joining on tokens loses nothing; ``pairing``
+says which pairs can reach the threshold at all, with weights or without. Targets and candidates are normalised once,
+each distinct candidate is scored once, and a longest common subsequence is taken only of pairs that pass a bound.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
@@ -19,9 +19,7 @@ from pyspark.sql.window import Window
 from ..config import LinkConfig
 from ..functions import similarity as sim
 from ..functions import text as tx
-
-#: Tables of targets below this many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
+from . import pairing
 
 
 def tokens(x: Column) -> Column:
@@ -49,30 +47,30 @@ def candidates(raw: DataFrame, table: bool = True) -> DataFrame:
 
 
 def score_pairs(cands: DataFrame, made: DataFrame, idf: DataFrame, threshold: float, scale: float, most: float, rare_idf: float, weighted: bool = True) -> DataFrame:
-    """cand, uri, raw, comb, rare: for each pair whose boosted score reaches the threshold, its best script."""
-    distinct = cands.select("cand").distinct()
-    left = distinct.select("cand", sim.processed_tokens(F.col("cand")).alias("cproc"), tokens(F.col("cand")).alias("ctoks"))
-    right = made.select("uri", "script", "proc", "toks")
+    """cand, uri, raw, comb, rare: for each pair whose boosted score reaches the threshold, its scripts' scores. Without weights
+    pairs need no common token, and none is boosted."""
+    # l and r are hashes: texts that had one hash in common would only be compared more often.
+    left = cands.select("cand").distinct().select(F.xxhash64("cand").alias("l"), "cand", sim.processed_tokens(F.col("cand")).alias("cproc"), tokens(F.col("cand")).alias("ctoks"))
+    right = made.select(F.xxhash64("uri", "script", "norm").alias("r"), "uri", "script", "proc", "toks")
+    side = lambda df, key, toks, proc: df.where(F.size(proc) > 0).select(key, F.col(toks).alias("toks"), F.length(F.array_join(proc, " ")).alias("len"), (F.sort_array(toks) == F.col(proc)).alias("plain"))
+    if weighted:
+        found = pairing.sharing(side(left, "l", "ctoks", "cproc"), side(right, "r", "toks", "proc"), idf, threshold, scale, most)
+    else:
+        a, b = side(left, "l", "cproc", "cproc"), side(right, "r", "proc", "proc")
+        found = pairing.sharing(a, b, idf_weights(made.select("uri", F.col("proc").alias("toks"))), threshold, None, 0.0).union(pairing.alike(a, b, threshold)).distinct()
+    pairs = found.join(left, "l").join(right, "r")
     if weighted:
-        postings = right.select("uri", "script", F.explode("toks").alias("token")).join(idf, "token")
-        if postings.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            postings = F.broadcast(postings)
-        shared = left.select("cand", F.explode("ctoks").alias("token")).join(postings, "token")
-        sums = shared.groupBy("cand", "uri", "script").agg(F.sum("idf").alias("comb"), F.sum(F.when(F.col("idf") >= rare_idf, F.col("idf")).otherwise(0.0)).alias("rare"))
+        # Each target carries its tokens' weights, so the sums over a pair's common tokens need no further join.
+        each = right.select("r", "uri", "script", F.explode("toks").alias("token")).join(idf, "token").groupBy("r", "uri", "script").agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("weights"))
+        shared = F.transform(F.array_sort(F.array_intersect("ctoks", "toks")), lambda t: F.try_element_at("weights", t))
+        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
+        pairs = pairs.join(each, ["r", "uri", "script"]).withColumn("shared", shared).withColumns({"comb": total(F.col("shared")), "rare": total(F.filter("shared", lambda x: x >= rare_idf))})
         boost = 1 + F.least(F.col("comb") / scale, F.lit(most))
-        pairs = sums.join(left.select("cand", "cproc"), "cand").join(right.select("uri", "script", "proc"), ["uri", "script"])
-    else:  # without weights any pair may score, so all are compared
-        pairs = left.select("cand", "cproc").crossJoin(right.select("uri", "script", "proc")).withColumns({"comb": F.lit(0.0), "rare": F.lit(0.0)})
-        boost = F.lit(1.0)
-    # The ratio of two texts is at most 200 times the shorter over both.
-    common, x, y = sim.set_parts(F.col("cproc"), F.col("proc"))
-    short, both = F.least(F.length(x), F.length(y)), F.length(x) + F.length(y)
-    n = F.length(common)
-    bound = F.when(n > 0, F.lit(100.0)).otherwise(200 * short / both)
-    near = F.greatest(200 * n / (n + F.length(x)), 200 * n / (n + F.length(y)))
-    bound = F.least(bound, F.greatest(near, 200 * short / both) + 1)
-    likely = pairs.withColumn("boost", boost).where((bound * F.col("boost") >= threshold * 100) & (F.size("proc") > 0) & (F.size("cproc") > 0))
-    scored = likely.withColumn("raw", sim.token_set_ratio_of(F.col("cproc"), F.col("proc"))).where(F.col("raw") * F.col("boost") >= threshold * 100)
+    else:
+        pairs, boost = pairs.withColumns({"comb": F.lit(0.0), "rare": F.lit(0.0)}), F.lit(1.0)
+    likely = pairs.withColumn("boost", boost).where((F.size("proc") > 0) & (F.size("cproc") > 0))
+    raw = sim.set_score(F.array_join("cproc", " "), F.array_join("proc", " "), threshold * 100 / F.col("boost"))
+    scored = likely.withColumn("raw", raw).where(F.col("raw") * F.col("boost") >= threshold * 100)
     return scored.select("cand", "uri", "script", "raw", "comb", "rare", "boost")
 
 
@@ -80,19 +78,27 @@ def _boost(rare: Column, scale: float, most: float) -> Column:
     return 1 + F.least(rare / scale, F.lit(most))
 
 
-def author_stage(raw: DataFrame, variants: DataFrame, creators: DataFrame | None = None, config: LinkConfig = LinkConfig()) -> DataFrame:
+#: How a stage keeps what it reads several times: given a table and a name, the table to read instead.
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def as_is(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
+def author_stage(raw: DataFrame, variants: DataFrame, creators: DataFrame | None = None, config: LinkConfig = LinkConfig(), keep: Keep = as_is) -> DataFrame:
     """rec, uri, raw, rare, idf_score, score. raw: (rec, ord, raw); variants: (uri, script, ord, variant);
     creators: (rec, raw), the creator fields of records, for reweighting."""
-    made = targets(variants, config.conversion_table)
-    idf = idf_weights(made)
-    cands = candidates(raw, config.conversion_table)
+    made = keep(targets(variants, config.conversion_table), "author_targets")
+    idf = keep(idf_weights(made), "author_weights")
+    cands = keep(candidates(raw, config.conversion_table), "author_candidates")
     pairs = score_pairs(cands, made, idf, config.author_threshold, config.author_idf_scale, config.author_boost, config.rare_idf, config.author_idf or config.creator_fields)
     # The better script; Latin where they tie.
     best = pairs.groupBy("cand", "uri").agg(F.max_by(F.struct("raw", "rare"), F.struct("raw", F.when(F.col("script") == "lat", 1).otherwise(0))).alias("b"))
     hits = cands.join(best.select("cand", "uri", (F.col("b.raw") / 100).alias("raw"), F.col("b.rare").alias("rare")), "cand")
     boosted = F.col("raw") * _boost(F.col("rare"), config.author_idf_scale, config.author_boost)
     first = Window.partitionBy("rec", "uri").orderBy(boosted.desc(), F.col("ord"))
-    merged = hits.withColumn("k", F.row_number().over(first)).where("k = 1").select("rec", "uri", "raw", "rare")
+    merged = keep(hits.withColumn("k", F.row_number().over(first)).where("k = 1").select("rec", "uri", "raw", "rare"), "author_pairs")
     merged = merged.withColumn("idf_score", F.col("raw") * _boost(F.col("rare"), config.author_idf_scale, config.author_boost))
     if not (config.creator_fields and creators is not None):
         return merged.withColumn("score", F.col("idf_score"))
@@ -112,15 +118,39 @@ def author_stage(raw: DataFrame, variants: DataFrame, creators: DataFrame | None
     return full.select("rec", "uri", "raw", "rare", "idf_score", (base * _boost(F.col("rare"), config.author_idf_scale, config.author_boost)).alias("score"))
 
 
-def title_stage(raw: DataFrame, variants: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
+def title_stage(raw: DataFrame, variants: DataFrame, config: LinkConfig = LinkConfig(), keep: Keep = as_is) -> DataFrame:
     """rec, uri, score: for each record and book the best boosted score of any candidate and script."""
-    made = targets(variants, config.conversion_table)
-    cands = candidates(raw, config.conversion_table)
-    pairs = score_pairs(cands, made, idf_weights(made), config.title_threshold, config.title_idf_scale, config.title_boost, config.rare_idf, config.title_idf)
+    made = keep(targets(variants, config.conversion_table), "title_targets")
+    cands = keep(candidates(raw, config.conversion_table), "title_candidates")
+    pairs = score_pairs(cands, made, keep(idf_weights(made), "title_weights"), config.title_threshold, config.title_idf_scale, config.title_boost, config.rare_idf, config.title_idf)
     best = pairs.groupBy("cand", "uri").agg((F.max(F.col("raw") * F.col("boost")) / 100).alias("score"))
     return cands.select("rec", "cand").distinct().join(best, "cand").groupBy("rec", "uri").agg(F.max("score").alias("score"))
 
 
+def each_variant(variants: DataFrame, table: bool = True) -> DataFrame:
+    """As ``targets``, but every variant is a target of its own."""
+    normal = variants.select("uri", "script", tx.normalize_for_matching(F.col("variant"), camel=True, is_corpus=True, table=table).alias("norm")).where("norm != ''").distinct()
+    return normal.select("*", tokens(F.col("norm")).alias("toks"), sim.processed_tokens(F.col("norm")).alias("proc"))
+
+
+def raw_stage(raw: DataFrame, variants: DataFrame, threshold: float, table: bool = True) -> DataFrame:
+    """rec, uri, score: the best raw ratio of any candidate and any variant of one script, where it reaches the threshold.
+    No weights, no boosts. raw: (rec, script, raw); variants: (uri, script, variant)."""
+    cands = raw.select("rec", "script", tx.normalize_for_matching(F.col("raw"), table=table).alias("cand")).where("cand != ''").distinct()
+    made = each_variant(variants, table)
+    pairs = score_pairs(cands, made, made.sparkSession.createDataFrame([], "token string, idf double"), threshold, 1.0, 0.0, 0.0, weighted=False)
+    best = pairs.groupBy("cand", "script", "uri").agg((F.max("raw") / 100).alias("score"))
+    return cands.join(best, ["cand", "script"]).groupBy("rec", "uri").agg(F.max("score").alias("score"))
+
+
+def raw_matches(authors_raw: DataFrame, author_variants: DataFrame, titles_raw: DataFrame, book_variants: DataFrame, books: DataFrame, author_threshold: float, title_threshold: float, table: bool = True) -> DataFrame:
+    """rec, book, author, author_score, title_score: books whose author and title both reach their thresholds, by raw ratios."""
+    authors = raw_stage(authors_raw, author_variants, author_threshold, table).select("rec", F.col("uri").alias("author"), F.col("score").alias("author_score"))
+    titles = raw_stage(titles_raw, book_variants, title_threshold, table).select("rec", F.col("uri").alias("book"), F.col("score").alias("title_score"))
+    owned = titles.join(books.select(F.col("uri").alias("book"), F.col("author_uri").alias("author")), "book")
+    return owned.join(authors, ["rec", "author"]).select("rec", "book", "author", "author_score", "title_score")
+
+
 def combined_stage(authors: DataFrame, titles: DataFrame, books: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
     """rec, book, author, author_score, title_score, score, rank: pairs that agree in author and title."""
     joined = titles.select("rec", F.col("uri").alias("book"), F.col("score").alias("title_score")).join(books.select(F.col("uri").alias("book"), F.col("author_uri").alias("author")), "book")
@@ -167,6 +197,13 @@ class Linkage:
     #: A folder that driver and executors share, in which each stage's result is written, for the next ones to read.
     folder: str | None = None
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df as written in the folder, if there is one."""
+        if not self.folder:
+            return df
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
 
 RESULTS = ("authors", "titles", "combined", "tiers")
 
@@ -176,11 +213,11 @@ class Stage(Protocol):
 
 
 def match_authors(run: Linkage) -> None:
-    run.authors = author_stage(run.raw, run.author_variants, run.creators, run.config)
+    run.authors = author_stage(run.raw, run.author_variants, run.creators, run.config, run.keep)
 
 
 def match_titles(run: Linkage) -> None:
-    run.titles = title_stage(run.raw, run.book_variants, run.config)
+    run.titles = title_stage(run.raw, run.book_variants, run.config, run.keep)
 
 
 def combine(run: Linkage) -> None:
@@ -196,14 +233,13 @@ def link(run: Linkage, steps: tuple[Stage | tuple[Stage, ...], ...] = ((match_au
     later stages use it."""
 
     def write(name: str) -> None:
-        made = getattr(run, name)
-        made.write.mode("overwrite").parquet(f"{run.folder}/{name}")
-        setattr(run, name, made.sparkSession.read.schema(made.schema).parquet(f"{run.folder}/{name}"))
+        setattr(run, name, run.keep(getattr(run, name), name))
 
     for step in steps:
         before = {name: getattr(run, name) for name in RESULTS}
-        for stage in step if isinstance(step, tuple) else (step,):
-            stage(run)
+        stages = step if isinstance(step, tuple) else (step,)
+        with ThreadPoolExecutor(len(stages)) as pool:
+            list(pool.map(lambda stage: stage(run), stages))
         new = [name for name in RESULTS if getattr(run, name) is not None and getattr(run, name) is not before[name]]
         if run.folder and new:
             with ThreadPoolExecutor(len(new)) as pool:

@@ -15,11 +15,11 @@ from ..operators import evaluate as ev
 from ..operators import linkage as lk
 from ..operators import merge, sampling, segment, stats, survey
 from ..streaming import incremental
-from . import source_catalog
+from . import match_catalog, source_catalog
 from .proxies import CONFIG, lcs_sql, linkage, linkage_sql, ratio_sql, set_ratio_sql, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(source_catalog.QUERIES)
-ORACLES: dict[str, str] = dict(source_catalog.ORACLES)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**source_catalog.QUERIES, **match_catalog.QUERIES}
+ORACLES: dict[str, str] = {**source_catalog.ORACLES, **match_catalog.ORACLES}
 FLAGSHIP = "combined_match"
 
 

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 ENGINE = sorted(__import__("linkspark.plans.catalog", fromlist=["x"]).QUERIES)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -24,7 +24,7 @@ def rows(columns, found):
     return sorted((tuple(value(v) for v in r) for r in found), key=lambda r: tuple(str(x) for x in r))
 
 
-SOURCES = sorted(__import__("linkspark.plans.source_catalog", fromlist=["x"]).QUERIES)
+SOURCES = sorted(n for m in ("source_catalog", "match_catalog") for n in __import__(f"linkspark.plans.{m}", fromlist=["x"]).ORACLES)
 
 
 @pytest.mark.parametrize("name", [*SOURCES, "norm_match", "tok_lat", "ngram_tfidf", "field_coverage", "candidate_fanout", "token_idf", "token_set_ratio", "combined_match", "eval_pairs", "pareto", "first_wins", "outliers", "chrono_bins", "strat_sample", "detect_relations"])

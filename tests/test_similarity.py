@@ -26,6 +26,43 @@ def test_goldens(spark):
     assert [tuple(r) for r in got] == [(r, s, t) for _, _, r, s, t in GOLDENS]
 
 
+# query, target, partial ratio: all thirteen rows
+PARTIAL = [
+    ("ʿABD ALLĀH IBN ʿUMAR AL-BAYḌĀWĪ. Anwār al-tanzīl wa-asrār al-taʾwīl (Coran I-XVIII).", "Anwar Tanzil", 58),
+    ("Al-dourr al-mountakhab fi taʾrikh Halab, supplément, contenant les biographies des hommes célèbres d'Alep, depuis 658 de l'hégire, par Ala al-Din Aboul-Hasan Ali ibn Mohammad al-Djibrini ibn Khatib al-Nasiriyya, au Boughiat al-talab fi taʾrikh Halab, par Kamal al-Din Aboul-Qāsim Omar ibn Ahmad ibn al-ʿAdim.", "Buġyaŧ al-ṭalab fī tārīḫ Ḥalab", 63),
+    ("Maǧmūʿ min al-tawārīẖ al-qadīma al-islāmiyya.", "al-Muḫtaṣar fī aḫbār al-bašar", 45),
+    ("Muḥammad ibn Sālim Ğamāl al-Dīn Ibn Wāṣil al-Ḥamawī. Mufarriğ al-kurūb fī aḫbār mulūk Banī Ayyūb.", "Mufarriǧ al-kurūb fī aḫbār Banī Ayyūb", 81),
+    ("Kitab al-Tabari", "Kitab al-Ṭabarī", 87),
+    ("Sacd al-Suud", "Ṣaʿd al-Suʿud", 83),
+    ("Anwar al-Tanzil wa-Asrar al-Tawil", "Anwar al-Tanzil wa-Asrar al-Tawil", 100),
+    ("Anwar al-Tanzil wa-Asrar al-Tawil", "Asrar al-Tawil wa-Anwar al-Tanzil", 79),
+    ("Kitab wa Risala", "Kitab wa-Risala", 93),
+    ("al Fihrist", "al-Fihrist", 90),
+    ("AL-TABARI", "al-Tabari", 22),
+    ("Cabd al-Rahman", "ʿAbd al-Rahman", 86),
+    ("Fihrist", "al-Fihrist al-Nadim", 100),
+    ("", "a", 0),
+    (None, "a", None),
+]
+
+
+def test_partial_ratio(spark):
+    df = spark.createDataFrame(PARTIAL, "a string, b string, r int")
+    a, b = F.col("a"), F.col("b")
+    assert [tuple(r) for r in df.select(sim.partial_ratio(a, b), sim.partial_ratio(b, a)).collect()] == [(r, r) for _, _, r in PARTIAL]
+
+
+CHARS = st.text("abc é字\0😀", max_size=70)
+
+
+@given(st.lists(st.tuples(CHARS, CHARS), max_size=12))
+def test_batches_and_windows(pairs):
+    assert list(sim.lcs_lengths([a for a, _ in pairs], [b for _, b in pairs], 5)) == [sim.lcs_length(a, b) for a, b in pairs]
+    for a, b in pairs:
+        x, y = sorted((a, b), key=len)
+        assert sim.window_lcs(x, y, 3) == max((sim.lcs_length(x, y[i : i + len(x)]) for i in range(len(y) - len(x) + 1)), default=0)
+
+
 def test_unit_cases(spark):
     df = spark.createDataFrame([("x y", "x y"), ("completely different text", "xyz123abc"), ("ibn sina", "sina ibn"), ("", "a"), ("a", "")], "a string, b string")
     got = [r[0] for r in df.select(sim.token_set_ratio(F.col("a"), F.col("b"))).collect()]

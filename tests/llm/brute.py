@@ -64,9 +64,30 @@ def contamination(text, items, size=13):
     return len(words), len(hit), sorted(str(x) for x in found if x is not None)
 
 
-def lines(rows, templates, depth, least_tokens, field, least_docs=3):
-    """{(doc_id, text): text without recurring lines}; the tree's leaves are as the operator makes them."""
-    mask = lambda x: " ".join(field if re.search("[0-9]", w) else w for w in x.split())
+def linked(a, b):
+    """Whether two lines of words are of one template: place by place, without keys."""
+    n = len(a)
+    if n != len(b) or a[:3] != b[:3] or n < 4:
+        return a == b
+    parts = min(8, n - 3)
+    part = [max(i for i in range(parts) if 3 + (n - 3) * i // parts <= p) if p >= 3 else -1 for p in range(n)]
+    size = Counter(part)
+    differ = {part[p] for p in range(n) if a[p] != b[p]}
+    fixed = lambda s: sum(w != "<*>" and not re.search("[0-9]", w) for p, w in enumerate(a) if part[p] not in s)
+    sets = [{i, j} for i in range(parts) for j in range(parts)]
+    fits = lambda s: sum(size[i] for i in s) <= 0.25 * n and differ <= s and fixed(s) >= max(5, n / 2)
+    # A single part counts only where it goes with no other.
+    return a == b or any(fits(s) and (len(s) == 2 or not any(len(t) == 2 and s < t and sum(size[i] for i in t) <= 0.25 * n for t in sets)) for s in sets)
+
+
+def lines(rows, least_tokens, least_docs=3):
+    """{(doc_id, text): text without recurring lines}, from all pairs of lines."""
+
+    def mask(x):
+        w = x.split()
+        made = ["<*>" if re.search("[0-9]", t) else t for t in w]
+        return " ".join(w if 2 * made.count("<*>") > len(made) else made)
+
     count, every = Counter(), []
     for d, t in rows:
         for i, x in enumerate(t.split("\n") if t is not None else []):
@@ -76,19 +97,29 @@ def lines(rows, templates, depth, least_tokens, field, least_docs=3):
                 count[y] += 1
     leaves = defaultdict(list)
     for y in sorted(count):
-        leaves[(len(y.split(" ")), tuple(y.split(" ")[:depth]))].append(y)
-    name = {}
+        leaves[(len(y.split(" ")), tuple(y.split(" ")[:3]))].append(y)
+    name = {y: y for y in count}
+
+    def top(y):
+        while name[y] != y:
+            y = name[y]
+        return y
+
     for ys in leaves.values():
-        for k, own in templates(ys, [count[y] for y in ys]):
-            for i in own:
-                name[ys[i]] = k
+        for i, x in enumerate(ys):
+            for y in ys[:i]:
+                if linked(x.split(" "), y.split(" ")):
+                    a, b = sorted((top(x), top(y)))
+                    name[b] = a
+    name = {y: top(y) for y in name}
     docs = defaultdict(set)
     for d, _, _, y in every:
         docs[name[y]].add(d)
     gone = defaultdict(set)
     for d, t, i, y in every:
         of = docs[name[y]]
-        if len(of) >= least_docs and d != min((x for x in of if x is not None), default=None):
+        least = min(2, least_docs) if len(y.split(" ")) >= 20 else least_docs
+        if len(of) >= least and d != min((x for x in of if x is not None), default=None):
             gone[d, t].add(i)
     return {(d, t): None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d, t]) for d, t in rows}
 

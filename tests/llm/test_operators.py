@@ -51,7 +51,7 @@ def test_line_dedup(docs, none, texts):
     made = line_dedup.drop_lines(docs.withColumn("extra", F.lit(1)).withColumn("__gone1", F.lit(2)))
     assert made.columns == ["doc_id", "text", "extra", "__gone1"]
     got = {r["doc_id"]: r["text"] for r in made.collect()}
-    expected = brute.lines(texts, line_dedup.templates, line_dedup.DEPTH, line_dedup.LEAST_TOKENS, line_dedup.FIELD)
+    expected = brute.lines(texts, line_dedup.LEAST_TOKENS)
     assert all(got[d] == expected[d, t] for d, t in texts) and sum(expected[d, t] != t for d, t in texts) > 30
     assert line_dedup.drop_lines(none).count() == 0
 
@@ -80,7 +80,7 @@ def test_line_blocks(spark):
 
 def test_line_templates():
     lines = [f"user {n} has left the room again" for n in ("ann", "bob", "cy")] + ["an entirely different line with seven tokens"]
-    names = {name: own for name, own in line_dedup.templates(lines, [1, 1, 1, 1])}
+    names = {name: own for name, own in line_dedup.templates(lines)}
     assert names == {"user <*> has left the room again": [0, 1, 2], "an entirely different line with seven tokens": [3]}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from .config import LinkConfig, load_yaml
 from .operators import candidates as cd
 from .operators import linkage as lk
-from .operators import merge, sampling, segment, stats, survey
-from .sources import records, sinks
+from .operators import evaluate, merge, sampling, segment, stats, survey
+from .sources import bindings, records, sinks
 
 FIELDS = ("title", "creator", "contributor", "description", "subject", "coverage", "format", "source")
 
@@ -108,6 +109,23 @@ def link(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.write_tiers(tiers, run.combined, a.out)
 
 
+def enrich(spark: SparkSession, a: argparse.Namespace) -> None:
+    authors = spark.read.parquet(f"{a.corpus}/authors/records")
+    made = bindings.enrich_authors(spark, authors, f"{a.out}/bindings", a.date, endpoint=a.endpoint, agent=a.agent, delay=a.delay)
+    sinks.write_store(made.select(*authors.columns, *[c for c in made.columns if c not in authors.columns]), f"{a.out}/authors", data=a.corpus)
+
+
+def sweep(spark: SparkSession, a: argparse.Namespace) -> None:
+    """All pairs of the given thresholds, from the scores that ``link`` stored; the thresholds of its own run are the least."""
+    books = spark.read.parquet(f"{a.corpus}/books/records").select(F.col("uri").alias("book"), "author_uri")
+    titles = spark.read.parquet(f"{a.matches}/stages/titles").select("rec", F.col("uri").alias("book"), F.col("score").alias("title_score"))
+    authors = spark.read.parquet(f"{a.matches}/stages/authors").select("rec", F.col("uri").alias("author_uri"), F.col("score").alias("author_score"))
+    scored = titles.join(books, "book").join(authors, ["rec", "author_uri"])
+    grid = spark.createDataFrame([(x, y) for x in a.authors for y in a.titles], "author_threshold double, title_threshold double")
+    made = evaluate.sweep(scored, records.truth(spark, a.truth), grid)
+    sinks.write_csv(made.orderBy("author_threshold", "title_threshold"), a.out)
+
+
 def report(spark: SparkSession, a: argparse.Namespace) -> None:
     pairs = spark.read.json(f"{a.out}/matches").select("rec", F.explode("matches.book").alias("uri"))
     stats.unique_counts(pairs).show()
@@ -132,6 +150,9 @@ def parser() -> argparse.ArgumentParser:
     add("apply-review", apply_review, out)
     add("sample", sample, ("--records", need), out, ("--size", {"type": int, "default": 500}), ("--seed", {"type": int, "default": 42}))
     add("link", link, ("--records", need), ("--corpus", need), out, ("--strict", {"action": "store_true"}), ("--config", {"help": "YAML file of settings"}), ("--section", {"help": "its section"}))
+    add("enrich", enrich, ("--corpus", need), out, ("--endpoint", {"default": bindings.ENDPOINT}), ("--agent", {"default": "linkspark"}), ("--delay", {"type": float, "default": bindings.DELAY}), ("--date", {"default": str(datetime.date.today())}))
+    steps = {"type": float, "nargs": "+", "default": [0.70, 0.75, 0.80, 0.85, 0.90]}
+    add("sweep", sweep, ("--matches", need), ("--corpus", need), ("--truth", need), out, ("--authors", steps), ("--titles", steps))
     add("report", report, out, ("--limit", {"type": int, "default": 40}), ("--outliers", {"action": "store_true"}))
     return p
 

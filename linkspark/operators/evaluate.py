@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ranks
+
 
 def _share(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -76,11 +78,47 @@ def record_metrics(found: DataFrame, truth: DataFrame, by: list[str] | None = No
     return out.select("*", _share(F.col("correct"), F.col("correct") + F.col("extra")).alias("precision"), _share(F.col("correct"), F.col("records")).alias("recall"))
 
 
-def sweep(scored: DataFrame, truth: DataFrame, settings: DataFrame) -> DataFrame:
-    """found_any_metrics at each setting (author_threshold, title_threshold), from one table of scored pairs
-    (rec, book, author_score, title_score). Settings are a small grid, chosen by hand."""
-    kept = scored.crossJoin(F.broadcast(settings)).where((F.col("author_score") >= F.col("author_threshold")) & (F.col("title_score") >= F.col("title_threshold")))
-    return found_any_metrics(kept.withColumn("rank", F.lit(1)), truth, ["author_threshold", "title_threshold"])
+def sweep(scored: DataFrame, truth: DataFrame, settings: DataFrame, by: str | None = None) -> DataFrame:
+    """found_any_metrics at each setting (author_threshold, title_threshold) that returns anything, from one table of scored pairs
+    (rec, book, author_score, title_score); by: a column that tells variants of the scores apart.
+
+    Settings are a small grid, chosen by hand. A pair counts at all settings up to the highest thresholds that it reaches,
+    so pairs are counted once by these two (a two-dimensional histogram), and sums from the top give every setting: the
+    work doesn't grow with the number of settings. A record with several expected books counts once where any of them
+    does: the steps of its best pairs count, less the corners in which neighbours overlap."""
+    grid = [(r[0], r[1]) for r in settings.select("author_threshold", "title_threshold").distinct().collect()]
+    axes = [sorted({g[i] for g in grid}) for i in (0, 1)]
+    keys = [by] if by else []
+    reached = lambda c, axis: F.size(F.filter(F.array(*[F.lit(float(t)) for t in axis]), lambda t: t <= F.col(c)))
+    expected = truth.select("rec", "book").distinct()
+    judged = expected.groupBy("rec").agg(F.count("book").alias("n")).where("n > 0").select("rec")  # none is expected of others
+    pairs = scored.join(judged, "rec", "left_semi").select(*keys, "rec", "book", reached("author_score", axes[0]).alias("a"), reached("title_score", axes[1]).alias("t")).where("a > 0 AND t > 0")
+    marked = pairs.join(expected.where("book IS NOT NULL").withColumn("hit", F.lit(1)), ["rec", "book"], "left")
+    cells = marked.groupBy(*keys, "a", "t").agg(F.count(F.lit(1)).alias("matched"), F.count("hit").alias("hits"))
+    # A record's hits by falling a; those that reach no higher t than an earlier one add nothing.
+    steps = marked.where("hit = 1").groupBy(*keys, "rec", "a").agg(F.max("t").alias("t")).groupBy(*keys, "rec").agg(F.sort_array(F.collect_list(F.struct("a", "t")), asc=False).alias("s"))
+    top = lambda s, i: F.array_max(F.concat(F.transform(F.slice(s, F.lit(1), i), lambda x: x["t"]), F.array(F.lit(0))))
+    front = F.filter("s", lambda x, i: x["t"] > top(F.col("s"), i))
+    corner = lambda x, i: F.struct(x["a"].alias("a"), x["t"].alias("t"), F.lit(1).alias("c"))
+    inner = lambda x, i: F.struct(x["a"].alias("a"), F.get("f", i - 1)["t"].alias("t"), F.lit(-1).alias("c"))
+    marks = steps.withColumn("f", front).select(*keys, F.inline(F.concat(F.transform("f", corner), F.slice(F.transform("f", inner), F.lit(2), F.greatest(F.size("f") - 1, F.lit(0))))))
+    right = marks.groupBy(*keys, "a", "t").agg(F.sum("c").alias("correct"))
+    table = cells.unionByName(right, allowMissingColumns=True).fillna(0, ["matched", "hits", "correct"])  # as many rows as the grid has cells
+    at = scored.sparkSession.createDataFrame([(x, y, axes[0].index(x) + 1, axes[1].index(y) + 1) for x, y in grid], "author_threshold double, title_threshold double, ga int, gt int")
+    summed = table.join(F.broadcast(at), (F.col("a") >= F.col("ga")) & (F.col("t") >= F.col("gt"))).groupBy(*keys, "author_threshold", "title_threshold")
+    out = summed.agg(F.sum("correct").alias("correct"), F.sum("matched").alias("matched"), (F.sum("matched") - F.sum("hits")).alias("extra")).where("matched > 0")
+    out = out.crossJoin(F.broadcast(judged.agg(F.count(F.lit(1)).alias("records"))))  # one row
+    p, r = _share(F.col("matched") - F.col("extra"), F.col("matched")), _share(F.col("correct"), F.col("records"))
+    return out.select("*", p.alias("precision"), r.alias("recall"), _f1(p, r).alias("f1"))
+
+
+def boosted(pairs: DataFrame, variants: DataFrame) -> DataFrame:
+    """(label, rec, book, author_score, title_score): the scores under each variant of scale and boost, from stored raw scores and sums
+    of weights. pairs: (rec, book, author_raw, author_rare, title_raw, title_comb), raw of 0..1; variants, few by design:
+    (label, author_scale, author_boost, title_scale, title_boost), a boost of 0 for no weights."""
+    score = lambda raw, w, side: F.col(raw) * (1 + F.least(F.col(w) / F.col(f"{side}_scale"), F.col(f"{side}_boost")))
+    every = pairs.crossJoin(F.broadcast(variants))
+    return every.select("label", "rec", "book", score("author_raw", "author_rare", "author").alias("author_score"), score("title_raw", "title_comb", "title").alias("title_score"))
 
 
 def pareto(results: DataFrame, key: list[str], a: str = "precision", b: str = "recall", least_b: float = 0.90) -> DataFrame:
@@ -97,13 +135,18 @@ def label_means(results: DataFrame, label: str = "idf_label") -> DataFrame:
     return results.groupBy(label).agg(F.avg("precision").alias("mean_precision"), F.avg("recall").alias("mean_recall"), F.avg("f1").alias("mean_f1"), F.max("f1").alias("max_f1"))
 
 
-def idf_percentiles(idf: DataFrame, percents: tuple[int, ...] = (10, 25, 50, 75, 90, 95, 99)) -> DataFrame:
+def idf_percentiles(idf: DataFrame, percents: tuple[int, ...] = (10, 25, 50, 75, 90, 95, 99), ranges: int = ranks.RANGES) -> DataFrame:
     """percent, idf: the value at place floor(n p / 100) of all values in order. Equal values are counted, not sorted."""
     counts = idf.groupBy("idf").agg(F.count(F.lit(1)).alias("c"))
-    placed = counts.withColumn("upto", F.sum("c").over(Window.orderBy("idf"))).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    each = placed.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
-    at = F.floor(F.col("n") * F.col("percent") / 100)
-    return each.where((at >= F.col("upto") - F.col("c")) & (at < F.col("upto"))).select("percent", "idf")
+    each = ranks.running(counts, "idf", "c", ranges).withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
+    at = F.floor(F.col("total") * F.col("percent") / 100)
+    return each.where((at >= F.col("before")) & (at < F.col("before") + F.col("c"))).select("percent", "idf")
+
+
+def idf_over(idf: DataFrame, thresholds: tuple[float, ...] = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0)) -> DataFrame:
+    """threshold, tokens: how many tokens have at least that weight."""
+    counted = idf.agg(*[F.count_if(F.col("idf") >= t).alias(str(i)) for i, t in enumerate(thresholds)])
+    return counted.select(F.inline(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"`{i}`").alias("tokens")) for i, t in enumerate(thresholds)])))
 
 
 def stage_report(records: DataFrame, stages: dict[str, DataFrame], truth: DataFrame) -> DataFrame:

@@ -1,8 +1,14 @@
 """Descriptions taken apart at boilerplate, and relations found in fields."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
@@ -74,21 +80,57 @@ def segment(descriptions: Column, titles: Column, signals: dict[str, str | None]
     return run(descriptions, F.transform(descriptions, lambda x: tx.token_spans(x)), titles)
 
 
-def relations(elements: DataFrame, terms: DataFrame, before: int = 40, after: int = 80) -> DataFrame:
+#: Characters of the terms that one automaton holds; larger sets are searched in as many passes as they need.
+TERM_CHARS = 2_000_000
+
+
+def automaton(terms: list[str]) -> ahocorasick.Automaton:
+    """Goto and failure links of the terms; a match gives the term."""
+    made = ahocorasick.Automaton()
+    for t in terms:
+        made.add_word(t, t)
+    if terms:
+        made.make_automaton()
+    return made
+
+
+def places(text: str, found: ahocorasick.Automaton) -> list[tuple[str, int]]:
+    """(term, at) of every term, each taken from the left without overlaps of its own."""
+    free: dict[str, int] = {}
+    out = []
+    for end, term in found.iter(text) if len(found) else ():
+        at = end - len(term) + 1
+        if at >= free.get(term, 0):
+            free[term] = end + 1
+            out.append((term, at))
+    return out
+
+
+def relations(elements: DataFrame, terms: DataFrame, before: int = 40, after: int = 80, term_chars: int = TERM_CHARS) -> DataFrame:
     """rec, field, relation_type, term, at, context: all non-overlapping places of a term, without case. elements:
-    (rec, field, text); terms: (relation_type, term, field), field null for any. The terms are a small table that is
-    checked before it is broadcast."""
-    small = terms.select("relation_type", "term", F.col("field").alias("only"))
-    if small.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 relation terms")
-    pairs = elements.crossJoin(F.broadcast(small)).where((F.col("only").isNull() | (F.col("only") == F.col("field"))) & F.contains(F.lower("text"), F.lower("term")))
-    pieces = F.split(F.lower("text"), F.concat(F.lit("\\Q"), F.lower("term"), F.lit("\\E")))
-    places = F.aggregate(
-        F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p) + F.length("term")).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(p))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    found = pairs.select("rec", "field", "relation_type", "term", "text", F.explode(places).alias("at"))
+    (rec, field, text); terms: (relation_type, term, field), field null for any. A text is read once for all terms of a pass."""
+    small = terms.where("term IS NOT NULL AND term != ''").select("relation_type", "term", F.lower("term").alias("low"), F.col("field").alias("only"))
+    total = small.agg(F.sum(F.length("low"))).first()[0] or 0
+    passes = max(1, -(-total // term_chars))
+    kind = T.StructType([*[elements.schema[c] for c in ("rec", "field", "text")], T.StructField("low", T.StringType()), T.StructField("at", T.IntegerType())])
+
+    def matches(k: int) -> DataFrame:
+        # As many characters as term_chars on average: bounded, whatever the number of terms.
+        own = [r[0] for r in small.where(F.pmod(F.xxhash64("low"), F.lit(passes)) == k).select("low").distinct().collect()]
+        held = elements.sparkSession.sparkContext.broadcast(own)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = automaton(held.value)
+            for batch in batches:
+                hits = [(i, *hit) for i, text in enumerate(batch.column(3).to_pylist()) if text for hit in places(text, found)]
+                rows = batch.take(pa.array([h[0] for h in hits], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array([h[1] for h in hits], pa.string()), pa.array([h[2] for h in hits], pa.int32())], kind.names)
+
+        return elements.select("rec", "field", "text", F.lower("text")).mapInArrow(run, kind)
+
+    found = matches(0)
+    for k in range(1, passes):
+        found = found.unionByName(matches(k))
+    fit = found.join(small, "low").where(F.col("only").isNull() | (F.col("only") == F.col("field")))
     start = F.greatest(F.col("at") - before, F.lit(0))
-    return found.select("rec", "field", "relation_type", "term", "at", F.trim(F.substr("text", start + 1, F.col("at") + F.length("term") + after - start)).alias("context"))
+    return fit.select("rec", "field", "relation_type", "term", "at", F.trim(F.substr("text", start + 1, F.col("at") + F.length("term") + after - start)).alias("context"))

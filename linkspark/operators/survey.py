@@ -7,8 +7,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from . import ranks
 
 
 def ngram_counts(elements: DataFrame, max_n: int = 4, tokens=tx.tokens_lat) -> DataFrame:
@@ -22,6 +24,36 @@ def ngram_counts(elements: DataFrame, max_n: int = 4, tokens=tx.tokens_lat) -> D
     return grams.groupBy("field", "n", "ngram").agg(F.sum("c").alias("term_freq"), F.count(F.lit(1)).alias("doc_freq"))
 
 
+def ngram_counts_across(elements: DataFrame, max_n: int = 4, tokens=tx.tokens_lat, ranges: int = ranks.RANGES) -> DataFrame:
+    """As ``ngram_counts``, but term_freq is that of all records of a field as one sequence, in the order of rec: n-grams
+    that begin in one record and end in a later one count too. doc_freq is by record still.
+
+    Records go to ranges of rec. What follows a record's last tokens are the first tokens of later records; those are in
+    its range, but for the last records of a range: these are worked out from the first and the last few records of every
+    range, a table as small as the number of ranges."""
+    edge = max_n - 1
+    joined = elements.groupBy("rec", "field").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("e"))
+    words = joined.select("rec", "field", tokens(F.array_join(F.transform("e", lambda x: x["text"]), " ")).alias("w")).where(F.size("w") > 0)
+    ends = words.select("rec", "field", F.slice("w", 1, edge).alias("head"), F.slice("w", F.greatest(F.size("w") - edge + 1, F.lit(1)), F.lit(edge)).alias("tail"))
+    ranged = ends.withColumn("range", ranks.range_of("rec", ranks.bounds(elements, "rec", ranges)))
+    inside = Window.partitionBy("field", "range").orderBy("rec")
+    placed = ranged.withColumn("left", F.count(F.lit(1)).over(Window.partitionBy("field", "range")) - F.row_number().over(inside)).withColumn("place", F.row_number().over(inside))
+    follow = lambda w: F.flatten(F.filter(F.array(*[F.lead("head", k).over(w) for k in range(1, edge + 1)]), lambda x: x.isNotNull()))
+    far = placed.withColumn("next", follow(inside)).where(F.col("left") >= edge)
+    few = placed.where((F.col("left") < edge) | (F.col("place") <= edge))
+    near = few.withColumn("next", follow(Window.partitionBy("field").orderBy("range", "rec"))).where(F.col("left") < edge)
+
+    def crossing(n: int) -> Column:
+        t, after = F.col("tail"), F.col("next")
+        whole = F.concat(F.slice(t, F.greatest(F.size(t) - n + 2, F.lit(1)), F.lit(n - 1)), F.slice(after, 1, n - 1))
+        return F.transform(tx.ngrams(whole, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("ngram")))
+
+    grams = far.unionByName(near).select("field", F.inline(F.flatten(F.array(*[crossing(n) for n in range(2, max_n + 1)])))).groupBy("field", "n", "ngram").agg(F.count(F.lit(1)).alias("more"))
+    own = ngram_counts(elements, max_n, tokens)
+    every = own.join(grams, ["field", "n", "ngram"], "full")
+    return every.select("field", "n", "ngram", (F.coalesce("term_freq", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("term_freq"), F.coalesce("doc_freq", F.lit(0)).alias("doc_freq"))
+
+
 def tfidf(counts: DataFrame, elements: DataFrame) -> DataFrame:
     """counts with tfidf = tf ln(N / df), N the number of records."""
     n = elements.agg(F.count_distinct("rec").alias("records"))
@@ -54,8 +86,6 @@ def _scripts(x: Column) -> dict[str, Column]:
 def samples(elements: DataFrame, n: int = 5, chars: int = 140) -> DataFrame:
     """field, samples: the first values of each field, shortened. A report, hence limited."""
     short = elements.select("field", F.struct("rec", "ord", F.left("text", F.lit(chars)).alias("text")).alias("s"))
-    from pyspark.sql.window import Window
-
     few = short.withColumn("k", F.row_number().over(Window.partitionBy("field").orderBy("s"))).where(F.col("k") <= n)
     return few.groupBy("field").agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["text"]).alias("samples"))
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..config import LinkConfig
 from ..functions import similarity as sim
 from ..functions import text as tx
+from ..operators import evaluate as ev
 from ..operators import linkage as lk
-from ..operators import search
+from ..operators import search, survey
 from .proxies import ratio_sql, set_ratio_sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +124,63 @@ def links_by_source(s, d):
     c = table(s, d, "clients").select(F.col("client_id").alias("rec"), F.coalesce("source", F.lit("")).alias("source"))
     linked = lk.title_stage(records(s, d).select("rec", "ord", "raw"), masters(s, d), C).select("rec").distinct().withColumn("hit", F.lit(1))
     return c.join(linked, "rec", "left").groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.count("hit").alias("linked"))
+
+
+# Sweeps: 5 variants of the weights by 5 by 5 thresholds, from one scoring
+
+LABELS = [("none", 15.0, 0.0, 20.0, 0.0), ("low", 30.0, 0.15, 40.0, 0.2), ("default", 15.0, 0.3, 20.0, 0.4), ("high", 10.0, 0.4, 12.0, 0.5), ("steep", 5.0, 0.3, 5.0, 0.4)]
+STEPS = (0.7, 0.8, 0.9, 1.0, 1.2)
+SCORED = f"""c AS (SELECT client_id AS rec, {norm_sql('name')} AS cand, coalesce(length(city), 0) AS w, coalesce(master_id, -1)::VARCHAR AS own FROM clients),
+t AS (SELECT client_id::VARCHAR AS book, {norm_sql('name', True)} AS norm FROM clients WHERE client_id = master_id),
+u AS (SELECT book, norm, list_distinct(list_filter(string_split(norm, ' '), lambda x: x <> '')) AS toks FROM t WHERE norm <> ''),
+i AS (SELECT token, ln(1 + (SELECT count(*) FROM u) / count(*)) AS idf FROM (SELECT book, unnest(toks) AS token FROM u) GROUP BY token),
+s AS (SELECT cand, book, sum(idf) AS comb FROM (SELECT DISTINCT cand, unnest(list_distinct(string_split(cand, ' '))) AS token FROM c WHERE cand <> '') JOIN (SELECT book, unnest(toks) AS token FROM u) USING (token) JOIN i USING (token) GROUP BY cand, book),
+p AS (SELECT cand, book, raw / 100 AS raw, round(comb, 6) AS comb FROM {set_ratio_sql(f"(SELECT s.*, {proc_sql('cand')} AS x1, {proc_sql('norm')} AS y1 FROM s JOIN u USING (book))", "x1", "y1", "cand, book, comb")} WHERE raw * (1 + least(comb / 20.0, 0.4)) >= 70),
+q AS (SELECT rec, book, raw AS author_raw, w / 2.0 AS author_rare, raw AS title_raw, comb AS title_comb FROM c JOIN p USING (cand)),
+v AS (SELECT * FROM (VALUES {", ".join(str(x) for x in LABELS)}) v(label, author_scale, author_boost, title_scale, title_boost)),
+b AS (SELECT label, rec, book, author_raw * (1 + least(author_rare / author_scale, author_boost)) AS a, title_raw * (1 + least(title_comb / title_scale, title_boost)) AS t FROM q, v),
+e AS (SELECT rec, own AS book FROM c WHERE own <> '-1'),
+g AS (SELECT unnest({list(STEPS)}::DOUBLE[]) AS x)"""
+
+
+@query(f"""WITH {SCORED}, x AS (SELECT label, ga.x AS author_threshold, gt.x AS title_threshold, b.rec, count(*) AS returned, count(e.book) AS hits FROM b JOIN (SELECT DISTINCT rec FROM e) r USING (rec) CROSS JOIN g ga CROSS JOIN g gt LEFT JOIN e ON e.rec = b.rec AND e.book = b.book
+  WHERE b.a >= ga.x AND b.t >= gt.x GROUP BY ALL),
+y AS (SELECT label, author_threshold, title_threshold, count(*) FILTER (hits > 0) AS correct, sum(returned)::BIGINT AS matched, sum(returned - hits)::BIGINT AS extra, (SELECT count(DISTINCT rec) FROM e) AS records FROM x GROUP BY ALL)
+SELECT label, author_threshold, title_threshold, correct, matched, extra, records, round((matched - extra) / matched, 6) AS precision, round(correct / records, 6) AS recall FROM y""")
+def sweep_variants(s, d):
+    c = table(s, d, "clients").select(F.col("client_id").alias("rec"), F.coalesce(F.length("city"), F.lit(0)).alias("w"), "master_id")
+    made = lk.targets(masters(s, d))
+    cands = lk.candidates(records(s, d).select("rec", "ord", "raw"))
+    pairs = lk.score_pairs(cands, made, lk.idf_weights(made), 0.7, 20.0, 0.4, 3.5)
+    linked = cands.join(pairs, "cand").join(c, "rec")
+    stored = linked.select("rec", F.col("uri").alias("book"), (F.col("raw") / 100).alias("author_raw"), (F.col("w") / 2).alias("author_rare"), (F.col("raw") / 100).alias("title_raw"), F.round("comb", 6).alias("title_comb"))
+    variants = s.createDataFrame(LABELS, "label string, author_scale double, author_boost double, title_scale double, title_boost double")
+    truth = c.where("master_id IS NOT NULL").select("rec", F.col("master_id").cast("string").alias("book"))
+    grid = s.createDataFrame([(a, t) for a in STEPS for t in STEPS], "author_threshold double, title_threshold double")
+    out = ev.sweep(ev.boosted(stored, variants), truth, grid, "label")
+    return out.select("label", "author_threshold", "title_threshold", "correct", "matched", "extra", "records", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(f"WITH {WEIGHTED} SELECT threshold, count(*) FILTER (idf >= threshold) AS tokens FROM i, (SELECT unnest([1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0]::DOUBLE[]) AS threshold) GROUP BY threshold")
+def idf_over(s, d):
+    return ev.idf_over(lk.idf_weights(lk.targets(masters(s, d))))
+
+
+@query(f"WITH {WEIGHTED}, o AS (SELECT idf, row_number() OVER (ORDER BY idf) - 1 AS k, count(*) OVER () AS n FROM i) SELECT p::INT AS percent, round(idf, 6) AS idf FROM o JOIN (SELECT unnest([10, 25, 50, 75, 90, 95, 99]) AS p) ON k = (n * p) // 100")
+def name_idf_percentiles(s, d):
+    return ev.idf_percentiles(lk.idf_weights(lk.targets(masters(s, d)))).select("percent", F.round("idf", 6).alias("idf"))
+
+
+# n-grams of all records as one sequence
+
+WORD_LIST = f"list_filter(regexp_extract_all(lower(string_agg(text, ' ' ORDER BY turn, text)), '[{tx.LATIN}]+|\\p{{Nd}}+'), lambda x: length(x) >= 2)"
+
+
+@query(f"""WITH r AS (SELECT conv_id, role AS field, {WORD_LIST} AS w FROM conversations GROUP BY ALL),
+o AS (SELECT field, conv_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM r),
+l AS (SELECT field, conv_id AS c, t, lead(t, 1) OVER f AS t1, lead(t, 2) OVER f AS t2, lead(t, 3) OVER f AS t3, lead(conv_id, 1) OVER f AS c1, lead(conv_id, 2) OVER f AS c2, lead(conv_id, 3) OVER f AS c3 FROM o WINDOW f AS (PARTITION BY field ORDER BY conv_id, i)),
+g AS (SELECT field, 2 AS n, t || ' ' || t1 AS ngram, CASE WHEN c = c1 THEN c END AS c FROM l UNION ALL SELECT field, 3, t || ' ' || t1 || ' ' || t2, CASE WHEN c = c2 THEN c END FROM l UNION ALL SELECT field, 4, t || ' ' || t1 || ' ' || t2 || ' ' || t3, CASE WHEN c = c3 THEN c END FROM l)
+SELECT field, n::INT AS n, ngram, count(*) AS term_freq, count(DISTINCT c) AS doc_freq FROM g WHERE ngram IS NOT NULL GROUP BY ALL""")
+def ngram_tf_across(s, d):
+    e = table(s, d, "conversations").select(F.col("conv_id").alias("rec"), F.col("role").alias("field"), F.col("turn").cast("int").alias("ord"), "text")
+    return survey.ngram_counts_across(e)

@@ -149,9 +149,10 @@ LISTING = T.StructType([T.StructField(n, T.StringType()) for n in ("version_uri"
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """A corpus listing (one row per version), with author_uri, book_uri and a row order."""
+    """A corpus listing (one row per version), with author_uri, book_uri and the row order: files by their paths, a file's
+    parts by their offsets, and the rows of a part, which one task reads, as they are read."""
     rows = spark.read.schema(LISTING).option("header", "true").csv(path, sep="\t", quote="")
-    rows = rows.withColumn("row_no", F.monotonically_increasing_id())
+    rows = rows.withColumn("row_no", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")))
     book = F.coalesce(tx.blank_to_null(F.col("book")), F.substring_index("version_uri", ".", 2))
     return rows.withColumns({"book_uri": book, "author_uri": F.substring_index(book, ".", 1)})
 

@@ -20,3 +20,8 @@ def test_end_to_end(spark, tmp_path):
     found = spark.read.json(str(tmp_path / "m/matches")).first()
     assert found["tier"] == "high_confidence" and found["matches"][0]["book"] == "0685NasirDinBaydawi.AnwarTanzil"
     assert spark.read.json(str(tmp_path / "s/summary")).count() == 3
+    truth = tmp_path / "truth.json"
+    truth.write_text('[["OAI_1", "0685NasirDinBaydawi.AnwarTanzil"]]' if spark.read.json(str(tmp_path / "m/matches")).first()["rec"] == "0685NasirDinBaydawi.AnwarTanzil" else '[["0685NasirDinBaydawi.AnwarTanzil", "%s"]]' % found["rec"], encoding="utf-8")
+    go("sweep", "--matches", tmp_path / "m", "--corpus", tmp_path / "c", "--truth", truth, "--out", tmp_path / "w", "--authors", "0.8", "0.9", "--titles", "0.85", "9")
+    rows = spark.read.option("header", "true").csv(str(tmp_path / "w")).collect()
+    assert {(r["author_threshold"], r["title_threshold"], r["correct"], r["recall"]) for r in rows} == {("0.8", "0.85", "1", "1.0"), ("0.9", "0.85", "1", "1.0")}

@@ -82,3 +82,27 @@ def cull_author_tokens(books: DataFrame, variants: DataFrame, column: str = "tit
 
     joined = books.join(by_author, "author_uri", "left")
     return joined.withColumn(column, F.when(F.col("__names").isNull(), F.col(column)).otherwise(F.transform(column, culled))).select(*books.columns)
+
+
+def plain_candidates(rows: DataFrame, lat: list[Column], ara: list[Column], strategy: str = "fuzzy") -> DataFrame:
+    """uri, script, ord, cand: the named values of each row in the older normalisation, each once for a script, without empty ones.
+    lat, ara: the columns (texts or lists of texts) in order."""
+
+    def of(columns: list[Column], script: str) -> Column:
+        made = F.transform(F.filter(F.concat(*columns), lambda x: x.isNotNull() & (x != "")), lambda x: tx.legacy_normalize(x, script, strategy))
+        return F.array_distinct(F.filter(made, lambda x: x != ""))
+
+    each = [rows.select("uri", F.lit(s).alias("script"), F.posexplode(of(c, s)).alias("ord", "cand")) for s, c in (("lat", lat), ("ara", ara)) if c]
+    return each[0] if len(each) == 1 else each[0].unionByName(each[1])
+
+
+def plain_book_candidates(books: DataFrame, strategy: str = "fuzzy") -> DataFrame:
+    """Of books with one title a script: the titles, and the slug of the URI where there is no Latin title."""
+    slug = F.when(F.coalesce("title_lat", F.lit("")) == "", F.col("title_slug"))
+    return plain_candidates(books, [F.array("title_lat"), F.array(slug)], [F.array("title_ara")], strategy)
+
+
+def plain_author_candidates(authors: DataFrame, strategy: str = "fuzzy") -> DataFrame:
+    """Of authors: the slug, labels, aliases and the six parts of a name, in this order."""
+    parts = lambda s: F.array(*[F.col(f"name_{p}_{s}") for p in ("shuhra", "ism", "kunya", "laqab", "nasab", "nisba")])
+    return plain_candidates(authors, [F.array("name_slug", "wd_label_en"), _list(F.col("wd_aliases_en")), parts("lat")], [parts("ara"), F.array("wd_label_ar"), _list(F.col("wd_aliases_ar"))], strategy)

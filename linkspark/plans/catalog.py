@@ -12,8 +12,10 @@ from ..functions import similarity as sim
 from ..functions import text as tx
 from ..operators import candidates as cd
 from ..operators import evaluate as ev
+from ..operators import exports
 from ..operators import linkage as lk
 from ..operators import merge, sampling, segment, stats, survey
+from ..sources import sinks
 from ..streaming import incremental
 from . import match_catalog, source_catalog
 from .proxies import CONFIG, lcs_sql, linkage, linkage_sql, ratio_sql, set_ratio_sql, table
@@ -361,6 +363,82 @@ def set_counts(s, d):
     return merge.set_counts(_linked(s, d).combined, _truth(s, d).where("book IS NOT NULL"))
 
 
+# Exports: written as CSV and read back
+
+EXPORT = f"""WITH {linkage_sql()}, {TRUTH}, u AS (SELECT uri AS book, author AS author_uri, replace(uri, '_', ' ') AS book_title, 'author ' || author AS author_name FROM tt), h AS (SELECT rec, rec % 2 = 0 AS l FROM r)"""
+
+
+def _exported(made: DataFrame) -> DataFrame:
+    at = source_catalog.folder(made.sparkSession, "export")
+    sinks.write_csv(made, at)
+    return made.sparkSession.read.schema(made.schema).option("header", "true").csv(at)
+
+
+def _books(run: lk.Linkage) -> DataFrame:
+    return run.books.select(F.col("uri").alias("book"), "author_uri", F.replace("uri", F.lit("_"), F.lit(" ")).alias("book_title"), F.concat(F.lit("author "), "author_uri").alias("author_name"))
+
+
+def _creators(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").select(F.col("p_partkey").alias("rec"), (F.col("p_partkey") % 2 == 0).alias("has_creator_lat"), F.lit(False).alias("has_creator_ara"))
+
+
+@query(f"""{EXPORT}, c AS (SELECT rec, uri AS book FROM s2 UNION SELECT rec, book FROM s3 UNION SELECT rec, book FROM t WHERE book IS NOT NULL UNION SELECT s1.rec, u.book FROM s1 JOIN u ON u.author_uri = s1.uri)
+SELECT c.rec AS record_id, t.book AS expected_book, c.book AS book_uri, book_title, author_uri, author_name, round(s1.raw, 4) AS score_raw, round(s1.idf_score, 4) AS score_idf, round(s1.score, 4) AS score_final, coalesce(s1.idf_score > s1.raw, false) AS idf_boosted,
+  coalesce(abs(s1.score - s1.idf_score) > 1e-6, false) AS creator_reweighted, round(s2.score, 4) AS title_score, round(s3.score, 4) AS combined_score, s1.rec IS NOT NULL AS in_stage1, s2.rec IS NOT NULL AS in_stage2, s3.rec IS NOT NULL AS in_stage3,
+  c.book IS NOT DISTINCT FROM t.book AS is_expected, l AS has_creator_lat, false AS has_creator_ara
+FROM c JOIN t USING (rec) JOIN u ON u.book = c.book JOIN h USING (rec) LEFT JOIN s1 ON s1.rec = c.rec AND s1.uri = u.author_uri LEFT JOIN s2 ON s2.rec = c.rec AND s2.uri = c.book LEFT JOIN s3 ON s3.rec = c.rec AND s3.book = c.book""")
+def export_author_scores(s, d):
+    run = _linked(s, d)
+    return _exported(exports.author_scores(run, _truth(s, d), _books(run), _creators(s, d)))
+
+
+@query(f"""{EXPORT} SELECT s3.rec AS record_id, t.book AS expected_uri, s3.book AS matched_uri, s3.book IS NOT DISTINCT FROM t.book AS is_correct, rank, s3.author AS author_uri, author_name, round(s1.raw, 4) AS author_score_pre, round(s1.score, 4) AS author_score_post,
+  l AS has_creator_lat, false AS has_creator_ara, round(s3.title_score, 4) AS title_score, round(s3.score, 4) AS combined_score FROM s3 JOIN t USING (rec) JOIN u ON u.book = s3.book JOIN h USING (rec) JOIN s1 ON s1.rec = s3.rec AND s1.uri = s3.author""")
+def export_combined_scores(s, d):
+    run = _linked(s, d)
+    return _exported(exports.combined_scores(run, _truth(s, d), _books(run), _creators(s, d)))
+
+
+@query(f"""{EXPORT} SELECT s3.rec AS record_id, t.book AS expected_book, s3.book AS winning_match, coalesce(s3.book = t.book, false) AS is_expected_match, t.book IS NULL AS is_null_expected, author AS author_uri, round(author_score, 4) AS author_score,
+  round(title_score, 4) AS title_score, round(score, 4) AS combined_score, count(*) OVER (PARTITION BY s3.rec) AS num_matches_for_record FROM s3 JOIN t USING (rec)""")
+def export_validation(s, d):
+    return _exported(exports.validation(_linked(s, d), _truth(s, d)))
+
+
+# Candidates of older kinds, and the ladders of samples
+
+
+@query("""WITH b AS (SELECT p_partkey AS uri, CASE WHEN p_partkey % 3 <> 0 THEN p_name WHEN p_partkey % 2 = 0 THEN '' END AS title, p_type AS slug FROM part)
+SELECT uri, 0 AS ord, replace(lower(coalesce(nullif(title, ''), slug)), 'c', 'ayn') AS cand FROM b""")
+def slug_fallback(s, d):
+    title = F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).when(F.col("p_partkey") % 2 == 0, "")
+    books = table(s, d, "part").select(F.col("p_partkey").alias("uri"), title.alias("title_lat"), F.col("p_type").alias("title_slug"), F.lit(None).cast("string").alias("title_ara"))
+    return cd.plain_book_candidates(books).select("uri", "ord", "cand")
+
+
+@query("""SELECT p_partkey AS rec, 'title' AS purpose, unnest(list_distinct([p_name, p_type])) AS raw FROM part UNION ALL SELECT p_partkey, 'all', unnest(list_distinct(['Maker ' || (p_partkey % 7), p_name, p_type])) FROM part""")
+def purposes(s, d):
+    """Title candidates leave creators out; all candidates have them."""
+    some, none = lambda *c: F.array(*c), F.array().cast("array<string>")
+    p = table(s, d, "part").select(F.col("p_partkey").alias("record_id"), some(F.concat(F.lit("Maker "), (F.col("p_partkey") % 7).cast("string"))).alias("creator_lat"), some("p_name").alias("title_lat"), some("p_type").alias("description_candidates_lat"), none.alias("contributor_lat"), *[none.alias(f"{c}_ara") for c in ("creator", "contributor", "title", "description_candidates")])
+    made = [cd.record_candidates(p, k).select(F.col("record_id").alias("rec"), F.lit(k).alias("purpose"), "raw") for k in ("title", "all")]
+    return made[0].unionByName(made[1])
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS c, p_partkey % 3 AS t, p_partkey % 6 AS e, ['Histoire de ' || p_name, 'Le Coran', 'Astronomie', 'Grammaire', p_name][(p_partkey % 5 + 1)::INT] AS s, CASE WHEN p_partkey % 11 > 0 THEN (p_partkey % 20) * 100 END AS y FROM part)
+SELECT k, CASE WHEN c > 0 AND t > 0 THEN 'both' WHEN c > 0 THEN 'author_only' WHEN t > 0 THEN 'title_only' ELSE 'sparse' END AS completeness,
+  CASE k % 5 WHEN 0 THEN 'historiography' WHEN 1 THEN 'religious' WHEN 2 THEN 'sciences' WHEN 3 THEN 'language' ELSE 'other' END AS subject_class,
+  CASE WHEN y IS NULL THEN 'unknown' WHEN y < 900 THEN 'early' WHEN y < 1200 THEN 'medieval' ELSE 'late' END AS period, CASE WHEN k % 9 = 0 THEN 'composite' ELSE 'single_author' END AS kind,
+  CASE WHEN c >= 3 OR t >= 2 OR e >= 5 THEN 'rich' WHEN c >= 1 OR t >= 1 OR e >= 2 THEN 'moderate' ELSE 'sparse' END AS richness, contains(lower(s), 'coran') AND t > 0 AS quran FROM p""")
+def manuscript_ladders(s, d):
+    k = F.col("p_partkey")
+    subject = F.element_at(F.array(F.concat(F.lit("Histoire de "), "p_name"), F.lit("Le Coran"), F.lit("Astronomie"), F.lit("Grammaire"), F.col("p_name")), (k % 5 + 1).cast("int"))
+    times = lambda c, n: F.array_repeat(c, n.cast("int"))
+    none = F.array().cast("array<string>")
+    made = table(s, d, "part").select(k.alias("k"), times(F.lit("c"), k % 4).alias("creator_lat"), times(subject, k % 3).alias("title_lat"), times(F.lit("d"), k % 6).alias("description_lat"), F.array(subject).alias("subject"), F.when(k % 11 > 0, (k % 20) * 100).alias("date_from"), (k % 9 == 0).alias("is_composite"), none.alias("creator_ara"), none.alias("title_ara"))
+    return sampling.manuscript_strata(made).withColumn("quran", sampling.is_quran(made)).select("k", "completeness", "subject_class", "period", "kind", "richness", "quran")
+
+
 # Merging
 
 

@@ -2,9 +2,10 @@
 
 A logistic regression over the measures of ``quality_rules`` gives each document's evidence. Its probabilities are
 summed by host and by path within host through grouped aggregation. A host's posterior mean shrinks toward the global
-mean, a path's toward its host's. The prior's weight is fitted by the method of moments: the documents' variance within
-paths, over what the variance of the group means has beyond the share that this alone explains. So sparse sites hardly
-move, and where groups differ by no more than chance, none does. A document's score is its evidence shifted by how far
+mean, a path's toward its host's. How much documents, paths and hosts vary is fitted by the method of moments of a
+nested model: the spread of paths within hosts is freed of the documents' noise, that of hosts of the documents' noise
+and of their paths' spread. So sparse sites hardly move, and where groups differ by no more than chance, none does. A
+site's posterior holds all its documents, the one that it shifts among them: that one's weight is 1 / (n + prior). A document's score is its evidence shifted by how far
 its path's posterior lies from the global mean, in log-odds, by ``MOST_SHIFT`` at most (a parameter).
 
 The regression is fitted on at most ``SAMPLE`` labelled rows (the bound is this parameter; the rows are chosen by a
@@ -65,16 +66,20 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> n
     return w
 
 
-def _prior(noise: float, spread: float, groups: int, total: int) -> float | None:
-    """The prior's weight in documents, by the method of moments; None: all weight. noise: the variance of a document
-    around its group's mean; spread: the weighted variance of the group means, of which noise alone makes up
-    groups * noise / total."""
-    own = spread - groups * noise / total if total else 0.0
-    return noise / own if own > 0 else None
+def variances(n: float, paths: float, hosts: float, within: float, between_paths: float, between_hosts: float, p2: float, p2_host: float, h2: float) -> tuple[float, float, float]:
+    """The variances of documents within paths, of paths within hosts and of hosts, none below 0, by the method of moments:
+    each sum of squares less what the lower levels lead one to expect of it. n: documents; within, between_paths,
+    between_hosts: sums of squares around path, host and global means, by documents; p2: sum of squared path sizes,
+    p2_host: the same over the size of their host, h2: sum of squared host sizes."""
+    noise = within / (n - paths) if n > paths else 0.0
+    path = max(0.0, between_paths - (paths - hosts) * noise) / (n - p2_host) if n - p2_host > 1e-9 else 0.0
+    host = max(0.0, between_hosts - (hosts - 1) * noise - path * (p2_host - p2 / n)) / (n - h2 / n) if n and n - h2 / n > 1e-9 else 0.0
+    return noise, path, host
 
 
-def _shrunk(prior: Column, sums: Column, n: Column, k: float | None) -> Column:
-    return prior if k is None else (prior * k + sums) / (n + k)
+def _shrunk(prior: Column, mean: Column, own: float, noise: Column) -> Column:
+    """prior moved toward mean by own, the variance of what mean stands for, over it and the variance of mean around it."""
+    return prior if own <= 0 else prior + own / (own + noise) * (mean - prior)
 
 
 def _logit(p: Column) -> Column:
@@ -97,18 +102,20 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, lab
     scored = rows.select("doc_id", "host", "path", evidence.alias("evidence")).withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
     by_path = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") ** 2).alias("q"))
     by_path = written(by_path, "quality-paths")
-    by_host = by_path.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.count(F.lit(1)).alias("paths"))
-    # One row each: sums over sites, whose means vary more than their documents' noise lets expect.
+    by_host = by_path.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum(F.col("n") ** 2).alias("p2"))
+    # One row each: sums over sites.
     g = by_path.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") ** 2 / F.col("n")).alias("m"), F.count(F.lit(1)).alias("paths")).first()
-    h = by_host.agg(F.sum(F.col("hs") ** 2 / F.col("hn")).alias("m"), F.count(F.lit(1)).alias("hosts")).first()
+    h = by_host.agg(F.sum(F.col("hs") ** 2 / F.col("hn")).alias("m"), F.count(F.lit(1)).alias("hosts"), F.sum("p2").alias("p2"), F.sum(F.col("p2") / F.col("hn")).alias("p2_host"), F.sum(F.col("hn") ** 2).alias("h2")).first()
     total = g["n"] or 0
     mean = min(1 - 1e-6, max(1e-6, g["s"] / total)) if total else 0.5
-    noise = max(0.0, g["q"] - g["m"]) / (total - g["paths"]) if total > g["paths"] else 0.0
-    k = _prior(noise, max(0.0, h["m"] / total - (g["s"] / total) ** 2), h["hosts"] - 1, total) if total else None
-    hosts = by_host.select("host", _shrunk(F.lit(mean), F.col("hs"), F.col("hn"), k).alias("host_posterior"))
-    k = _prior(noise, max(0.0, g["m"] - h["m"]) / total, g["paths"] - h["hosts"], total) if total else None
+    noise, of_path, of_host = 0.0, 0.0, 0.0
+    if total:
+        squares = max(0.0, g["q"] - g["m"]), max(0.0, g["m"] - h["m"]), max(0.0, h["m"] - g["s"] ** 2 / total)
+        noise, of_path, of_host = variances(total, g["paths"], h["hosts"], *squares, h["p2"], h["p2_host"], h["h2"])
+    around = of_path * F.col("p2") / F.col("hn") ** 2 + noise / F.col("hn")
+    hosts = by_host.select("host", _shrunk(F.lit(mean), F.col("hs") / F.col("hn"), of_host, around).alias("host_posterior"))
     paths = by_path.join(hosts, "host")
-    paths = paths.select("host", "path", "n", "host_posterior", _shrunk(F.col("host_posterior"), F.col("s"), F.col("n"), k).alias("path_posterior"))
+    paths = paths.select("host", "path", "n", "host_posterior", _shrunk(F.col("host_posterior"), F.col("s") / F.col("n"), of_path, F.lit(noise) / F.col("n")).alias("path_posterior"))
     joined = hot_join(scored.select("doc_id", "host", "path", "evidence"), paths, ["host", "path"], "n", ["host_posterior", "path_posterior"], total, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     shift = _logit(F.col("path_posterior")) - math.log(mean / (1 - mean))
     if most_shift is not None:

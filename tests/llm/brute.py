@@ -157,14 +157,17 @@ def empirical_bayes(rows, most_shift):
         hosts[h].append(x)
         paths[h, a].append(x)
     of = lambda xs: sum(xs) / len(xs)
-    noise = sum((x - of(xs)) ** 2 for xs in paths.values() for x in xs) / (len(p) - len(paths))
-
-    def shrunk(groups, prior, centre, freedom):
-        spread = sum(len(xs) * (of(xs) - centre(k)) ** 2 for k, xs in groups.items()) / len(p) - freedom * noise / len(p)
-        return {k: (noise / spread * prior(k) + sum(xs)) / (noise / spread + len(xs)) if spread > 0 else prior(k) for k, xs in groups.items()}
-
-    by_host = shrunk(hosts, lambda k: mean, lambda k: mean, len(hosts) - 1)
-    by_path = shrunk(paths, lambda k: by_host[k[0]], lambda k: of(hosts[k[0]]), len(paths) - len(hosts))
+    n, size = len(p), {k: len(xs) for k, xs in paths.items()}
+    noise = sum((x - of(xs)) ** 2 for xs in paths.values() for x in xs) / (n - len(paths))
+    shares = {h: sum((size[k] / len(xs)) ** 2 for k in paths if k[0] == h) for h, xs in hosts.items()}
+    # What a unit of variance of paths, or of hosts, adds to the two sums of squares.
+    per_path = sum(len(xs) * (1 - shares[h]) for h, xs in hosts.items())
+    path_in_host = sum(len(xs) * shares[h] for h, xs in hosts.items()) - sum(c * c for c in size.values()) / n
+    per_host = n - sum(len(xs) ** 2 for xs in hosts.values()) / n
+    a = max(0, sum(len(xs) * (of(xs) - of(hosts[k[0]])) ** 2 for k, xs in paths.items()) - (len(paths) - len(hosts)) * noise) / per_path
+    b = max(0, sum(len(xs) * (of(xs) - mean) ** 2 for xs in hosts.values()) - (len(hosts) - 1) * noise - a * path_in_host) / per_host
+    by_host = {h: mean + (b / (b + a * shares[h] + noise / len(xs)) * (of(xs) - mean) if b else 0) for h, xs in hosts.items()}
+    by_path = {k: by_host[k[0]] + (a / (a + noise / len(xs)) * (of(xs) - by_host[k[0]]) if a else 0) for k, xs in paths.items()}
     odds = lambda x: math.log(x / (1 - x))
     out = []
     for h, a, e in rows:

@@ -324,9 +324,8 @@ def test_quality_classifier_against_plain_version(spark, most_shift):
     assert len({round(w[1], 6) for w in want}) > 20
 
 
-def test_quality_prior():
-    """Sites that differ by chance alone get all of the prior; the weights of the regression meet their condition."""
-    assert quality_classifier._prior(0.2, 0.01, 5, 100) is None and quality_classifier._prior(0.2, 0.03, 5, 100) == pytest.approx(10)
+def test_regression():
+    """The weights of the regression meet their condition."""
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 3))
     y = (x[:, 0] + rng.normal(size=200) > 0).astype(float)
@@ -335,6 +334,30 @@ def test_quality_prior():
     assert np.abs(x.T @ (y - p) - w[:-1]).max() < 1e-6
 
 
+def test_variances_of_a_nested_model():
+    """Simulated sites: paths that differ in hosts that don't, hosts that differ, and none of both; sizes differ."""
+    rng = np.random.default_rng(5)
+    for path_spread, host_spread in ((0.15, 0.0), (0.1, 0.2), (0.0, 0.0), (0.0, 0.1)):
+        hosts = []
+        for _ in range(200):
+            own = rng.normal(0, host_spread)
+            hosts.append([own + rng.normal(0, path_spread) + rng.normal(0, 0.2, rng.integers(5, 96)) for _ in range(rng.integers(2, 5))])
+        paths = [x for h in hosts for x in h]
+        every = [np.concatenate(h) for h in hosts]
+        whole = np.concatenate(every)
+        n = len(whole)
+        within = sum(((x - x.mean()) ** 2).sum() for x in paths)
+        of_paths = sum(len(x) * (x.mean() - e.mean()) ** 2 for h, e in zip(hosts, every) for x in h)
+        of_hosts = sum(len(e) * (e.mean() - whole.mean()) ** 2 for e in every)
+        sizes = sum(len(x) ** 2 for x in paths), sum(len(x) ** 2 / len(e) for h, e in zip(hosts, every) for x in h), sum(len(e) ** 2 for e in every)
+        noise, path, host = quality_classifier.variances(n, len(paths), len(hosts), within, of_paths, of_hosts, *sizes)
+        assert noise == pytest.approx(0.04, rel=0.05) and path == pytest.approx(path_spread**2, rel=0.2, abs=0.0005)
+        # Where hosts don't differ, a host of three paths and 150 documents keeps little of its chance mean.
+        assert host == pytest.approx(host_spread**2, rel=0.3, abs=0.003)
+        if not host_spread:
+            assert host / (host + path / 3 + noise / 150) < 0.35 or host < 0.0002
+
+
 def test_host_and_path(spark):
     urls = spark.createDataFrame([("http://A.org/x/y?z",), ("https://a.org",), (None,), ("no url",)], "url string")
     host, path = quality_classifier.host_and_path(F.col("url"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import candidates as cd
 from ..operators import segment
-from ..sources import records, sinks
+from ..sources import id_maps, records, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -196,6 +196,19 @@ def json_store(s, d):
     return records.json_store(s, at, "records", kind)
 
 
+@query("SELECT client_id::VARCHAR AS id, name, city FROM clients")
+def id_map_store(s, d):
+    """Stores of ids and records in eight parts, written by several tasks and read by byte ranges."""
+    at, line = folder(s, "id-map"), lambda k, o, v: (k.alias("k"), F.lit(o).alias("o"), v.alias("value"))
+    key = F.col("client_id").cast("string")
+    rows = table(s, d, "clients").select(*line(F.pmod(F.xxhash64(key), F.lit(8)), 1, F.concat(F.to_json(key_map := F.create_map(key, F.struct("name", "city"))).substr(F.lit(2), F.length(F.to_json(key_map)) - 2), F.lit(","))))
+    parts = s.range(8)
+    every = rows.union(parts.select(*line(F.col("id"), 0, F.lit('{"_meta": {"version": 1}, "records": {')))).union(parts.select(*line(F.col("id"), 2, F.lit('"": {}}}'))))
+    every.repartition(8, "k").sortWithinPartitions("k", "o").select("value").write.text(at)
+    kind = records.T.StructType([records.T.StructField("name", records.T.StringType()), records.T.StructField("city", records.T.StringType())])
+    return id_maps.id_map(s, at, "records", kind).where("id != ''")
+
+
 @query("SELECT n_nationkey AS key, n_name AS name FROM nation")
 def csv_table(s, d):
     at = folder(s, "csv")

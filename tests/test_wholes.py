@@ -9,10 +9,11 @@ from urllib.parse import parse_qs
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkspark.operators import evaluate as ev
 from linkspark.operators import ranks, segment, survey
-from linkspark.sources import bindings, records
+from linkspark.sources import bindings, id_maps, records
 
 RNG = random.Random(6)
 
@@ -103,6 +104,25 @@ def test_listing_of_several_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+@pytest.mark.parametrize("indent", [None, 1])
+@pytest.mark.parametrize("size", ["128m", "2000", "90"])
+def test_id_map_by_ranges(spark, tmp_path, indent, size):
+    """Braces, quotes and escapes in ids and texts, other sections, records that cross ranges and fill several."""
+    word = lambda n=12: "".join(RNG.choice('ab{}[]"\\,: \n\té字}') for _ in range(RNG.randint(0, n)))
+    kept = {word() + str(i): {"title": word(400 if i == 7 else 12), "list": [word() for _ in range(RNG.randint(0, 3))], "sub": {"a": word()}} for i in range(60)}
+    store = {"_meta": {"records": {"x": {"title": "no"}}, "n": [1, {"q": "}"}]}, "records": kept, "other": {"z": {"title": "no"}}, "list": [{"a": {}}]}
+    for i in range(2):
+        (tmp_path / f"{i}.json").write_text(json.dumps(store if i else {"records": {}}, indent=indent), encoding="utf-8")
+    kind = T.StructType([T.StructField("title", T.StringType()), T.StructField("list", T.ArrayType(T.StringType())), T.StructField("sub", T.StructType([T.StructField("a", T.StringType())]))])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = {r["id"]: {"title": r["title"], "list": r["list"], "sub": {"a": r["sub"]["a"]}} for r in id_maps.id_map(spark, str(tmp_path), "records", kind).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == kept
+
+
 class Stub(BaseHTTPRequestHandler):
     asked: list = []
     broken: set = set()

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import argparse
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import LinkConfig, load_yaml
+from .config import LinkConfig, SurveyConfig, load_yaml, read_yaml, snapshot, survey_settings
+from .functions import text as tx
 from .operators import candidates as cd
 from .operators import linkage as lk
 from .operators import evaluate, merge, sampling, segment, stats, survey
 from .sources import bindings, records, sinks
+from .streaming import incremental
 
 FIELDS = ("title", "creator", "contributor", "description", "subject", "coverage", "format", "source")
 
@@ -27,31 +30,36 @@ def _numbered(field: str):
     return lambda x, i: F.struct(F.lit(field).alias("field"), i.alias("ord"), x.alias("text"))
 
 
-#: Reviewed phrases are a curated list, which the driver reads; a longer one is refused.
-MOST_PHRASES = 100_000
-
-
-def phrases(spark: SparkSession, review: str) -> tuple[dict[str, str | None], set[str]]:
-    """Signals with their kinds, and boilerplate, as ``apply-review`` wrote them."""
-    signals = spark.read.schema("ngram string, field string, signal_type string").json(f"{review}/signals")
-    plain = spark.read.schema("ngram string, field string").json(f"{review}/boilerplate")
-    rows, others = signals.limit(MOST_PHRASES + 1).collect(), plain.limit(MOST_PHRASES + 1).collect()
-    if max(len(rows), len(others)) > MOST_PHRASES:
-        raise ValueError(f"more than {MOST_PHRASES} reviewed phrases")
-    return {r["ngram"]: r["signal_type"] for r in rows}, {r["ngram"] for r in others}
+def phrases(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
+    """field, ngram, signal_type of reviewed phrases, of any number: from a curated file, as ``apply-review`` wrote
+    them, or all n-grams of a survey above its limits."""
+    if a.phrases:
+        return records.curated_phrases(spark, a.phrases)
+    if a.review:
+        signals = spark.read.schema("field string, ngram string, signal_type string").json(f"{a.review}/signals")
+        return signals.unionByName(spark.read.schema("field string, ngram string").json(f"{a.review}/boilerplate"), allowMissingColumns=True)
+    if a.survey:
+        records_n = spark.read.schema("records long").json(f"{a.survey}/records").first()[0]
+        return survey.boilerplate_over(spark.read.parquet(f"{a.survey}/ngrams"), records_n).withColumn("signal_type", F.lit(None).cast("string"))
+    return None
 
 
 def parse_xml(spark: SparkSession, a: argparse.Namespace) -> None:
-    parsed = records.dublin_core(records.xml_files(spark, a.data))
-    segments = None
-    if a.review:
-        signals, boilerplate = phrases(spark, a.review)
-        segments = segment.segment(F.col("description"), F.col("title"), signals, boilerplate)
-    rows = records.manuscripts(parsed, segments=segments)
-    if a.update:
+    settings = survey_settings(read_yaml(a.config)) if a.config else SurveyConfig()
+    files = records.xml_files(spark, a.data)
+    if a.update:  # what is stored isn't parsed again
         old = spark.read.parquet(f"{a.out}/records")
-        merge.unseen(rows, old, "record_id").write.mode("append").parquet(f"{a.out}/records")
-        sinks.describe_store(spark, a.out, records.parse_errors(parsed), data=a.data)
+        files = merge.unseen(files, old.select(F.col("record_id").alias("stem")), "stem")
+    parsed = records.dublin_core(files)
+    found, limits = phrases(spark, a), (settings.max_desc_len, settings.min_desc_tokens)
+    if found is None:
+        rows = records.manuscripts(parsed, segments=segment.segment(F.col("description"), F.col("title"), None, None, *limits))
+    else:
+        rows = records.manuscripts(segment.segment_by_sets(parsed, "path", "description", "title", found.where("field = 'description'"), *limits), segments=F.col("segments"))
+    if a.update:
+        incremental.update(old, rows, "record_id").write.mode("append").parquet(f"{a.out}/records")
+        errors = merge.unseen(records.parse_errors(parsed), spark.read.parquet(f"{a.out}/errors"), "path")
+        sinks.describe_store(spark, a.out, errors, mode="append", data=a.data)
     else:
         sinks.write_store(rows, a.out, records.parse_errors(parsed), data=a.data)
 
@@ -69,15 +77,38 @@ def parse_corpus(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def run_survey(spark: SparkSession, a: argparse.Namespace) -> None:
-    found = elements(records.dublin_core(records.xml_files(spark, a.data))).cache()
-    counts = survey.ngram_counts(found, a.max_n)
-    survey.coverage(found, found.select("rec").distinct().count()).write.mode("overwrite").json(f"{a.out}/summary")
+    settings = survey_settings(read_yaml(a.config)) if a.config else SurveyConfig()
+    sinks.begin_run(spark, a.out)
+    parsed = records.dublin_core(records.xml_files(spark, a.data))
+    elements(parsed).write.mode("overwrite").parquet(f"{a.out}/elements")
+    found = spark.read.parquet(f"{a.out}/elements")
+    survey.ngram_counts(found, a.max_n or settings.max_n, lambda x: tx.tokens_lat(x, settings.keep_abbrev_dots)).write.mode("overwrite").parquet(f"{a.out}/counts")
+    counts, n = spark.read.parquet(f"{a.out}/counts"), found.select("rec").distinct().count()
+    spark.createDataFrame([(n,)], "records long").coalesce(1).write.mode("overwrite").json(f"{a.out}/records")
+    survey.coverage(found, n).write.mode("overwrite").json(f"{a.out}/summary")
     survey.tfidf(counts, found).write.mode("overwrite").parquet(f"{a.out}/ngrams")
-    survey.character_names(survey.characters(found)).write.mode("overwrite").json(f"{a.out}/characters")
-    settings = spark.createDataFrame([(f, "full", 5.0, 1.4) for f in FIELDS], "field string, strategy string, min_doc_freq_pct double, max_repeats_per_doc double")
-    suggested = survey.suggest_boilerplate(counts, found, settings)
+    limits = spark.createDataFrame([(f, x.strategy, x.min_doc_freq_pct, x.max_repeats_per_doc) for f, x in settings.fields.items()], "field string, strategy string, min_doc_freq_pct double, max_repeats_per_doc double")
+    suggested = survey.suggest_boilerplate(counts, found, limits)
     sinks.write_csv(suggested.withColumnRenamed("field", "source_field").withColumns({"keep": F.lit(""), "signal_type": F.lit("")}), f"{a.out}/review")
-    sinks.log_run(spark, f"{a.out}/runs", "build", data=a.data)
+    sinks.write_csv(survey.conversion_table(survey.characters(found)), f"{a.out}/conversions")
+    sinks.log_run(spark, f"{a.out}/runs", "build", data=a.data, **snapshot(settings))
+    outcome = parsed.groupBy(F.when(F.col("error").isNull(), "parsed").otherwise("failed").alias("name")).agg(F.count(F.lit(1)).alias("records"))
+    sinks.finish_run(a.out, "survey", outcome, ("parsed", "failed"), {k: f"{a.out}/{k}" for k in ("summary", "ngrams", "review", "conversions")}, {"data": a.data, **snapshot(settings)})
+
+
+def conversion_table(spark: SparkSession, a: argparse.Namespace) -> None:
+    """From the text fields of parsed records, of any catalogue."""
+    rows = spark.read.parquet(f"{a.records}/records")
+    kinds = {"string": lambda c: F.array(c), "array<string>": F.col}
+    texts = [F.coalesce(kinds[t](c), F.array().cast("array<string>")) for c, t in rows.dtypes if t in kinds and c not in ("record_id", "catalogue_url", "gallica_url")]
+    each = rows.select(F.explode(F.concat(*texts)).alias("text"))
+    sinks.write_csv(survey.conversion_table(survey.characters(each)), a.out)
+
+
+def show_survey(spark: SparkSession, a: argparse.Namespace) -> None:
+    sinks.manifest(spark, a.out).select("run", "finished_at", "records", "results").show(truncate=False)
+    spark.read.json(f"{a.out}/summary").orderBy(F.desc("records_present")).show(truncate=False)
+    survey.top_ngrams(spark.read.parquet(f"{a.out}/ngrams"), a.top).orderBy("field", "n", "ranking", "place").show(10_000, truncate=False)
 
 
 def apply_review(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -103,10 +134,13 @@ def link(spark: SparkSession, a: argparse.Namespace) -> None:
         books = cd.cull_author_tokens(books, variants)
     raw = cd.record_candidates(rows).select(F.col("record_id").alias("rec"), "ord", "raw")
     creators = rows.select(F.col("record_id").alias("rec"), F.explode(F.concat("creator_lat", "creator_ara")).alias("raw"))
+    sinks.begin_run(spark, a.out)
     run = lk.link(lk.Linkage(raw, variants, cd.book_variants(books), books.select("uri", "author_uri"), creators, config, folder=f"{a.out}/stages"))
     everyone = rows.select(F.col("record_id").alias("rec"))
     tiers = lk.cli_tiers(everyone, run.authors, run.titles, run.combined) if a.strict else lk.classify(everyone, run.authors, run.titles, run.combined)
     sinks.write_tiers(tiers, run.combined, a.out)
+    told = spark.read.json(f"{a.out}/summary").select(F.col("tier").alias("name"), "records")
+    sinks.finish_run(a.out, a.run_id or str(uuid.uuid4()), told, lk.TIERS, {k: f"{a.out}/{k}" for k in ("matches", "summary", "stages")}, {"records": a.records, "corpus": a.corpus, **snapshot(config)})
 
 
 def enrich(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -144,12 +178,14 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(flag, **settings)
 
     need, out = {"required": True}, ("--out", {"required": True})
-    add("parse-xml", parse_xml, ("--data", need), out, ("--update", {"action": "store_true"}), ("--review", {"help": "folder of apply-review"}))
+    add("parse-xml", parse_xml, ("--data", need), out, ("--update", {"action": "store_true"}), ("--review", {"help": "folder of apply-review"}), ("--phrases", {"help": "JSON file of reviewed phrases"}), ("--survey", {"help": "folder of a survey, all of whose frequent n-grams are boilerplate"}), ("--config", {"help": "YAML file of settings"}))
     add("parse-corpus", parse_corpus, ("--data", need), out, ("--listing", {}))
-    add("survey", run_survey, ("--data", need), out, ("--max-n", {"type": int, "default": 4}))
+    add("survey", run_survey, ("--data", need), out, ("--max-n", {"type": int}), ("--config", {"help": "YAML file of settings"}))
+    add("show-survey", show_survey, out, ("--top", {"type": int, "default": 20}))
+    add("conversion-table", conversion_table, ("--records", need), out)
     add("apply-review", apply_review, out)
     add("sample", sample, ("--records", need), out, ("--size", {"type": int, "default": 500}), ("--seed", {"type": int, "default": 42}))
-    add("link", link, ("--records", need), ("--corpus", need), out, ("--strict", {"action": "store_true"}), ("--config", {"help": "YAML file of settings"}), ("--section", {"help": "its section"}))
+    add("link", link, ("--records", need), ("--corpus", need), out, ("--strict", {"action": "store_true"}), ("--config", {"help": "YAML file of settings"}), ("--section", {"help": "its section"}), ("--run-id", {}))
     add("enrich", enrich, ("--corpus", need), out, ("--endpoint", {"default": bindings.ENDPOINT}), ("--agent", {"default": "linkspark"}), ("--delay", {"type": float, "default": bindings.DELAY}), ("--date", {"default": str(datetime.date.today())}))
     steps = {"type": float, "nargs": "+", "default": [0.70, 0.75, 0.80, 0.85, 0.90]}
     add("sweep", sweep, ("--matches", need), ("--corpus", need), ("--truth", need), out, ("--authors", steps), ("--titles", steps))

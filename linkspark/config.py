@@ -38,14 +38,25 @@ class FieldBoilerplate:
 
     strategy: str = "full"
     min_doc_freq_pct: float = 5.0
-    max_repeats_per_doc: float = 1.4
+    max_repeats_per_doc: float = 1.1
+
+
+def field_defaults() -> dict[str, FieldBoilerplate]:
+    # When an n-gram of these fields counts as boilerplate.
+    return {
+        "description": FieldBoilerplate("full", 2.0, 1.1),
+        "creator": FieldBoilerplate("freq_only", 10.0),
+        "subject": FieldBoilerplate("freq_only", 15.0),
+    }
 
 
 @dataclass(frozen=True)
 class SurveyConfig:
+    """Fields that ``fields`` doesn't name aren't looked through for boilerplate."""
+
     max_n: int = 4
-    keep_abbrev_dots: bool = False
-    fields: dict[str, FieldBoilerplate] = field(default_factory=dict)
+    keep_abbrev_dots: bool = True
+    fields: dict[str, FieldBoilerplate] = field(default_factory=field_defaults)
     composite_min_creators: int = 2
     max_desc_len: int = 250
     min_desc_tokens: int = 1
@@ -59,10 +70,41 @@ def from_mapping(cls: type, values: dict[str, Any]) -> Any:
     return cls(**values)
 
 
-def load_yaml(cls: type, path: str, section: str | None = None) -> Any:
-    """A settings object from a YAML file or one of its sections."""
+def survey_settings(values: dict[str, Any]) -> SurveyConfig:
+    """Settings of surveys and parsing from a file's sections ``survey``, ``boilerplate`` and ``parsing``.
+
+    ``boilerplate.fields`` names the fields, each with what departs from its defaults. Older files have the two limits
+    right below ``boilerplate``: these are the description's, and other fields keep their defaults. Keys of a section
+    that surveys have no use for are left alone."""
+    survey, parsing, boilerplate = (values.get(k) or {} for k in ("survey", "parsing", "boilerplate"))
+    defaults = field_defaults()
+    named = boilerplate.get("fields") or {}
+    own = named or {"description": {"mode": "full", **{k: boilerplate[k] for k in ("min_doc_freq_pct", "max_repeats_per_doc") if k in boilerplate}}}
+    made = {name: _boilerplate(given if isinstance(given, dict) else {}, defaults.get(name, FieldBoilerplate())) for name, given in own.items()}
+    known = {f.name for f in fields(SurveyConfig)} - {"fields"}
+    return SurveyConfig(**{k: v for part in (survey, parsing) for k, v in part.items() if k in known}, fields=made if named else {**defaults, **made})
+
+
+def _boilerplate(given: dict[str, Any], default: FieldBoilerplate) -> FieldBoilerplate:
+    strategy = str(given.get("mode", given.get("strategy", default.strategy)))
+    if strategy not in ("full", "freq_only"):
+        raise ValueError(f"unknown way to find boilerplate: {strategy}")
+    return FieldBoilerplate(strategy, float(given.get("min_doc_freq_pct", default.min_doc_freq_pct)), float(given.get("max_repeats_per_doc", default.max_repeats_per_doc)))
+
+
+def snapshot(settings: Any) -> dict[str, str]:
+    """All values of a settings object as texts, for an audit trail."""
+    return {f.name: str(getattr(settings, f.name)) for f in fields(settings)}
+
+
+def read_yaml(path: str) -> dict[str, Any]:
     import yaml  # optional dependency
 
     with open(path, encoding="utf-8") as f:
-        values = yaml.safe_load(f) or {}
+        return yaml.safe_load(f) or {}
+
+
+def load_yaml(cls: type, path: str, section: str | None = None) -> Any:
+    """A settings object from a YAML file or one of its sections."""
+    values = read_yaml(path)
     return from_mapping(cls, values.get(section, {}) if section else values)

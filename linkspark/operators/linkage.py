@@ -170,6 +170,10 @@ def _flags(records: DataFrame, authors: DataFrame, titles: DataFrame, combined:
     return out.select("rec", *[F.coalesce(n, F.lit(False)).alias(n) for n in ("s1", "s2", "s3")])
 
 
+#: In the order of reports.
+TIERS = ("high_confidence", "author_only", "title_only", "unmatched")
+
+
 def classify(records: DataFrame, authors: DataFrame, titles: DataFrame, combined: DataFrame) -> DataFrame:
     """rec, tier: high_confidence, author_only, title_only or unmatched."""
     return _flags(records, authors, titles, combined).select("rec", F.when(F.col("s3"), "high_confidence").when(F.col("s1"), "author_only").when(F.col("s2"), "title_only").otherwise("unmatched").alias("tier"))

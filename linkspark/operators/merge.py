@@ -63,6 +63,11 @@ def unseen(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return rows.join(stored.select(key), key, "left_anti")
 
 
+def known(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """rows whose key stored has. Its keys are told apart first, so that one with many rows there is met once."""
+    return rows.join(stored.select(key).distinct(), key, "left_semi")
+
+
 def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """stored with new's rows in place of, or beside, its own."""
     return stored.join(new.select(key), key, "left_anti").unionByName(new)

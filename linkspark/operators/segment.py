@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -84,6 +84,56 @@ def segment(descriptions: Column, titles: Column, signals: dict[str, str | None]
 TERM_CHARS = 2_000_000
 
 
+def _present(words: list[str], wanted: Container[str], most: int = 4) -> set[str]:
+    return {p for n in range(2, most + 1) for i in range(len(words) - n + 1) if (p := " ".join(words[i : i + n])) in wanted}
+
+
+def segment_by_sets(rows: DataFrame, key: str, descriptions: str, titles: str, phrases: DataFrame, most_chars: int = 250, least_tokens: int = 1, phrase_chars: int = TERM_CHARS) -> DataFrame:
+    """rows with ``segments`` as ``segment`` has them, for sets of phrases of any size: (ngram, signal_type), null for
+    boilerplate. key is unique and not null.
+
+    The phrases are dealt into blocks of ``phrase_chars`` characters on average, and a pass over the texts for each block
+    tells which of them a record has; those are fewer than its own n-grams, and with them each record is taken apart by
+    itself. No phrase is left out, and no result depends on the blocks. A signal of several types has the least one."""
+    kinds = phrases.where("ngram IS NOT NULL AND ngram != ''").groupBy("ngram", F.col("signal_type").isNull().alias("plain")).agg(F.min("signal_type").alias("type"))
+    total = kinds.agg(F.sum(F.length("ngram"))).first()[0] or 0
+    if not total:
+        return rows.withColumn("segments", segment(F.col(descriptions), F.col(titles), most_chars=most_chars))
+    passes = -(-total // phrase_chars)
+    spanned = rows.select(F.col(key).alias("key"), F.col(descriptions).alias("texts"), F.transform(descriptions, lambda x: tx.token_spans(x)).alias("spans"))
+    kind = T.StructType([T.StructField("key", rows.schema[key].dataType), T.StructField("signals", T.MapType(T.StringType(), T.StringType())), T.StructField("plain", T.ArrayType(T.StringType()))])
+
+    def matches(k: int) -> DataFrame:
+        own = kinds.where(F.pmod(F.xxhash64("ngram"), F.lit(passes)) == k).select("ngram", "plain", "type").collect()  # a block
+        held = rows.sparkSession.sparkContext.broadcast(({r[0]: r[2] for r in own if not r[1]}, {r[0] for r in own if r[1]}))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            signals, plain = held.value
+            for b in batches:
+                hits = []
+                for texts, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    words = [[t[s["start"] : s["end"]] for s in found or []] for t, found in zip(texts or [], spans or [])]
+                    hits.append((set().union(*[_present([x.lower() for x in w], signals) for w in words]), set().union(*[_present(w, plain) for w in words])))
+                some = [i for i, h in enumerate(hits) if h[0] or h[1]]
+                typed = pa.array([[(p, signals[p]) for p in sorted(hits[i][0])] for i in some], pa.map_(pa.string(), pa.string()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), typed, pa.array([sorted(hits[i][1]) for i in some], pa.list_(pa.string()))], kind.names)
+
+        return spanned.mapInArrow(run, kind)
+
+    found = matches(0)
+    for k in range(1, passes):
+        found = found.unionByName(matches(k))
+    own = found.groupBy(F.col("key").alias("__key")).agg(F.flatten(F.collect_list(F.map_entries("signals"))).alias("__signals"), F.flatten(F.collect_list("plain")).alias("__plain"))
+    known = rows.join(own, F.col(key) == F.col("__key"), "left").drop("__key")
+
+    @F.arrow_udf(SEGMENT)
+    def run(texts: pa.Array, spans: pa.Array, known: pa.Array, signals: pa.Array, plain: pa.Array) -> pa.Array:
+        each = zip(*[c.to_pylist() for c in (texts, spans, known, signals, plain)], strict=True)
+        return pa.array([segments(t or [], s or [], {x["key"]: x["value"] for x in g or []}, set(p or ()), set(k or ()), most_chars, least_tokens) for t, s, k, g, p in each], pa.list_(pa.struct([("segment", pa.string()), ("label", pa.string())])))
+
+    return known.withColumn("segments", run(descriptions, F.transform(descriptions, lambda x: tx.token_spans(x)), titles, "__signals", "__plain")).drop("__signals", "__plain")
+
+
 def automaton(terms: list[str]) -> ahocorasick.Automaton:
     """Goto and failure links of the terms; a match gives the term."""
     made = ahocorasick.Automaton()

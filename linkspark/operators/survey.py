@@ -69,6 +69,27 @@ def suggest_boilerplate(counts: DataFrame, elements: DataFrame, settings: DataFr
     return fit.dropDuplicates(["field", "ngram"]).select("field", "ngram", "n", "doc_freq_pct", "repeats_per_doc")
 
 
+def boilerplate_over(vocabulary: DataFrame, records: int | Column, min_doc_freq_pct: float = 5.0, max_repeats_per_doc: float = 1.4) -> DataFrame:
+    """field, ngram of a stored vocabulary (field, ngram, term_freq, doc_freq) that is frequent, and not repeated within
+    records: boilerplate without a review, for trying out limits. No records, no boilerplate."""
+    n = F.lit(records) if isinstance(records, int) else records
+    frequent = 100 * F.col("doc_freq") >= min_doc_freq_pct * n
+    single = F.col("term_freq") <= max_repeats_per_doc * F.col("doc_freq")
+    return vocabulary.where((n > 0) & (F.col("doc_freq") > 0) & frequent & single).select("field", "ngram").distinct()
+
+
+#: Rankings of a report on n-grams.
+RANKINGS = ("doc_freq", "term_freq", "tfidf")
+
+
+def top_ngrams(rated: DataFrame, most: int = 20) -> DataFrame:
+    """ranking, field, n, place, ngram, doc_freq, term_freq, tfidf: the first n-grams of each field and length by each
+    ranking; ties by ngram. A report, hence limited; each task cuts its own rows before they are shuffled."""
+    each = rated.select("field", "n", "ngram", *RANKINGS, F.explode(F.array(*[F.struct(F.lit(r).alias("ranking"), F.col(r).cast("double").alias("by")) for r in RANKINGS])).alias("r")).select("*", "r.*").drop("r")
+    order = Window.partitionBy("ranking", "field", "n").orderBy(F.desc("by"), "ngram")
+    return each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("ranking", "field", "n", "place", "ngram", *RANKINGS)
+
+
 def coverage(elements: DataFrame, records: int | Column) -> DataFrame:
     """Per field: records that have it, their share, elements per record, and the share of elements by script."""
     by_rec = elements.groupBy("field", "rec").agg(F.count(F.lit(1)).alias("c"), *[F.sum(F.when(x, 1).otherwise(0)).alias(k) for k, x in _scripts(F.col("text")).items()])
@@ -104,3 +125,13 @@ def character_names(inventory: DataFrame) -> DataFrame:
         return pd.DataFrame({"name": [unicodedata.name(x, "") for x in c], "category": [unicodedata.category(x) for x in c]})
 
     return inventory.withColumn("u", known("character")).select("*", "u.name", "u.category").drop("u")
+
+
+def conversion_table(inventory: DataFrame) -> DataFrame:
+    """A table to be filled in by hand, the most frequent characters first: what each is written as in the corpus goes
+    into ``equivalent`` (itself to keep it, nothing to drop it)."""
+    named = character_names(inventory)
+    return named.orderBy(F.desc("count"), "character").select(
+        "character", F.col("code").alias("unicode_code"), F.when(F.col("name") == "", "UNKNOWN").otherwise(F.col("name")).alias("unicode_name"), "category",
+        F.lit("").alias("equivalent"), F.concat(F.lit("Frequency: "), F.col("count").cast("string")).alias("notes"),
+    )

@@ -126,6 +126,20 @@ def ngram_tf_df(s, d):
     return survey.ngram_counts(_elements(s, d))
 
 
+@query(f"WITH {GRAMS} SELECT field, ngram FROM c WHERE 100 * doc_freq >= 5 * (SELECT count(DISTINCT conv_id) FROM conversations) AND term_freq <= 1.4 * doc_freq")
+def boilerplate_over(s, d):
+    e = _elements(s, d)
+    return survey.boilerplate_over(survey.ngram_counts(e), e.select("rec").distinct().count())
+
+
+@query(f"""WITH {GRAMS}, t AS (SELECT *, round(term_freq * ln((SELECT count(DISTINCT conv_id) FROM conversations) / doc_freq), 3) AS tfidf FROM c),
+r AS (SELECT ranking, field, n, ngram, row_number() OVER (PARTITION BY ranking, field, n ORDER BY CASE ranking WHEN 'doc_freq' THEN doc_freq::DOUBLE WHEN 'term_freq' THEN term_freq::DOUBLE ELSE tfidf END DESC, ngram) AS place, doc_freq, term_freq, tfidf FROM t, (SELECT unnest(['doc_freq', 'term_freq', 'tfidf']) AS ranking))
+SELECT ranking, field, n, place::INT AS place, ngram, doc_freq, term_freq, tfidf FROM r WHERE place <= 20""")
+def ngram_report(s, d):
+    e = _elements(s, d)
+    return survey.top_ngrams(survey.tfidf(survey.ngram_counts(e), e))
+
+
 @query(f"WITH {GRAMS} SELECT *, round(term_freq * ln((SELECT count(DISTINCT conv_id) FROM conversations) / doc_freq), 3) AS tfidf FROM c")
 def ngram_tfidf(s, d):
     e = _elements(s, d)
@@ -573,6 +587,16 @@ def segment_runs(s, d):
     return made.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.segment", "s.label")
 
 
+@query()
+def segment_sets(s, d):
+    """Documents taken apart at all pairs of words that benchmark items have: a set of phrases that grows with the data."""
+    made = table(s, d, "documents").select("doc_id", F.split("text", "\n").alias("lines"), F.array().cast("array<string>").alias("titles")).where("doc_id IS NOT NULL")
+    pairs = table(s, d, "benchmark").select(F.explode(tx.ngrams(tx.tokens_lat(F.col("text")), 2)).alias("ngram")).distinct()
+    kinds = pairs.withColumn("signal_type", F.when(F.pmod(F.crc32("ngram"), F.lit(50)) == 0, F.lit("date:copy")))
+    found = segment.segment_by_sets(made, "doc_id", "lines", "titles", kinds)
+    return found.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.segment", "s.label")
+
+
 @query("""WITH e AS (SELECT doc_id AS rec, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT * FROM (VALUES ('licence', 'licensed under'), ('rights', 'All rights reserved')) t(relation_type, term))
 SELECT rec, relation_type, term, count(*)::BIGINT AS n, sum(len(string_split(lower(line), lower(term))) - 1)::BIGINT AS hits FROM e JOIN t ON contains(lower(line), lower(term)) GROUP BY ALL""")
 def detect_relations(s, d):

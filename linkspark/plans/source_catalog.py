@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import candidates as cd
-from ..operators import segment
+from ..operators import merge, ranks, segment, survey
 from ..sources import id_maps, records, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,8 +181,8 @@ def listing(s, d):
     at = folder(s, "listing")
     book = F.concat(F.lit("A"), (F.col("s_suppkey") % 40).cast("string"), F.lit(".B"))
     empty = F.lit("")
-    rows = table(s, d, "supplier").orderBy("s_suppkey").select(F.concat(book, F.lit(".v"), F.col("s_suppkey").cast("string")).alias("version_uri"), F.lit("ara").alias("language"), empty.alias("author_ar"), F.lit("x").alias("author_lat"), empty.alias("author_lat_shuhra"), empty.alias("book"), empty.alias("title_ar"), F.concat("s_name", F.lit(" :: second")).alias("title_lat"), empty.alias("tags"))
-    rows.coalesce(1).write.option("header", "true").option("emptyValue", "").csv(at, sep="\t")
+    rows = table(s, d, "supplier").repartitionByRange(4, "s_suppkey").sortWithinPartitions("s_suppkey").select(F.concat(book, F.lit(".v"), F.col("s_suppkey").cast("string")).alias("version_uri"), F.lit("ara").alias("language"), empty.alias("author_ar"), F.lit("x").alias("author_lat"), empty.alias("author_lat_shuhra"), empty.alias("book"), empty.alias("title_ar"), F.concat("s_name", F.lit(" :: second")).alias("title_lat"), empty.alias("tags"))
+    rows.write.option("header", "true").option("emptyValue", "").csv(at, sep="\t")  # files that several tasks write, in order
     return records.listed_books(records.listing(s, at)).select("uri", "author_uri", joined("title_lat").alias("title_lat"))
 
 
@@ -209,11 +209,11 @@ def id_map_store(s, d):
     return id_maps.id_map(s, at, "records", kind).where("id != ''")
 
 
-@query("SELECT n_nationkey AS key, n_name AS name FROM nation")
+@query("SELECT c_custkey AS key, c_name AS name FROM customer")
 def csv_table(s, d):
+    """Files of several tasks, each with a byte order mark before its header."""
     at = folder(s, "csv")
-    lines = table(s, d, "nation").select(F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name").alias("value"), F.col("n_nationkey").alias("k"))
-    s.range(1).select(F.lit("﻿key,name").alias("value"), F.lit(-1).alias("k")).unionByName(lines.withColumn("k", F.col("k").cast("int"))).orderBy("k").select("value").coalesce(1).write.text(at)
+    table(s, d, "customer").select(F.col("c_custkey").alias("\ufeffkey"), F.col("c_name").alias("name")).repartition(4).write.option("header", "true").csv(at)
     kinds = records.T.StructType([records.T.StructField("key", records.T.LongType()), records.T.StructField("name", records.T.StringType())])
     return records.csv_table(s, at, kinds)
 
@@ -252,12 +252,55 @@ def apply_review(s, d):
     return plain.withColumn("signal_type", F.lit(None).cast("string")).unionByName(signals)
 
 
-@query("SELECT * FROM (VALUES ('build', 'third'), ('sample', 'x')) v(stage, data)")
+@query("""WITH r AS (SELECT client_id::VARCHAR AS catalogue, CASE op WHEN 'I' THEN 'build' WHEN 'D' THEN 'sample' ELSE 'apply_review' END AS stage, max(coalesce(strftime(valid_at, '%Y-%m-%d %H:%M:%S'), '') || ' ' || lpad(change_id::VARCHAR, 12, '0')) AS run_at FROM client_changes WHERE op IS NOT NULL AND change_id IS NOT NULL GROUP BY ALL)
+SELECT catalogue, stage, run_at, 'run ' || run_at AS data FROM r WHERE NOT (stage = 'apply_review' AND coalesce(run_at < (SELECT b.run_at FROM r b WHERE b.stage = 'build' AND b.catalogue IS NOT DISTINCT FROM r.catalogue), false))""")
 def run_log(s, d):
-    at = folder(s, "runs")
-    for stage, data in (("build", "first"), ("sample", "x"), ("apply_review", "y"), ("build", "third")):
-        sinks.log_run(s, at, stage, data=data)
-    return sinks.last_runs(s, at).select("stage", F.col("settings")["data"].alias("data"))
+    """Every client has a trail, its changes are the runs."""
+    at, c = folder(s, "runs"), table(s, d, "client_changes").where("op IS NOT NULL AND change_id IS NOT NULL")
+    when = F.concat(F.coalesce(F.date_format("valid_at", "yyyy-MM-dd HH:mm:ss"), F.lit("")), F.lit(" "), F.lpad(F.col("change_id").cast("string"), 12, "0"))
+    stage = F.when(F.col("op") == "I", "build").when(F.col("op") == "D", "sample").otherwise("apply_review")
+    sinks.log_runs(c.select(F.col("client_id").cast("string").alias("catalogue"), stage.alias("stage"), when.alias("at"), F.create_map(F.lit("data"), F.concat(F.lit("run "), when)).alias("settings")), at)
+    return sinks.last_runs(s, at, "catalogue").select("catalogue", "stage", F.col("at").alias("run_at"), F.col("settings")["data"].alias("data"))
+
+
+@query("""WITH t AS (SELECT coalesce(segment, '') AS name, count(*) AS n FROM clients GROUP BY ALL UNION ALL SELECT 'unmatched', 0)
+SELECT name, n AS records, (SELECT count(*) FROM clients) AS total, 'clients' AS run, 0.9::VARCHAR AS threshold FROM t""")
+def run_manifest(s, d):
+    """The tiers of a run with their matches, then its manifest, from which the counts are read back."""
+    at, c = folder(s, "run"), table(s, d, "clients")
+    sinks.begin_run(s, at)
+    tiers = c.select(F.monotonically_increasing_id().alias("rec"), F.coalesce("segment", F.lit("")).alias("tier"))
+    sinks.write_tiers(tiers, s.createDataFrame([], "rec long, rank int, book string, score double"), at)
+    told = s.read.schema("tier string, records long").json(f"{at}/summary").select(F.coalesce("tier", F.lit("")).alias("name"), "records")
+    sinks.finish_run(at, "clients", told, ("unmatched",), {"matches": f"{at}/matches"}, {"threshold": "0.9"})
+    return sinks.manifest(s, at).select(F.explode("results").alias("name", "records"), F.col("records").alias("total"), "run", F.col("settings")["threshold"].alias("threshold"))
+
+
+@query("""WITH c AS (SELECT unnest(regexp_extract_all(name, '[^\x00-\x7F]')) AS character FROM clients)
+SELECT character, printf('U+%04X', unicode(character)) AS unicode_code, 'Frequency: ' || count(*) AS notes FROM c GROUP BY character""")
+def conversion_csv(s, d):
+    """The table of all special characters of names, to be filled in by hand, read back from its file."""
+    at = folder(s, "conversions")
+    sinks.write_csv(survey.conversion_table(survey.characters(table(s, d, "clients"), "name")), at)
+    return records.csv_table(s, at, records.CONVERSIONS).select("character", "unicode_code", "notes")
+
+
+@query("SELECT * FROM clients WHERE client_id IN (SELECT client_id FROM sales)")
+def semi_join(s, d):
+    return merge.known(table(s, d, "clients"), table(s, d, "sales"), "client_id")
+
+
+@query("""SELECT 'description' AS field, ngram, signal_type FROM (SELECT DISTINCT text AS ngram, CASE WHEN item_id % 3 = 0 THEN 'date:copy' END AS signal_type FROM (SELECT text, dense_rank() OVER (ORDER BY text) AS item_id FROM (SELECT DISTINCT name AS text FROM items WHERE name <> '')))""")
+def curated_phrases(s, d):
+    """Reviewed phrases in the formats of three times, a file for each part of the items: objects and signals, texts within an object, a list."""
+    at = folder(s, "curated")
+    ranked = table(s, d, "items").where("name != ''").select(F.col("name").alias("ngram")).distinct()
+    n = ranks.running(ranked.withColumn("one", F.lit(1)), "ngram", "one").select("ngram", (F.col("before") + 1).alias("k"))
+    plain = n.where("k % 3 != 0")
+    listed = plain.where("k % 3 = 1").groupBy(F.floor(F.col("k") / 300)).agg(F.to_json(F.collect_list("ngram")).alias("value")).select("value")
+    texts = plain.where("k % 3 = 2").select(F.to_json(F.struct(F.array("ngram").alias("boilerplate"))).alias("value"))
+    signals = n.where("k % 3 = 0").select(F.to_json(F.struct(F.array(F.struct("ngram", F.lit("description").alias("field"), F.lit("date:copy").alias("signal_type"))).alias("signals"))).alias("value"))
+    return records.phrases_of(listed.union(texts).union(signals))
 
 
 # Text functions over whole texts

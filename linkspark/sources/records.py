@@ -182,6 +182,35 @@ def csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return spark.read.schema(schema).option("header", "true").option("enforceSchema", "true").option("encoding", "UTF-8").csv(path)
 
 
+CONVERSIONS = T.StructType([T.StructField(n, T.StringType()) for n in ("character", "unicode_code", "unicode_name", "category", "equivalent", "notes")])
+
+
+def conversions(spark: SparkSession, path: str) -> dict[str, str]:
+    """A conversion table that was filled in: characters and what they become, for ``text.convert``. It has a row for each
+    character, so its size is bounded by their number; of rows for one character the least text counts."""
+    rows = csv_table(spark, path, CONVERSIONS).where("character IS NOT NULL AND length(character) = 1")
+    return {r[0]: r[1] for r in rows.groupBy("character").agg(F.min(F.coalesce(F.trim("equivalent"), F.lit("")))).collect()}
+
+
+def curated_phrases(spark: SparkSession, path: str) -> DataFrame:
+    """field, ngram, signal_type (null for boilerplate) of reviewed phrases: JSON files ``{"boilerplate": [...], "signals":
+    [...]}`` whose entries are objects or, in older files, texts; or, older still, a list of texts. A phrase without
+    a field is the description's. Signals of no type are boilerplate. An entry without a phrase is left out."""
+    return phrases_of(spark.read.text(path, wholetext=True))
+
+
+def phrases_of(contents: DataFrame) -> DataFrame:
+    """``curated_phrases`` of files' contents: value."""
+    value = F.trim("value")
+    listed = F.from_json(value, "array<string>")
+    parts = F.from_json(value, "boilerplate array<string>, signals array<struct<ngram:string,field:string,signal_type:string>>")
+    files = contents.select(F.when(value.startswith("["), listed).otherwise(parts["boilerplate"]).alias("plain"), F.when(~value.startswith("["), parts["signals"]).alias("signals"))
+    entry = F.when(F.col("e").startswith("{"), F.from_json("e", "ngram string, field string")).otherwise(F.struct(F.col("e").alias("ngram"), F.lit(None).cast("string").alias("field")))
+    plain = files.select(F.explode("plain").alias("e")).select(entry.alias("e")).select("e.field", "e.ngram", F.lit(None).cast("string").alias("signal_type"))
+    signals = files.select(F.explode("signals").alias("e")).select("e.field", "e.ngram", tx.blank_to_null(F.col("e.signal_type")).alias("signal_type"))
+    return plain.union(signals).where("ngram IS NOT NULL AND ngram != ''").select(F.coalesce("field", F.lit("description")).alias("field"), "ngram", "signal_type").distinct()
+
+
 def truth(spark: SparkSession, path: str) -> DataFrame:
     """rec, book from a JSON list of pairs; book is null where no match is expected."""
     pairs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<array<string>>")).alias("p"))

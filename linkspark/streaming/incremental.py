@@ -19,8 +19,8 @@ def update(stored: DataFrame, arrived: DataFrame, key: str) -> DataFrame:
 
 
 def follow_files(spark: SparkSession, folder: str, store: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame], key: str, pattern: str = "*.xml") -> StreamingQuery:
-    """A streaming query that parses each new file and appends rows with new keys to a Parquet store. Which files were
-    seen is kept in the checkpoint; a batch that is repeated after a failure adds nothing twice, since its keys are
+    """A streaming query that parses each new file and appends rows with new keys to a Parquet store, each key
+    once, also where two files of a batch have it. Which files were seen is kept in the checkpoint; a batch that is repeated after a failure adds nothing twice, since its keys are
     stored then."""
     files = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     path = F.col("_metadata.file_path")
@@ -34,7 +34,7 @@ def follow_files(spark: SparkSession, folder: str, store: str, checkpoint: str,
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             old = batch.sparkSession.createDataFrame([], rows.schema)
-        merge.unseen(rows, old, key).write.mode("append").parquet(store)
+        update(old, rows, key).write.mode("append").parquet(store)
 
     return named.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_shuffles_early, hot_join, work_dir, written
+from .common import bit_map, bounded_batches, drop_shuffles_early, hot_join, in_map, work_dir, written
 from .files import open_out, read_whole
 
 ARCHIVE_BYTES = 24_000_000
@@ -43,8 +43,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def plan(pages: DataFrame, least: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, html, digest, n_bytes, response (the page_id that a revisit refers to, else null).
 
-    What revisits what is decided on ids and digests alone; payloads are joined by page_id, of which none holds many
-    rows, and don't meet in one task for being equal."""
+    What revisits what is decided on ids and digests alone. A map of the revisits' ids and digests tells of most rows that
+    they are none; only the rest is shuffled with its payload, by page_id, of which none holds many rows, so payloads
+    don't meet in one task for being equal. That costs one more scan of the pages."""
     c = lambda name: F.col(f"`{name}`")
     rows = pages.select(c(id_col).cast("long").alias("page_id"), c(url_col).alias("url"), F.coalesce(c(html_col), F.lit("")).alias("html"))
     rows = rows.select("*", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("n_bytes"))
@@ -52,9 +53,12 @@ def plan(pages: DataFrame, least: int = 100, id_col: str = "page_id", url_col: s
     firsts = slim.groupBy("digest").agg(F.min("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1 AND response IS NOT NULL")
     told = hot_join(slim, firsts, ["digest"], "n", ["response"], slim.count(), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
     revisits = told.where(~F.col("page_id").eqNullSafe(F.col("response")) & F.col("response").isNotNull()).distinct()
-    revisits = revisits.select(F.col("page_id").alias("id"), F.col("digest").alias("of"), "response")
-    joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left")
-    return joined.select("page_id", "url", "html", "digest", "n_bytes", "response")
+    revisits = written(revisits.select(F.col("page_id").alias("id"), F.col("digest").alias("of"), "response"), "warc-revisits")
+    keys = written(bit_map(revisits.select(F.xxhash64("id", "of").alias("key")), "key"), "warc-map")
+    told, may = in_map(rows, keys, F.xxhash64("page_id", "digest"))
+    told = told.select(*rows.columns, F.coalesce(may, F.lit(False)).alias("may"))
+    some = told.where("may").join(revisits.hint("merge"), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left")
+    return some.select(*rows.columns, "response").unionByName(told.where("NOT may").select(*rows.columns, F.lit(None).cast("long").alias("response")))
 
 
 def record(row: dict) -> bytes:

@@ -372,6 +372,17 @@ def test_warc_repeated_pages(spark):
     assert sorted(map(str, got)) == sorted(map(str, [(0, 0, "response", None)] + [(1, 300, "response", None)] * 2 + [(2, 300, "response", None)] + [(2, 300, "revisit", 1)] * 2))
 
 
+def test_warc_payloads_in_joins(spark):
+    """Rows that may revisit, and those that surely don't, go their own ways; together they are all rows."""
+    big = [(i, f"u{i}", "x" * 200 + str(i % 40 if i % 2 else i)) for i in range(200)]
+    planned = warc.plan(spark.createDataFrame(big, "page_id long, url string, html string"))
+    got = {r["page_id"]: (r["html"], r["response"]) for r in planned.collect()}
+    first = {}
+    for i, _, h in big:
+        first.setdefault(h, i)
+    assert got == {i: (h, None if first[h] == i else first[h]) for i, _, h in big}
+
+
 def test_warc(spark):
     long = "<p>" + "x" * 200 + "</p>"
     rows = [(3, "http://a/\r\nb", long), (1, "http://c", long), (2, None, "short"), (4, "u", "short"), (5, "u", None), (6, "ü", "é" * 60), (None, "u", long), (7, "v", long)]

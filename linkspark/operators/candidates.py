@@ -55,18 +55,29 @@ def fanout(uses: DataFrame) -> DataFrame:
     return by_candidate.agg(F.count(F.lit(1)).alias("candidates"), F.sum("n").alias("uses"))
 
 
-def candidate_index(candidates: DataFrame, rec: str = "record_id", raw: str = "raw", table: bool = True) -> DataFrame:
-    """cand_norm, rec_ids: which records have a normalised candidate."""
-    normal = candidates.select(F.col(rec).alias("rec"), tx.normalize_for_matching(F.col(raw), table=table).alias("cand_norm"))
-    return normal.where("cand_norm != ''").groupBy("cand_norm").agg(F.sort_array(F.collect_set("rec")).alias("rec_ids"))
+#: Parts into which the members of a key are dealt by their names; or give a column that limits a part by itself.
+PARTS = 1024
+
+
+def members(rows: DataFrame, key: str, of: str, name: str, part: Column | None = None) -> DataFrame:
+    """key, part, and the list ``name`` of the distinct ``of``: a row for each part of a key's members, not one for all, so
+    a key that a third of all rows has is many rows in many tasks. Keys of few members have few parts."""
+    dealt = rows.select(F.col(key), (F.pmod(F.xxhash64(of), F.lit(PARTS)) if part is None else part).alias("part"), F.col(of).alias("__of"))
+    return dealt.groupBy(key, "part").agg(F.sort_array(F.collect_set("__of")).alias(name))
+
+
+def candidate_index(candidates: DataFrame, rec: str = "record_id", raw: str = "raw", table: bool = True, part: Column | None = None) -> DataFrame:
+    """cand_norm, part, rec_ids: which records have a normalised candidate, in parts. part: a column of rec."""
+    return members(candidate_uses(candidates, rec, raw, table), "cand_norm", "rec", "rec_ids", part)
 
 
 def without_candidates(index: DataFrame, gone: DataFrame) -> DataFrame:
     return index.join(gone.select("cand_norm"), "cand_norm", "left_anti")
 
 
-def books_by_author(books: DataFrame) -> DataFrame:
-    return books.groupBy("author_uri").agg(F.sort_array(F.collect_set("uri")).alias("books"))
+def books_by_author(books: DataFrame, part: Column | None = None) -> DataFrame:
+    """author_uri, part, books: in parts, as an author of unknown books has many."""
+    return members(books, "author_uri", "uri", "books", part)
 
 
 def cull_author_tokens(books: DataFrame, variants: DataFrame, column: str = "title_ara") -> DataFrame:

@@ -22,10 +22,25 @@ def counts_by(pairs: DataFrame, key: str, value: str, name: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.count(value).alias(name))
 
 
+#: A key is hot with more than 1/SHARE of all rows, so there are fewer hot keys than this.
+SHARE = 256
+
+
+def counted(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """rows with ``name``, how many filled ``value`` their key has; rows without a key are left out. Counts of hot keys are
+    broadcast, so their rows stay where they are; only rows of other keys meet others of their key."""
+    per = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(value).alias(name), F.count(F.lit(1)).alias("__n"))
+    total = per.agg(F.sum("__n").alias("__total"))  # one row
+    told = per.crossJoin(F.broadcast(total)).withColumn("__hot", F.col("__n") * SHARE > F.col("__total")).drop("__n", "__total")
+    hot = F.broadcast(told.where("__hot").drop("__hot"))
+    served = rows.join(hot, key)
+    rest = rows.join(hot, key, "left_anti").join(told.where("NOT __hot").drop("__hot"), key)
+    return served.unionByName(rest)
+
+
 def with_counts(pairs: DataFrame) -> DataFrame:
     """pairs with records per uri and uris per record."""
-    per_uri, per_rec = counts_by(pairs, "uri", "rec", "records_per_uri"), counts_by(pairs, "rec", "uri", "uris_per_record")
-    return pairs.join(per_uri, "uri").join(per_rec, "rec")
+    return counted(counted(pairs, "uri", "rec", "records_per_uri"), "rec", "uri", "uris_per_record")
 
 
 def outliers(counts: DataFrame, value: str, limit: float = 3.0) -> DataFrame:

@@ -172,9 +172,10 @@ def field_samples(s, d):
 # Candidates and similarity
 
 
-@query(f"SELECT cand_norm, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS rec_ids FROM (SELECT doc_id, {NORM.format('raw')} AS cand_norm FROM {SENTENCES}) WHERE cand_norm <> '' GROUP BY cand_norm")
+@query(f"SELECT cand_norm, doc_id // 4096 AS part, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS rec_ids FROM (SELECT doc_id, {NORM.format('raw')} AS cand_norm FROM {SENTENCES}) WHERE cand_norm <> '' GROUP BY ALL")
 def candidate_index(s, d):
-    return cd.candidate_index(_lines(s, d), "doc_id").select("cand_norm", F.array_join(F.transform("rec_ids", lambda x: x.cast("string")), ",").alias("rec_ids"))
+    """No row has more than 4,096 ids."""
+    return cd.candidate_index(_lines(s, d), "doc_id", part=F.floor(F.col("rec") / 4096)).select("cand_norm", "part", F.array_join(F.transform("rec_ids", lambda x: x.cast("string")), ",").alias("rec_ids"))
 
 
 @query(f"SELECT count(DISTINCT cand_norm) AS candidates, count(*) AS uses FROM (SELECT DISTINCT doc_id, {NORM.format('raw')} AS cand_norm FROM {SENTENCES}) WHERE cand_norm <> ''")
@@ -524,10 +525,10 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
 PAIRS = "WITH p AS (SELECT lpad(o_custkey::VARCHAR, 4, '0') || '.' || o_orderstatus AS uri, o_orderkey AS rec FROM orders)"
 
 
-@query("SELECT c_nationkey AS author_uri, array_to_string(list_sort(list(c_custkey)), ',') AS books FROM customer GROUP BY c_nationkey")
+@query("SELECT c_nationkey AS author_uri, c_custkey // 4096 AS part, array_to_string(list_sort(list(c_custkey)), ',') AS books FROM customer GROUP BY ALL")
 def books_by_author(s, d):
-    b = cd.books_by_author(table(s, d, "customer").select(F.col("c_custkey").alias("uri"), F.col("c_nationkey").alias("author_uri")))
-    return b.select("author_uri", F.array_join(F.transform("books", lambda x: x.cast("string")), ",").alias("books"))
+    b = cd.books_by_author(table(s, d, "customer").select(F.col("c_custkey").alias("uri"), F.col("c_nationkey").alias("author_uri")), F.floor(F.col("uri") / 4096))
+    return b.select("author_uri", "part", F.array_join(F.transform("books", lambda x: x.cast("string")), ",").alias("books"))
 
 
 @query(f"{PAIRS} SELECT count(DISTINCT uri) AS books, count(DISTINCT split_part(uri, '.', 1)) AS authors FROM p")

@@ -1,13 +1,14 @@
 """Settings, manifests and trails of runs, reviewed phrases of any number, conversion tables, and the commands for them."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from linkspark import cli, config
 from linkspark.functions import text as tx
-from linkspark.operators import merge, segment, survey
+from linkspark.operators import candidates, merge, segment, stats, survey
 from linkspark.sources import records, sinks
 from linkspark.streaming import incremental
 
@@ -147,3 +148,19 @@ def test_commands(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r/meta")).first()["parse_errors"] == 2
     go("conversion-table", "--records", tmp_path / "r", "--out", tmp_path / "t")
     assert {"ā", "é", "ī"} <= set(records.conversions(spark, str(tmp_path / "t")))
+
+
+def test_counts_of_hot_keys(spark):
+    rows = [(("hot" if i % 3 == 0 else f"u{i % 500}") if i % 11 else None, i % 7 if i % 13 else None) for i in range(3000)]
+    got = stats.with_counts(spark.createDataFrame(rows, "uri string, rec long")).collect()
+    whole = [r for r in rows if None not in r]
+    # Rows without a record are counted nowhere, and rows without a book are gone before records are counted.
+    per_uri, per_rec = Counter(u for u, _ in whole), Counter(r for _, r in whole)
+    assert Counter(map(tuple, got)) == Counter((r, u, per_uri[u], per_rec[r]) for u, r in whole)
+
+
+def test_members_in_parts(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("author_uri"), F.col("id").alias("uri"))
+    for part in (None, F.floor(F.col("uri") / 100)):
+        made = candidates.books_by_author(rows.union(rows), part).where("author_uri = 'hot'").collect()
+        assert len(made) > 40 and sorted(x for r in made for x in r["books"]) == list(range(0, 5000, 3))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +42,27 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lists of the paths of tables made within ``collected``, the innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of all tables that ``written`` makes inside, for who knows when nothing refers to them any more."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN.remove(paths)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again, which cuts its lineage."""
     spark = df.sparkSession
     path = work_dir(spark, name)
+    for paths in _OPEN:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._linkspark_path = path

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules
-from linkspark.llm.common import fresh, written
+from linkspark.llm.common import collected, delete_dir, fresh, written
 
 #: What line dedup leaves of a document is no scrap from so many characters on: the 50 words of the base rule, at five.
 SCRAP_CHARS = 250
@@ -59,9 +59,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages. Once a stage is written, what it made on its way and the stage before it are deleted, so that no more
+    than two copies of the documents lie in the shared folder; the last stage's documents stay, as the result reads them."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with collected() as made:
+            docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        for path in [*made, *([before] if before else [])]:
+            if path != docs._linkspark_path:
+                delete_dir(spark, path)
+        before = docs._linkspark_path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -1,7 +1,9 @@
+from pathlib import Path
+
 import brute
 from pyspark.sql import functions as F
 
-from linkspark.llm import bpe
+from linkspark.llm import bpe, common
 
 WORDS = "the of and in to it is was for on that with alpha beta gamma delta".split()
 
@@ -27,7 +29,11 @@ def test_pipeline(spark, tmp_path):
     assert ids == {*range(30), 70, 80} and brute.contamination(rows[33][1], [(1, bench)])[1] >= 40
     assert kept.where("doc_id = 80").first()["text"].count("\n") == 0
     assert kept.where(F.col("n_chars") != F.length("text")).count() == 0
+    shared = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in shared.iterdir()}
     got = corpus_pipeline.run(spark, str(tmp_path)).orderBy("doc_id").collect()
+    # Spark's own checkpoints have names without a prefix.
+    assert [n.rsplit("-", 1)[0] for n in {p.name for p in shared.iterdir()} - before if n.startswith(("stage-", "line-", "join-"))] == ["stage-decontamination"]
     assert got == bpe.digest(kept).orderBy("doc_id").collect()
 
 

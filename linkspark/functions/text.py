@@ -1,10 +1,13 @@
-"""Text functions, each from a Column to a Column and made of built-in functions."""
+"""Text functions, each from a Column to a Column and, but for token positions, made of built-in functions."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,23 +101,44 @@ def tokens_ara(x: Column) -> Column:
     return F.filter(found, lambda t: ~t.rlike(r"^\p{Nd}") | (F.length(t) >= 2))
 
 
+#: Spans that are turned into one Arrow array at a time.
+SPANS = 100_000
+
+
+def spans_in(text: str, kind: str = "lat", keep_abbrev_dots: bool = False) -> list[tuple[int, int]]:
+    """Where the tokens of a text begin and end, in code points; a text of kind ``lat`` is in lower case already. In
+    time that grows with the text, which a fold over its pieces in built-in functions doesn't offer: it copies the
+    tokens so far at each step."""
+    pattern = {"lat": (rf"[{LATIN}]{{1,4}}\.(?![{LATIN}])|" if keep_abbrev_dots else "") + rf"[{LATIN}]+|\d+", "ara": rf"[{ARABIC}]+|\d+"}[kind]
+    found = (m.span() for m in re.finditer(pattern, text))
+    if kind == "lat":
+        return [(a, b) for a, b in found if b - a >= 2]
+    return [(a, b) for a, b in found if b - a >= 2 or not text[a].isdecimal()]
+
+
 def token_spans(x: Column, kind: str = "lat", keep_abbrev_dots: bool = False) -> Column:
-    """Tokens with code point offsets: array<struct<token, start, end>>. Text is taken apart into tokens and single
-    characters, and a fold adds up their lengths."""
-    pattern = {"lat": (rf"[{LATIN}]{{1,4}}\.(?![{LATIN}])|" if keep_abbrev_dots else "") + rf"[{LATIN}]+|\p{{Nd}}+", "ara": rf"[{ARABIC}]+|\p{{Nd}}+"}[kind]
-    source = F.lower(x) if kind == "lat" else x
-    pieces = F.regexp_extract_all(source, F.lit(rf"(?s){pattern}|."), F.lit(0))
-    kind_of = "array<struct<token:string,start:int,end:int>>"
-    empty = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), kind_of).alias("out"))
-    real = (lambda t: t.rlike(rf"^([{LATIN}]|\p{{Nd}})")) if kind == "lat" else (lambda t: t.rlike(rf"^([{ARABIC}]|\p{{Nd}})"))
-    wanted = (lambda t: real(t) & (F.length(t) >= 2)) if kind == "lat" else (lambda t: real(t) & (~t.rlike(r"^\p{Nd}") | (F.length(t) >= 2)))
-
-    def step(acc: Column, t: Column) -> Column:
-        end = acc["at"] + F.length(t)
-        one = F.array(F.struct(t.alias("token"), acc["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(wanted(t), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(pieces, empty, step, lambda acc: acc["out"])
+    """Tokens with code point offsets: array<struct<token, start, end>>, by batches of texts."""
+
+    def piece(texts: list[str | None], spans: list[list[tuple[int, int]]]) -> pa.Array:
+        flat = [(t[a:b], a, b) for t, found in zip(texts, spans) for a, b in found]
+        values = [pa.array([v[i] for v in flat], k) for i, k in enumerate((pa.string(), pa.int32(), pa.int32()))]
+        ends = np.cumsum([0, *map(len, spans)]).tolist()
+        starts = [None if t is None else at for t, at in zip(texts, ends)] + ends[-1:]
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays(values, ["token", "start", "end"]))
+
+    @F.arrow_udf("array<struct<token:string,start:int,end:int>>")
+    def run(column: pa.Array) -> pa.Array:
+        made, texts, spans, n = [], [], [], 0
+        for text in column:
+            texts.append(text.as_py())
+            spans.append(spans_in(texts[-1] or "", kind, keep_abbrev_dots))
+            n += len(spans[-1])
+            if n >= SPANS:
+                made.append(piece(texts, spans))
+                texts, spans, n = [], [], 0
+        return pa.concat_arrays([*made, piece(texts, spans)])
+
+    return run(F.lower(x) if kind == "lat" else x)
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Container, Iterator
+from bisect import bisect_left
+from collections.abc import Collection, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -15,16 +16,23 @@ from ..functions import text as tx
 SEGMENT = "array<struct<segment:string,label:string>>"
 
 
-def cover(tokens: list[str], phrases: dict[str, str | None], covered: list[bool], most: int = 4, skip_covered: bool = False) -> list[tuple[int, int, str]]:
+def openings(phrases: Collection[str]) -> dict[str, list[int]]:
+    """By first word of phrases: the numbers of words that they have, the greatest first."""
+    out: dict[str, set[int]] = {}
+    for p in phrases:
+        out.setdefault(p.partition(" ")[0], set()).add(p.count(" ") + 1)
+    return {w: sorted(sizes, reverse=True) for w, sizes in out.items()}
+
+
+def cover(tokens: list[str], phrases: Collection[str], opened: dict[str, list[int]], covered: list[bool], most: int = 4, skip_covered: bool = False) -> list[tuple[int, int, str]]:
     """Greedy longest matches of 2 to ``most`` tokens, left to right: (start, end, phrase). A match may run over
-    tokens that are covered already; with skip_covered it may not start at one."""
-    out, i = [], 0
-    while i < len(tokens):
+    tokens that are covered already; with skip_covered it may not start at one. opened: the phrases' ``openings``."""
+    out, i, size = [], 0, len(tokens)
+    while i < size:
         hit = 0
-        if not (skip_covered and covered[i]):
-            for n in range(min(most, len(tokens) - i), 1, -1):
-                phrase = " ".join(tokens[i : i + n])
-                if phrase in phrases:
+        if (sizes := opened.get(tokens[i])) and not (skip_covered and covered[i]):
+            for n in sizes:
+                if 2 <= n <= most and n <= size - i and (phrase := " ".join(tokens[i : i + n])) in phrases:
                     covered[i : i + n] = [True] * n
                     out.append((i, i + n, phrase))
                     hit = n
@@ -33,16 +41,18 @@ def cover(tokens: list[str], phrases: dict[str, str | None], covered: list[bool]
     return out
 
 
-def segments(texts: list[str], spans: list[list[dict]], signals: dict[str, str | None], boilerplate: set[str], seen: set[str], most_chars: int, least_tokens: int) -> list[dict]:
+def segments(texts: list[str], spans: list[list[tuple[int, int]]], signals: dict[str, str | None], boilerplate: set[str], seen: set[str], most_chars: int, least_tokens: int) -> list[dict]:
     """Runs of uncovered tokens of each text, with the label of the nearest signal before them, else after them."""
     out: list[dict] = []
     seen = set(seen)
+    first, plain = openings(signals), openings(boilerplate)
     for text, found in zip(texts, spans, strict=True):
-        words = [text[s["start"] : s["end"]] for s in found]
+        words = [text[a:b] for a, b in found]
         covered = [False] * len(found)
-        hits = cover([w.lower() for w in words], signals, covered)
-        cover(words, dict.fromkeys(boilerplate), covered, skip_covered=True)
+        hits = cover([w.lower() for w in words], signals, first, covered)
+        cover(words, boilerplate, plain, covered, skip_covered=True)
         labels = {s: signals[p] for s, _, p in hits}
+        places = list(labels)  # ascending
         i = 0
         while i < len(found):
             if covered[i]:
@@ -51,13 +61,13 @@ def segments(texts: list[str], spans: list[list[dict]], signals: dict[str, str |
             j = i
             while j < len(found) and not covered[j]:
                 j += 1
-            start = found[i - 1]["end"] if i else 0
-            end = found[j]["start"] if j < len(found) else len(text)
+            start = found[i - 1][1] if i else 0
+            end = found[j][0] if j < len(found) else len(text)
             part = text[start:end].strip()
             if part and len(part) <= most_chars and part not in seen and j - i >= least_tokens:
                 seen.add(part)
-                before, after = [k for k in labels if k < i], [k for k in labels if k >= j]
-                out.append({"segment": part, "label": labels[max(before)] if before else labels[min(after)] if after else None})
+                before, after = bisect_left(places, i), bisect_left(places, j)
+                out.append({"segment": part, "label": labels[places[before - 1]] if before else labels[places[after]] if after < len(places) else None})
             i = j
     return out
 
@@ -70,22 +80,35 @@ def segment(descriptions: Column, titles: Column, signals: dict[str, str | None]
         return F.transform(F.array_except(fit, F.coalesce(titles, F.array().cast("array<string>"))), lambda d: F.struct(d.alias("segment"), F.lit(None).cast("string").alias("label")))
     signals, boilerplate = dict(signals or {}), set(boilerplate or ())
 
-    kind = pa.list_(pa.struct([("segment", pa.string()), ("label", pa.string())]))
-
     @F.arrow_udf(SEGMENT)
-    def run(texts: pa.Array, spans: pa.Array, known: pa.Array) -> pa.Array:
-        rows = zip(texts.to_pylist(), spans.to_pylist(), known.to_pylist(), strict=True)
-        return pa.array([segments(t or [], s or [], signals, boilerplate, set(k or ()), most_chars, least_tokens) for t, s, k in rows], kind)
+    def run(texts: pa.Array, low: pa.Array, known: pa.Array) -> pa.Array:
+        return pa.array((segments(t, _spans(w), signals, boilerplate, set(k), most_chars, least_tokens) for t, w, k in _rows(texts, low, known)), _KIND)
+
+    return run(descriptions, _lower(descriptions), titles)
+
+
+_KIND = pa.list_(pa.struct([("segment", pa.string()), ("label", pa.string())]))
+
+
+def _lower(descriptions: Column) -> Column:
+    return F.transform(descriptions, F.lower)
+
+
+def _spans(low: list[str]) -> list[list[tuple[int, int]]]:
+    return [tx.spans_in(t) for t in low]
+
 
-    return run(descriptions, F.transform(descriptions, lambda x: tx.token_spans(x)), titles)
+def _rows(*columns: pa.Array) -> Iterator[tuple]:
+    """Rows of lists, one at a time: a batch may have many long texts. Null is an empty list."""
+    return (tuple(c[i].as_py() or [] for c in columns) for i in range(len(columns[0])))
 
 
 #: Characters of the terms that one automaton holds; larger sets are searched in as many passes as they need.
 TERM_CHARS = 2_000_000
 
 
-def _present(words: list[str], wanted: Container[str], most: int = 4) -> set[str]:
-    return {p for n in range(2, most + 1) for i in range(len(words) - n + 1) if (p := " ".join(words[i : i + n])) in wanted}
+def _present(words: list[str], wanted: Collection[str], opened: dict[str, list[int]], most: int = 4) -> set[str]:
+    return {p for i, w in enumerate(words) for n in opened.get(w, ()) if 2 <= n <= most and n <= len(words) - i and (p := " ".join(words[i : i + n])) in wanted}
 
 
 def segment_by_sets(rows: DataFrame, key: str, descriptions: str, titles: str, phrases: DataFrame, most_chars: int = 250, least_tokens: int = 1, phrase_chars: int = TERM_CHARS) -> DataFrame:
@@ -100,7 +123,7 @@ def segment_by_sets(rows: DataFrame, key: str, descriptions: str, titles: str, p
     if not total:
         return rows.withColumn("segments", segment(F.col(descriptions), F.col(titles), most_chars=most_chars))
     passes = -(-total // phrase_chars)
-    spanned = rows.select(F.col(key).alias("key"), F.col(descriptions).alias("texts"), F.transform(descriptions, lambda x: tx.token_spans(x)).alias("spans"))
+    spanned = rows.select(F.col(key).alias("key"), F.col(descriptions).alias("texts"), _lower(F.col(descriptions)).alias("low"))
     kind = T.StructType([T.StructField("key", rows.schema[key].dataType), T.StructField("signals", T.MapType(T.StringType(), T.StringType())), T.StructField("plain", T.ArrayType(T.StringType()))])
 
     def matches(k: int) -> DataFrame:
@@ -109,11 +132,12 @@ def segment_by_sets(rows: DataFrame, key: str, descriptions: str, titles: str, p
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signals, plain = held.value
+            first, other = openings(signals), openings(plain)
             for b in batches:
                 hits = []
-                for texts, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    words = [[t[s["start"] : s["end"]] for s in found or []] for t, found in zip(texts or [], spans or [])]
-                    hits.append((set().union(*[_present([x.lower() for x in w], signals) for w in words]), set().union(*[_present(w, plain) for w in words])))
+                for texts, low in _rows(b.column(1), b.column(2)):
+                    words = [[t[i:j] for i, j in found] for t, found in zip(texts, _spans(low))]
+                    hits.append((set().union(*[_present([x.lower() for x in w], signals, first) for w in words]), set().union(*[_present(w, plain, other) for w in words])))
                 some = [i for i, h in enumerate(hits) if h[0] or h[1]]
                 typed = pa.array([[(p, signals[p]) for p in sorted(hits[i][0])] for i in some], pa.map_(pa.string(), pa.string()))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), typed, pa.array([sorted(hits[i][1]) for i in some], pa.list_(pa.string()))], kind.names)
@@ -127,11 +151,10 @@ def segment_by_sets(rows: DataFrame, key: str, descriptions: str, titles: str, p
     known = rows.join(own, F.col(key) == F.col("__key"), "left").drop("__key")
 
     @F.arrow_udf(SEGMENT)
-    def run(texts: pa.Array, spans: pa.Array, known: pa.Array, signals: pa.Array, plain: pa.Array) -> pa.Array:
-        each = zip(*[c.to_pylist() for c in (texts, spans, known, signals, plain)], strict=True)
-        return pa.array([segments(t or [], s or [], {x["key"]: x["value"] for x in g or []}, set(p or ()), set(k or ()), most_chars, least_tokens) for t, s, k, g, p in each], pa.list_(pa.struct([("segment", pa.string()), ("label", pa.string())])))
+    def run(texts: pa.Array, low: pa.Array, known: pa.Array, signals: pa.Array, plain: pa.Array) -> pa.Array:
+        return pa.array((segments(t, _spans(w), {x["key"]: x["value"] for x in g}, set(p), set(k), most_chars, least_tokens) for t, w, k, g, p in _rows(texts, low, known, signals, plain)), _KIND)
 
-    return known.withColumn("segments", run(descriptions, F.transform(descriptions, lambda x: tx.token_spans(x)), titles, "__signals", "__plain")).drop("__signals", "__plain")
+    return known.withColumn("segments", run(F.col(descriptions), _lower(F.col(descriptions)), F.col(titles), F.col("__signals"), F.col("__plain"))).drop("__signals", "__plain")
 
 
 def automaton(terms: list[str]) -> ahocorasick.Automaton:

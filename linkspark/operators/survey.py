@@ -13,15 +13,32 @@ from ..functions import text as tx
 from . import ranks
 
 
+#: Characters of the texts whose n-grams one task counts; a longer record is a task's by itself.
+TASK_CHARS = 2_000_000
+
+
+def _dealt(elements: DataFrame) -> DataFrame:
+    """Elements in tasks of ``TASK_CHARS`` characters on average. Without it Spark makes tasks of equal shuffled bytes,
+    and n-grams take many times the memory of their text. As many partitions are what later shuffles begin with, before
+    Spark puts small ones together."""
+    spark = elements.sparkSession
+    chars = elements.agg(F.sum(F.length("text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.conf.set(first, str(max(tasks, int(spark.conf.get(first, None) or 0))))
+    return elements.repartition(tasks, "rec", "field")
+
+
 def ngram_counts(elements: DataFrame, max_n: int = 4, tokens=tx.tokens_lat) -> DataFrame:
     """field, n, ngram, term_freq, doc_freq from (rec, field, ord, text). A record's elements are joined in order;
     n-grams do not cross from one record to the next."""
-    joined = elements.groupBy("rec", "field").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("e"))
+    joined = _dealt(elements).groupBy("rec", "field").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("e"))
     words = joined.select("rec", "field", tokens(F.array_join(F.transform("e", lambda x: x["text"]), " ")).alias("w"))
-    sized = lambda n: F.transform(tx.ngrams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("ngram")))
-    each = F.flatten(F.array(*[sized(n) for n in range(2, max_n + 1)]))
-    grams = words.select("rec", "field", F.explode(each).alias("g")).groupBy("rec", "field", "g.n", "g.ngram").agg(F.count(F.lit(1)).alias("c"))
-    return grams.groupBy("field", "n", "ngram").agg(F.sum("c").alias("term_freq"), F.count(F.lit(1)).alias("doc_freq"))
+    # A record's places of an n-gram, and once each that it has: one aggregate by n-gram, none by record.
+    sized = lambda n, grams, tf, df: F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("ngram"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
+    each = F.flatten(F.array(*[sized(n, made, *k) for n in range(2, max_n + 1) for made, k in ((tx.ngrams(F.col("w"), n), (1, 0)), (F.array_distinct(tx.ngrams(F.col("w"), n)), (0, 1)))]))
+    grams = words.select("field", F.inline(each))
+    return grams.groupBy("field", "n", "ngram").agg(F.sum("tf").alias("term_freq"), F.sum("df").alias("doc_freq"))
 
 
 def ngram_counts_across(elements: DataFrame, max_n: int = 4, tokens=tx.tokens_lat, ranges: int = ranks.RANGES) -> DataFrame:
@@ -62,10 +79,10 @@ def tfidf(counts: DataFrame, elements: DataFrame) -> DataFrame:
 
 def suggest_boilerplate(counts: DataFrame, elements: DataFrame, settings: DataFrame) -> DataFrame:
     """field, ngram, n, doc_freq_pct, repeats_per_doc of n-grams that meet their field's settings:
-    (field, strategy, min_doc_freq_pct, max_repeats_per_doc)."""
+    (field, strategy, min_doc_freq_pct, max_repeats_per_doc), a row for each field."""
     n = elements.agg(F.count_distinct("rec").alias("records"))
     rated = counts.crossJoin(F.broadcast(n)).withColumns({"doc_freq_pct": F.round(100 * F.col("doc_freq") / F.col("records"), 2), "repeats_per_doc": F.round(F.col("term_freq") / F.col("doc_freq"), 3)})
-    fit = rated.join(settings, "field").where((F.col("doc_freq_pct") >= F.col("min_doc_freq_pct")) & ((F.col("strategy") == "freq_only") | (F.col("repeats_per_doc") <= F.col("max_repeats_per_doc"))))
+    fit = rated.join(F.broadcast(settings), "field").where((F.col("doc_freq_pct") >= F.col("min_doc_freq_pct")) & ((F.col("strategy") == "freq_only") | (F.col("repeats_per_doc") <= F.col("max_repeats_per_doc"))))
     return fit.dropDuplicates(["field", "ngram"]).select("field", "ngram", "n", "doc_freq_pct", "repeats_per_doc")
 
 

@@ -40,13 +40,21 @@ def lcs_lengths(a: list[str], b: list[str], chunk: int = 2048) -> np.ndarray:
         at = np.array(small[k : k + chunk])
         short, long = _codes([pairs[i][0] for i in at]), _codes([pairs[i][1] for i in at])
         size, steps = np.array([len(pairs[i][0]) for i in at]), np.array([len(pairs[i][1]) for i in at])
-        bits = np.where(np.arange(short.shape[1]) < size[:, None], np.uint64(1) << np.arange(short.shape[1], dtype=np.uint64), np.uint64(0))
-        full = np.bitwise_or.reduce(bits, axis=1)
+        known = np.unique(short)  # each character by its number; one that no short text has gets the number 0, without places
+        letters = len(known) + 1
+        number = lambda codes: np.where(known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes, np.searchsorted(known, codes) + 1, 0)
+        base = np.arange(len(at), dtype=np.int64) * letters
+        places = np.zeros(len(at) * letters, dtype=np.uint64)  # by pair and character: where the short text has it
+        mine, other = number(short) + base[:, None], np.ascontiguousarray((number(long) + base[:, None]).T)
+        for j in range(short.shape[1]):
+            there = size > j
+            places[mine[there, j]] |= np.uint64(1) << np.uint64(j)
+        full = ~np.uint64(0) >> (64 - size).astype(np.uint64)
         row = full.copy()
-        for j in range(long.shape[1]):
-            live = slice(int(np.searchsorted(steps, j, side="right")), None)
-            hit = row[live] & ((short[live] == long[live, j : j + 1]) * bits[live]).sum(axis=1, dtype=np.uint64)
-            row[live] = (row[live] + hit | row[live] - hit) & full[live]
+        for j, live in enumerate(np.searchsorted(steps, np.arange(long.shape[1]), side="right")):
+            own = row[live:]
+            hit = own & places[other[j, live:]]
+            row[live:] = (own + hit | own - hit) & full[live:]
         out[at] = size - np.bitwise_count(row)
     for i, (x, y) in enumerate(pairs):
         if len(x) > 64:
@@ -165,37 +173,52 @@ def token_set_ratio(a: Column, b: Column, kernel=lcs) -> Column:
 def set_scores(a: list[str], b: list[str], need: list[float]) -> np.ndarray:
     """token_set_ratio_of for texts of sorted distinct tokens, where it may reach need (a number for each pair); 0 where a
     bound shows that it can't. The common subsequence is taken only of pairs whose lengths leave it a chance."""
-    out = np.zeros(len(a), dtype=np.int64)
-    xs, ys, at, cache = [], [], [], {}
+    out = [0] * len(a)
+    xs, ys, at, floor, cache = [], [], [], [], {}
     for i, (p, q, least) in enumerate(zip(a, b, need)):
         if not p or not q:
             continue
-        if p not in cache:
-            cache[p] = p.split(" ")
-        if q not in cache:
-            cache[q] = q.split(" ")
-        mine, other = set(cache[p]), set(cache[q])
-        both = mine & other
-        n = sum(map(len, both)) + max(len(both) - 1, 0)
-        if n:
-            out[i] = round(200 * n / (n + min(len(p), len(q))))
-        short, total = min(len(p), len(q)), len(p) + len(q)
-        if out[i] < 100 and 200 * short >= (max(least, float(out[i])) - 1) * total:
-            order = lambda own: " ".join([*[t for t in own if t in both], *[t for t in own if t not in both]])
-            xs.append(order(cache[p]) if both else p)
-            ys.append(order(cache[q]) if both else q)
+        mine, other = cache.get(p), cache.get(q)
+        if mine is None:
+            toks = p.split(" ")
+            mine = cache[p] = (toks, set(toks))
+        if other is None:
+            toks = q.split(" ")
+            other = cache[q] = (toks, set(toks))
+        both = mine[1] & other[1]
+        np_, nq = len(p), len(q)
+        short, total, near = min(np_, nq), np_ + nq, 0
+        if both:
+            common = " ".join(both) if len(both) < 2 else " ".join(sorted(both))
+            n = len(common)
+            near = out[i] = round(200 * n / (n + short))
+        if near < 100 and 200 * short >= (max(least, near) - 1) * total:
+            if not both:
+                xs.append(p)
+                ys.append(q)
+                floor.append(0)
+            else:
+                # Common tokens lead both texts, so they are a part of some longest common subsequence.
+                xs.append(" ".join([t for t in mine[0] if t not in both]))
+                ys.append(" ".join([t for t in other[0] if t not in both]))
+                floor.append(n)
             at.append(i)
+    out = np.array(out, dtype=np.int64)
     if at:
-        total = np.array([len(x) + len(y) for x, y in zip(xs, ys)])
-        out[at] = np.maximum(out[at], np.rint(200 * lcs_lengths(xs, ys) / total).astype(np.int64))
+        head, x, y = np.array(floor), np.array([len(t) for t in xs]), np.array([len(t) for t in ys])
+        # After a common text of n characters, a blank follows in a text that has more; both have it or it is no part.
+        blank = ((head > 0) & (x > 0) & (y > 0)).astype(np.int64)
+        total = 2 * head + x + y + ((head > 0) & (x > 0)) + ((head > 0) & (y > 0))
+        out[at] = np.maximum(out[at], np.rint(200 * (head + blank + lcs_lengths(xs, ys)) / total).astype(np.int64))
     return out
 
 
 def set_score(a: Column, b: Column, need: Column) -> Column:
-    """``set_scores`` of columns."""
+    """``set_scores`` of columns. It is called nondeterministic so that a filter by the score and the score itself don't
+    work it out twice."""
 
     @F.pandas_udf("int")
     def kernel(x: pd.Series, y: pd.Series, least: pd.Series) -> pd.Series:
         return pd.Series(set_scores(x.tolist(), y.tolist(), least.tolist()))
 
-    return kernel(a, b, need)
+    return kernel.asNondeterministic()(a, b, need)

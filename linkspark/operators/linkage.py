@@ -46,32 +46,40 @@ def candidates(raw: DataFrame, table: bool = True) -> DataFrame:
     return raw.select("rec", "ord", tx.normalize_for_matching(F.col("raw"), table=table).alias("cand")).where("cand != ''")
 
 
-def score_pairs(cands: DataFrame, made: DataFrame, idf: DataFrame, threshold: float, scale: float, most: float, rare_idf: float, weighted: bool = True) -> DataFrame:
+#: Into so many parts the rows that have a candidate in common are dealt, by their own values.
+PARTS = 1024
+
+
+def score_pairs(cands: DataFrame, made: DataFrame, idf: DataFrame, threshold: float, scale: float, most: float, rare_idf: float, weighted: bool = True, carry: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
     """cand, uri, raw, comb, rare: for each pair whose boosted score reaches the threshold, its scripts' scores. Without weights
-    pairs need no common token, and none is boosted."""
-    # l and r are hashes: texts that had one hash in common would only be compared more often.
-    left = cands.select("cand").distinct().select(F.xxhash64("cand").alias("l"), "cand", sim.processed_tokens(F.col("cand")).alias("cproc"), tokens(F.col("cand")).alias("ctoks"))
-    right = made.select(F.xxhash64("uri", "script", "norm").alias("r"), "uri", "script", "proc", "toks")
-    side = lambda df, key, toks, proc: df.where(F.size(proc) > 0).select(key, F.col(toks).alias("toks"), F.length(F.array_join(proc, " ")).alias("len"), (F.sort_array(toks) == F.col(proc)).alias("plain"))
-    if weighted:
-        found = pairing.sharing(side(left, "l", "ctoks", "cproc"), side(right, "r", "toks", "proc"), idf, threshold, scale, most)
+    pairs need no common token, and none is boosted. A pair is scored where the join finds it, so that no pairs are shuffled.
+
+    carry: columns of cands that travel with the candidates, as lists, and make a row each of every pair of theirs; so no
+    join of pairs with records follows. within: columns of cands and made that a pair must agree in."""
+    key = ["cand", *within]
+    if carry:
+        own = F.struct(*carry)
+        held = cands.select(*key, own.alias("own"), F.pmod(F.xxhash64(own), F.lit(PARTS)).alias("part")).groupBy(*key, "part").agg(F.collect_list("own").alias("own"))
     else:
-        a, b = side(left, "l", "cproc", "cproc"), side(right, "r", "proc", "proc")
-        found = pairing.sharing(a, b, idf_weights(made.select("uri", F.col("proc").alias("toks"))), threshold, None, 0.0).union(pairing.alike(a, b, threshold)).distinct()
-    pairs = found.join(left, "l").join(right, "r")
+        held = cands.select(*key).distinct().select("*", F.lit(0).alias("part"), F.lit(None).cast("array<int>").alias("own"))
+    left = held.select("*", sim.processed_tokens(F.col("cand")).alias("cproc"), tokens(F.col("cand")).alias("ctoks"))
+    left = left.select(F.struct(*key, "part").alias("l"), *within, "ctoks", "cproc", F.struct("cand", F.array_join("cproc", " ").alias("text"), "own").alias("x"))
+    right = made.select(F.struct(*dict.fromkeys(("uri", "script", "norm", *within))).alias("r"), *within, "toks", "proc", F.struct("uri", "script", F.array_join("proc", " ").alias("text")).alias("y"))
+    side = lambda df, id_, toks, proc, row: df.where(F.size(proc) > 0).select(id_, *within, F.col(toks).alias("toks"), F.length(F.array_join(proc, " ")).alias("len"), (F.sort_array(toks) == F.col(proc)).alias("plain"), row)
     if weighted:
-        # Each target carries its tokens' weights, so the sums over a pair's common tokens need no further join.
-        each = right.select("r", "uri", "script", F.explode("toks").alias("token")).join(idf, "token").groupBy("r", "uri", "script").agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("weights"))
-        shared = F.transform(F.array_sort(F.array_intersect("ctoks", "toks")), lambda t: F.try_element_at("weights", t))
+        found = pairing.sharing(side(left, "l", "ctoks", "cproc", "x"), side(right, "r", "toks", "proc", "y"), idf, threshold, scale, most, within)
         total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
-        pairs = pairs.join(each, ["r", "uri", "script"]).withColumn("shared", shared).withColumns({"comb": total(F.col("shared")), "rare": total(F.filter("shared", lambda x: x >= rare_idf))})
+        pairs = found.withColumns({"comb": total(F.col("shared")), "rare": total(F.filter("shared", lambda x: x >= rare_idf))})
         boost = 1 + F.least(F.col("comb") / scale, F.lit(most))
     else:
-        pairs, boost = pairs.withColumns({"comb": F.lit(0.0), "rare": F.lit(0.0)}), F.lit(1.0)
-    likely = pairs.withColumn("boost", boost).where((F.size("proc") > 0) & (F.size("cproc") > 0))
-    raw = sim.set_score(F.array_join("cproc", " "), F.array_join("proc", " "), threshold * 100 / F.col("boost"))
-    scored = likely.withColumn("raw", raw).where(F.col("raw") * F.col("boost") >= threshold * 100)
-    return scored.select("cand", "uri", "script", "raw", "comb", "rare", "boost")
+        a, b = side(left, "l", "cproc", "cproc", "x"), side(right, "r", "proc", "proc", "y")
+        weights = idf_weights(made.select("uri", F.col("proc").alias("toks")))
+        found = pairing.sharing(a, b, weights, threshold, None, 0.0, within).drop("shared").unionByName(pairing.alike(a, b, threshold, within))
+        pairs, boost = found.withColumns({"comb": F.lit(0.0), "rare": F.lit(0.0)}), F.lit(1.0)
+    raw = sim.set_score(F.col("x.text"), F.col("y.text"), threshold * 100 / F.col("boost"))
+    scored = pairs.withColumn("boost", boost).withColumn("raw", raw).where(F.col("raw") * F.col("boost") >= threshold * 100)
+    out = scored.select("x.cand", "x.own", "y.uri", "y.script", "raw", "comb", "rare", "boost")
+    return out.select("cand", "uri", "script", "raw", "comb", "rare", "boost", F.inline("own")) if carry else out.drop("own")
 
 
 def _boost(rare: Column, scale: float, most: float) -> Column:
@@ -122,9 +130,13 @@ def title_stage(raw: DataFrame, variants: DataFrame, config: LinkConfig = LinkCo
     """rec, uri, score: for each record and book the best boosted score of any candidate and script."""
     made = keep(targets(variants, config.conversion_table), "title_targets")
     cands = keep(candidates(raw, config.conversion_table), "title_candidates")
-    pairs = score_pairs(cands, made, keep(idf_weights(made), "title_weights"), config.title_threshold, config.title_idf_scale, config.title_boost, config.rare_idf, config.title_idf)
-    best = pairs.groupBy("cand", "uri").agg((F.max(F.col("raw") * F.col("boost")) / 100).alias("score"))
-    return cands.select("rec", "cand").distinct().join(best, "cand").groupBy("rec", "uri").agg(F.max("score").alias("score"))
+    own = cands.select("rec", "cand").distinct()
+    pairs = score_pairs(own, made, keep(idf_weights(made), "title_weights"), config.title_threshold, config.title_idf_scale, config.title_boost, config.rare_idf, config.title_idf, ("rec",))
+    pairs = pairs.select("rec", "uri", (F.col("raw") * F.col("boost") / 100).alias("score"))
+    # Links may be many more than records, so they are grouped only if a record and a book can meet more than once.
+    if own.groupBy("rec").count().where("count > 1").isEmpty() and made.groupBy("uri").count().where("count > 1").isEmpty():
+        return pairs
+    return pairs.groupBy("rec", "uri").agg(F.max("score").alias("score"))
 
 
 def each_variant(variants: DataFrame, table: bool = True) -> DataFrame:
@@ -133,22 +145,28 @@ def each_variant(variants: DataFrame, table: bool = True) -> DataFrame:
     return normal.select("*", tokens(F.col("norm")).alias("toks"), sim.processed_tokens(F.col("norm")).alias("proc"))
 
 
-def raw_stage(raw: DataFrame, variants: DataFrame, threshold: float, table: bool = True) -> DataFrame:
+def raw_stage(raw: DataFrame, variants: DataFrame, threshold: float, table: bool = True, keep: Keep = as_is) -> DataFrame:
     """rec, uri, score: the best raw ratio of any candidate and any variant of one script, where it reaches the threshold.
     No weights, no boosts. raw: (rec, script, raw); variants: (uri, script, variant)."""
     cands = raw.select("rec", "script", tx.normalize_for_matching(F.col("raw"), table=table).alias("cand")).where("cand != ''").distinct()
-    made = each_variant(variants, table)
+    cands, made = keep(cands, "raw_candidates"), keep(each_variant(variants, table), "raw_targets")
     pairs = score_pairs(cands, made, made.sparkSession.createDataFrame([], "token string, idf double"), threshold, 1.0, 0.0, 0.0, weighted=False)
     best = pairs.groupBy("cand", "script", "uri").agg((F.max("raw") / 100).alias("score"))
     return cands.join(best, ["cand", "script"]).groupBy("rec", "uri").agg(F.max("score").alias("score"))
 
 
-def raw_matches(authors_raw: DataFrame, author_variants: DataFrame, titles_raw: DataFrame, book_variants: DataFrame, books: DataFrame, author_threshold: float, title_threshold: float, table: bool = True) -> DataFrame:
-    """rec, book, author, author_score, title_score: books whose author and title both reach their thresholds, by raw ratios."""
-    authors = raw_stage(authors_raw, author_variants, author_threshold, table).select("rec", F.col("uri").alias("author"), F.col("score").alias("author_score"))
-    titles = raw_stage(titles_raw, book_variants, title_threshold, table).select("rec", F.col("uri").alias("book"), F.col("score").alias("title_score"))
-    owned = titles.join(books.select(F.col("uri").alias("book"), F.col("author_uri").alias("author")), "book")
-    return owned.join(authors, ["rec", "author"]).select("rec", "book", "author", "author_score", "title_score")
+def raw_matches(authors_raw: DataFrame, author_variants: DataFrame, titles_raw: DataFrame, book_variants: DataFrame, books: DataFrame, author_threshold: float, title_threshold: float, table: bool = True, keep: Keep = as_is) -> DataFrame:
+    """rec, book, author, author_score, title_score: books whose author and title both reach their thresholds, by raw ratios.
+    Titles are compared only with those of books whose author has reached the threshold: the author is a part of the join's key."""
+    authors = keep(raw_stage(authors_raw, author_variants, author_threshold, table, keep).select("rec", F.col("uri").alias("author"), F.col("score").alias("author_score")), "raw_authors")
+    owned = books.select(F.col("uri").alias("book"), F.col("author_uri").alias("author"))
+    cands = titles_raw.select("rec", "script", tx.normalize_for_matching(F.col("raw"), table=table).alias("cand")).where("cand != ''").distinct().join(authors, "rec")
+    made = each_variant(book_variants, table).join(owned.distinct().withColumnRenamed("book", "uri"), "uri")
+    cands, made = keep(cands, "title_candidates"), keep(made, "title_targets")
+    none = made.sparkSession.createDataFrame([], "token string, idf double")
+    pairs = score_pairs(cands, made, none, title_threshold, 1.0, 0.0, 0.0, weighted=False, carry=("rec", "author", "author_score"), within=("script", "author"))
+    best = pairs.groupBy("rec", F.col("uri").alias("book"), "author").agg(F.max("author_score").alias("author_score"), (F.max("raw") / 100).alias("title_score"))
+    return best.join(owned, ["book", "author"]).select("rec", "book", "author", "author_score", "title_score")
 
 
 def combined_stage(authors: DataFrame, titles: DataFrame, books: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:

@@ -12,7 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,31 +46,40 @@ def candidates(raw: DataFrame, table: bool = True) -> DataFrame:
     return raw.select("rec", "ord", tx.normalize_for_matching(F.col("raw"), table=table).alias("cand")).where("cand != ''")
 
 
-#: Into so many parts the rows that have a candidate in common are dealt, by their own values.
-PARTS = 1024
+#: Into so many parts at least the rows that have a candidate in common are dealt, by their own values; and into one for each SHARE
+#: candidates, so that a part of one candidate holds no more rows than these.
+PARTS, SHARE = 1024, 4000
 
 
 #: Candidates of a task where rows of a record meet.
 ROWS = 100_000
 
 
+def tasks(spark: SparkSession, rows: int) -> int:
+    """How many tasks so many rows are dealt into."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+
+
 def by_record(df: DataFrame, rows: int, *more: str) -> DataFrame:
     """df dealt by record (and more columns, for a join on all of them) into tasks of about ROWS of so many rows of input, so that what
     a task groups or sorts stays as it is when there are more of them; groups of a record and other columns take no other shuffle,
     and Spark puts no tasks together."""
-    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS)), "rec", *more)
+    return df.repartition(tasks(df.sparkSession, rows), "rec", *more)
 
 
-def score_pairs(cands: DataFrame, made: DataFrame, idf: DataFrame, threshold: float, scale: float, most: float, rare_idf: float, weighted: bool = True, carry: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
+def score_pairs(cands: DataFrame, made: DataFrame, idf: DataFrame, threshold: float, scale: float, most: float, rare_idf: float, weighted: bool = True, carry: tuple[str, ...] = (), within: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
     """cand, uri, raw, comb, rare: for each pair whose boosted score reaches the threshold, its scripts' scores. Without weights
     pairs need no common token, and none is boosted. A pair is scored where the join finds it, so that no pairs are shuffled.
 
     carry: columns of cands that travel with the candidates, as lists, and make a row each of every pair of theirs; so no
-    join of pairs with records follows. within: columns of cands and made that a pair must agree in."""
+    join of pairs with records follows. within: columns of cands and made that a pair must agree in. rows: how many cands are, for
+    dealing those that are carried."""
     key = ["cand", *within]
     if carry:
         own = F.struct(*carry)
-        held = cands.select(*key, own.alias("own"), F.pmod(F.xxhash64(own), F.lit(PARTS)).alias("part")).groupBy(*key, "part").agg(F.collect_list("own").alias("own"))
+        held = cands.select(*key, own.alias("own"), F.pmod(F.xxhash64(own), F.lit(max(PARTS, -(-(rows or 0) // SHARE)))).alias("part"))
+        held = held if rows is None else held.repartition(tasks(held.sparkSession, rows), *key, "part")
+        held = held.groupBy(*key, "part").agg(F.collect_list("own").alias("own"))
     else:
         held = cands.select(*key).distinct().select("*", F.lit(0).alias("part"), F.lit(None).cast("array<int>").alias("own"))
     left = held.select("*", sim.processed_tokens(F.col("cand")).alias("cproc"), tokens(F.col("cand")).alias("ctoks"))
@@ -78,7 +87,7 @@ def score_pairs(cands: DataFrame, made: DataFrame, idf: DataFrame, threshold: fl
     right = made.select(F.struct(*dict.fromkeys(("uri", "script", "norm", *within))).alias("r"), *within, "toks", "proc", F.struct("uri", "script", F.array_join("proc", " ").alias("text")).alias("y"))
     side = lambda df, id_, toks, proc, row: df.where(F.size(proc) > 0).select(id_, *within, F.col(toks).alias("toks"), F.length(F.array_join(proc, " ")).alias("len"), (F.sort_array(toks) == F.col(proc)).alias("plain"), row)
     if weighted:
-        found = pairing.sharing(side(left, "l", "ctoks", "cproc", "x"), side(right, "r", "toks", "proc", "y"), idf, threshold, scale, most, within)
+        found = pairing.sharing(side(left, "l", "ctoks", "cproc", "x"), side(right, "r", "toks", "proc", "y"), idf, threshold, scale, most, within, None if rows is None or not carry else tasks(left.sparkSession, rows))
         total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
         pairs = found.withColumns({"comb": total(F.col("shared")), "rare": total(F.filter("shared", lambda x: x >= rare_idf))})
         boost = 1 + F.least(F.col("comb") / scale, F.lit(most))
@@ -151,10 +160,11 @@ def title_stage(raw: DataFrame, variants: DataFrame, config: LinkConfig = LinkCo
     cands = keep(candidates(raw, config.conversion_table), "title_candidates")
     rows = raw.count()
     own = by_record(cands.select("rec", "cand"), rows).distinct()
-    pairs = score_pairs(own, made, keep(idf_weights(made), "title_weights"), config.title_threshold, config.title_idf_scale, config.title_boost, config.rare_idf, config.title_idf, ("rec",))
+    pairs = score_pairs(own, made, keep(idf_weights(made), "title_weights"), config.title_threshold, config.title_idf_scale, config.title_boost, config.rare_idf, config.title_idf, ("rec",), rows=rows)
     pairs = pairs.select("rec", "uri", (F.col("raw") * F.col("boost") / 100).alias("score"))
-    # Links may be many more than records, so they are grouped only if a record and a book can meet more than once.
-    if own.groupBy("rec").count().where("count > 1").isEmpty() and made.groupBy("uri").count().where("count > 1").isEmpty():
+    # Links may be many more than records, so they are grouped only if a record and a book can meet more than once. Equal
+    # candidates of a record aren't told apart here: they only make it group what needn't be.
+    if by_record(cands.select("rec"), rows).groupBy("rec").count().where("count > 1").isEmpty() and made.groupBy("uri").count().where("count > 1").isEmpty():
         return pairs
     return by_record(pairs, rows).groupBy("rec", "uri").agg(F.max("score").alias("score"))
 
@@ -189,14 +199,20 @@ def raw_matches(authors_raw: DataFrame, author_variants: DataFrame, titles_raw:
     return best.join(owned, ["book", "author"]).select("rec", "book", "author", "author_score", "title_score")
 
 
-def combined_stage(authors: DataFrame, titles: DataFrame, books: DataFrame, config: LinkConfig = LinkConfig(), rows: int | None = None) -> DataFrame:
-    """rec, book, author, author_score, title_score, score, rank: pairs that agree in author and title. rows: how many candidates
-    they are of, for dealing them."""
+def paired(authors: DataFrame, titles: DataFrame, books: DataFrame, rows: int | None = None) -> DataFrame:
+    """rec, author, book, title_score, author_score: pairs that agree in author and title, dealt by record and author if rows tells of how
+    many candidates they are."""
     joined = titles.select("rec", F.col("uri").alias("book"), F.col("score").alias("title_score")).join(books.select(F.col("uri").alias("book"), F.col("author_uri").alias("author")), "book")
     owners = authors.select("rec", F.col("uri").alias("author"), F.col("score").alias("author_score"))
     if rows is not None:
         joined, owners = by_record(joined, rows, "author"), by_record(owners, rows, "author")
-    joined = joined.join(owners, ["rec", "author"])
+    return joined.join(owners, ["rec", "author"])
+
+
+def combined_stage(authors: DataFrame, titles: DataFrame, books: DataFrame, config: LinkConfig = LinkConfig(), rows: int | None = None) -> DataFrame:
+    """rec, book, author, author_score, title_score, score, rank: pairs that agree in author and title. rows: how many candidates
+    they are of, for dealing them."""
+    joined = paired(authors, titles, books, rows)
     fit = joined.where((F.col("author_score") >= config.combined_floor) & (F.col("title_score") >= config.combined_floor) & (F.col("title_score") >= config.title_floor))
     fit = fit if rows is None else by_record(fit, rows)
     rec = Window.partitionBy("rec")

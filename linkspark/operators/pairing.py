@@ -67,14 +67,15 @@ def _key(within: list[str], name: str) -> Column:
     return F.xxhash64(*within, name)
 
 
-def sharing(left: DataFrame, right: DataFrame, weights: DataFrame, threshold: float, scale: float | None, most: float, within: tuple[str, ...] = ()) -> DataFrame:
+def sharing(left: DataFrame, right: DataFrame, weights: DataFrame, threshold: float, scale: float | None, most: float, within: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
     """Pairs that share a token and may reach the threshold (0..1) with their boost, 1 + min(sum of shared weights / scale, most);
     no boost if scale is None. left: (l, toks, len, plain, x), right: (r, toks, len, plain, y), len the length of the ratio's
     text, and plain whether its tokens are toks; l and r are unique. weights: (token, idf). within: columns of both sides that
-    must be equal. The result has each pair once, in the task of its first shared token, with x, y and ``shared``, the
-    weights of the common tokens in the tokens' order; nothing of a pair is shuffled."""
+    must be equal. tasks: into how many the left texts are dealt with their weights. The result has each pair once, in the task of its first shared
+    token, with x, y and ``shared``, the weights of the common tokens in the tokens' order; nothing of a pair is shuffled."""
     w = list(within)
     each = left.select("l", "len", "plain", "x", *w, F.explode("toks").alias("token")).join(weights.select("token", "idf"), "token")
+    each = each if tasks is None else each.repartition(tasks, "l")
     held = each.groupBy("l").agg(F.sort_array(F.collect_list(F.struct("idf", "token"))).alias("known"), *[F.first(c).alias(c) for c in ("len", "plain", "x", *w)])
     known = F.array_sort(F.transform("known", lambda t: F.struct(t["token"].alias("token"), t["idf"].alias("idf"))))
     place = held.select("l", "len", "plain", "x", *w, F.posexplode("known").alias("at", "t"), "known").withColumn("rest", F.slice("known", F.lit(1), F.col("at") + 1))

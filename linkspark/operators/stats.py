@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .linkage import by_record
+
 
 def unique_counts(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count_distinct("uri").alias("books"), F.count_distinct(F.substring_index("uri", ".", 1)).alias("authors"))
@@ -69,6 +71,7 @@ def tier_counts(tiers: DataFrame) -> DataFrame:
     return tiers.groupBy("tier").agg(F.count(F.lit(1)).alias("records"))
 
 
-def first_matches(found: DataFrame, n: int) -> DataFrame:
-    """The n best matches of each record. A report, hence limited."""
+def first_matches(found: DataFrame, n: int, rows: int | None = None) -> DataFrame:
+    """The n best matches of each record. A report, hence limited. rows: how many found are, for dealing them by record."""
+    found = found if rows is None else by_record(found, rows)
     return found.withColumn("k", F.row_number().over(Window.partitionBy("rec").orderBy(F.desc("score"), "book"))).where(F.col("k") <= n).drop("k")

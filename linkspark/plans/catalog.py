@@ -294,7 +294,8 @@ def tier_counts(s, d):
 
 @query(f"WITH {linkage_sql()} SELECT rec, book, round(score, 6) AS score, rank FROM s3 WHERE rank <= 1")
 def first_matches(s, d):
-    return _rounded(stats.first_matches(_linked(s, d).combined, 1)).select("rec", "book", "score", "rank")
+    found = _linked(s, d).combined
+    return _rounded(stats.first_matches(found, 1, found.count())).select("rec", "book", "score", "rank")
 
 
 # Evaluation: the truth is each record's own name, but for every seventh record, of which none is expected.

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .linkage import Linkage
+from .linkage import Linkage, by_record
 
 
 def _four(c: str, name: str | None = None) -> Column:
@@ -47,9 +48,10 @@ def combined_scores(run: Linkage, truth: DataFrame, books: DataFrame, creators:
 
 def validation(run: Linkage, truth: DataFrame) -> DataFrame:
     """Every final match of a record of the truth against all the books that are expected for it."""
-    wanted = truth.groupBy("rec").agg(F.array_sort(F.collect_set("book")).alias("books"))
-    counts = run.combined.groupBy("rec").agg(F.count(F.lit(1)).alias("num_matches_for_record"))
-    rows = run.combined.join(wanted, "rec").join(counts, "rec")
+    many = truth.count()
+    wanted = by_record(truth.select("rec", "book"), many).groupBy("rec").agg(F.array_sort(F.collect_set("book")).alias("books"))
+    counted = by_record(run.combined, many).withColumn("num_matches_for_record", F.count(F.lit(1)).over(Window.partitionBy("rec")))
+    rows = counted.join(wanted, "rec")
     return rows.select(
         F.col("rec").alias("record_id"), F.array_join("books", "|").alias("expected_book"), F.col("book").alias("winning_match"), F.array_contains("books", F.col("book")).alias("is_expected_match"), (F.size("books") == 0).alias("is_null_expected"),
         F.col("author").alias("author_uri"), _four("author_score"), _four("title_score"), _four("score", "combined_score"), "num_matches_for_record",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import ranks
+from .linkage import by_record
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -22,12 +23,18 @@ def _f1(p: Column, r: Column) -> Column:
 
 def _sides(found: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     """Per record of the truth (and per setting in ``by``): returned, expected, hits, null_expected, top_hit."""
-    t = truth.select("rec", "book").distinct()
-    expected = t.groupBy("rec").agg(F.count("book").alias("expected"), (F.count("book") == 0).alias("null_expected"))
-    base = expected if not by else expected.crossJoin(found.select(*by).distinct())  # settings are few by design
-    marked = found.join(t.where("book IS NOT NULL").withColumn("hit", F.lit(1)), ["rec", "book"], "left")
-    got = marked.groupBy(*by, "rec").agg(F.count(F.lit(1)).alias("returned"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"), F.coalesce(F.max(F.when(F.col("rank") == 1, F.col("hit"))), F.lit(0)).alias("top_hit"))
-    return base.join(got, [*by, "rec"], "left").fillna(0, ["returned", "hits", "top_hit"])
+    rows = truth.count()
+    told = truth.select("rec", "book", F.lit(0).alias("n"), F.lit(0).alias("first"), F.lit(1).alias("told"))
+    if by:
+        told = told.crossJoin(F.broadcast(found.select(*by).distinct()))  # settings are few by design
+    got = found.dropna(subset=["rec", *by]).select("rec", "book", F.lit(1).alias("n"), (F.col("rank") == 1).cast("int").alias("first"), F.lit(0).alias("told"), *by)
+    # Both go to the task of their record, once; a join would sort them too.
+    met = by_record(told.unionByName(got), rows).groupBy(*by, "rec", "book").agg(F.sum("n").alias("n"), F.max("first").alias("first"), F.max("told").alias("told"))
+    right = F.when((F.col("told") == 1) & F.col("book").isNotNull(), 1).otherwise(0)
+    out = met.groupBy(*by, "rec").agg(
+        F.sum(right).alias("expected"), F.sum("n").alias("returned"), F.sum(F.col("n") * right).alias("hits"), F.coalesce(F.max(F.col("first") * right), F.lit(0)).alias("top_hit"), F.max("told").alias("told")
+    )
+    return out.where("told = 1").select(*by, "rec", "expected", (F.col("expected") == 0).alias("null_expected"), "returned", "hits", "top_hit")
 
 
 def pair_metrics(found: DataFrame, truth: DataFrame, by: list[str] | None = None) -> DataFrame:

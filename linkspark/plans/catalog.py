@@ -348,8 +348,7 @@ z AS (SELECT *, (matched - extra) / matched AS precision, correct / records AS r
 
 def _sweep(s: SparkSession, d: str) -> DataFrame:
     run = _linked(s, d)
-    scored = run.titles.select("rec", F.col("uri").alias("book"), F.col("score").alias("title_score")).join(run.books.select(F.col("uri").alias("book"), "author_uri"), "book")
-    scored = scored.join(run.authors.select("rec", F.col("uri").alias("author_uri"), F.col("score").alias("author_score")), ["rec", "author_uri"])
+    scored = lk.paired(run.authors, run.titles, run.books, run.raw.count())
     return ev.sweep(scored, _truth(s, d), s.createDataFrame(GRID, "author_threshold double, title_threshold double"))
 
 

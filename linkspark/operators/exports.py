@@ -18,14 +18,19 @@ def _four(c: str, name: str | None = None) -> Column:
 
 
 def author_scores(run: Linkage, truth: DataFrame, books: DataFrame, creators: DataFrame) -> DataFrame:
-    """Every book that any stage came across for a record of the truth, its expected one, and all books of its authors."""
+    """Every book that any stage came across for a record of the truth, its expected one, and all books of its authors. Tables with a row for each
+    record are small as files but not in memory, so none of them is broadcast."""
+    many = truth.count()
+    by = lambda df, *more: by_record(df, many, *more).hint("merge")
     wanted = truth.select("rec", F.col("book").alias("expected_book")).distinct()
     titles = run.titles.select("rec", F.col("uri").alias("book"), F.col("score").alias("title_score"))
     authors = run.authors.select("rec", F.col("uri").alias("author_uri"), "raw", "idf_score", F.col("score").alias("final"))
     finals = run.combined.select("rec", "book", F.col("score").alias("combined_score"))
     owned = authors.join(books.select("book", "author_uri"), "author_uri").select("rec", "book")
-    met = titles.select("rec", "book").union(finals.select("rec", "book")).union(wanted.where("expected_book IS NOT NULL").select("rec", "expected_book")).union(owned).distinct()
-    rows = met.join(wanted, "rec").join(books, "book").join(authors, ["rec", "author_uri"], "left").join(titles, ["rec", "book"], "left").join(finals, ["rec", "book"], "left").join(creators, "rec", "left")
+    met = titles.select("rec", "book").union(finals.select("rec", "book")).union(wanted.where("expected_book IS NOT NULL").select("rec", "expected_book")).union(owned)
+    met = by_record(met, many, "book").distinct().join(by(titles, "book"), ["rec", "book"], "left").join(by(finals, "book"), ["rec", "book"], "left").join(books, "book")
+    rows = by_record(met, many, "author_uri").join(by(authors, "author_uri"), ["rec", "author_uri"], "left")
+    rows = by_record(rows, many).join(by(wanted), "rec").join(by(creators), "rec", "left")
     return rows.select(
         F.col("rec").alias("record_id"), "expected_book", F.col("book").alias("book_uri"), F.left("book_title", F.lit(50)).alias("book_title"), "author_uri", F.left("author_name", F.lit(40)).alias("author_name"),
         _four("raw", "score_raw"), _four("idf_score", "score_idf"), _four("final", "score_final"),
